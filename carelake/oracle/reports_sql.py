@@ -40,3 +40,67 @@ GROUP BY 1, 2, 3, 4
 """,
     extra=[("claim_dedup", CLAIM_DEDUP), ("org_dedup", ORG_DEDUP)],
 )
+
+WEEKLY_ROWS = """
+  SELECT e.encounter_id, c.claim_id,
+         COALESCE(c.patient_id, e.patient_id) AS patient_id,
+         COALESCE(c.provider_id, e.organization_id) AS org_id,
+         e.start_ts AS enc_start_ts, e.end_ts AS enc_end_ts,
+         CASE WHEN upper(e.class_code) = 'IMP' THEN 1 ELSE 0 END AS is_inpatient,
+         CASE WHEN e.start_ts IS NOT NULL AND e.end_ts IS NOT NULL
+              THEN greatest(datediff('day', e.start_ts, e.end_ts), 0) END AS length_of_stay_days,
+         COALESCE(date_trunc('week', c.billable_start_ts), date_trunc('week', e.start_ts)) AS week_start,
+         c.total_value AS billed_amount, COALESCE(c.total_value, 0.0) AS paid_amount
+  FROM silver_encounter e JOIN silver_claim c ON e.encounter_id = c.encounter_id
+"""
+
+REAL_PATIENTS = """
+  SELECT patient_id FROM silver_patient
+  WHERE NOT regexp_matches(lower(COALESCE(trim(concat_ws(' ', first_name, last_name)), '')),
+                           '(^|\\s)(test|dummy)(\\s|$)')
+"""
+
+WEEKLY_LAGGED = """
+  SELECT r.*, o.org_name,
+    LAG(enc_end_ts) OVER w AS prev_enc_end_ts, LAG(is_inpatient) OVER w AS prev_is_inpatient
+  FROM weekly_rows r
+  LEFT JOIN silver_organization o ON r.org_id = o.organization_id
+  JOIN real_patients p ON r.patient_id = p.patient_id
+  WINDOW w AS (PARTITION BY r.patient_id ORDER BY enc_start_ts ASC NULLS FIRST, encounter_id ASC NULLS FIRST,
+               claim_id ASC NULLS FIRST, org_id ASC NULLS FIRST, week_start ASC NULLS FIRST,
+               billed_amount ASC NULLS FIRST)
+"""
+
+WEEKLY_FLAGGED = """
+  SELECT *, CASE WHEN prev_is_inpatient = 1 AND prev_enc_end_ts IS NOT NULL AND enc_start_ts IS NOT NULL
+                  AND datediff('day', prev_enc_end_ts, enc_start_ts) BETWEEN 0 AND 30 THEN 1 ELSE 0 END
+              AS is_readmission_30d
+  FROM weekly_lagged
+"""
+
+WEEKLY_FACILITY = with_ctes(
+    ["silver_encounter", "silver_claim", "silver_organization", "silver_patient"],
+    """
+SELECT org_id AS facility_id, org_name AS facility_name, CAST(week_start AS DATE) AS week_start,
+       COUNT(*) AS encounter_count,
+       ROUND(SUM(is_readmission_30d) / CAST(COUNT(*) AS DOUBLE), 6) AS readmission_rate,
+       CAST(SUM(CAST(billed_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_billed_amount,
+       CAST(SUM(CAST(paid_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_paid_amount,
+       ROUND(AVG(CASE WHEN is_inpatient = 1 THEN length_of_stay_days END), 6) AS average_length_of_stay
+FROM weekly_flagged
+GROUP BY 1, 2, 3
+""",
+    extra=[("weekly_rows", WEEKLY_ROWS), ("real_patients", REAL_PATIENTS), ("weekly_lagged", WEEKLY_LAGGED),
+           ("weekly_flagged", WEEKLY_FLAGGED)],
+)
+
+READMISSIONS_30D = with_ctes(
+    ["silver_encounter", "silver_claim", "silver_organization", "silver_patient"],
+    """
+SELECT encounter_id, claim_id, patient_id, CAST(enc_start_ts AS TIMESTAMP) AS enc_start_ts,
+       CAST(prev_enc_end_ts AS TIMESTAMP) AS prev_enc_end_ts, prev_is_inpatient, is_readmission_30d
+FROM weekly_flagged
+""",
+    extra=[("weekly_rows", WEEKLY_ROWS), ("real_patients", REAL_PATIENTS), ("weekly_lagged", WEEKLY_LAGGED),
+           ("weekly_flagged", WEEKLY_FLAGGED)],
+)

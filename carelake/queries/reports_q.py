@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from carelake.oracle import reports_sql
-from carelake.plans import provider_claims
+from carelake.functions import fhir
+from carelake.plans import provider_claims, weekly_facility
 from carelake.plans.model import Model
 
 
@@ -17,11 +18,33 @@ def provider_claims_sql(spark, sf_dir):
     return provider_claims.spark_sql(spark, m.sources("claim", "organization"))
 
 
+def weekly_facility_report(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    srcs = m.sources("encounter", "claim", "organization", "patient")
+    return weekly_facility.build(spark, srcs)["weekly_facility_report"]
+
+
+def readmissions_30d(spark, sf_dir):
+    """The claim-row lag and its 30-day readmission flag."""
+    m = Model(spark, sf_dir)
+    rows = weekly_facility.readmission_rows(m.silver("encounter"), m.silver("claim"), m.silver("organization"), m.silver("patient"))
+    return rows.select(
+        "encounter_id", "claim_id", "patient_id",
+        fhir.to_ntz("enc_start_ts").alias("enc_start_ts"),
+        fhir.to_ntz("prev_enc_end_ts").alias("prev_enc_end_ts"),
+        "prev_is_inpatient", "is_readmission_30d",
+    )
+
+
 QUERIES = {
+    "weekly_facility_report": weekly_facility_report,
+    "readmissions_30d": readmissions_30d,
     "provider_claims_denial_monthly": provider_claims_denial_monthly,
     "provider_claims_sql": provider_claims_sql,
 }
 ORACLES = {
+    "weekly_facility_report": reports_sql.WEEKLY_FACILITY,
+    "readmissions_30d": reports_sql.READMISSIONS_30D,
     "provider_claims_denial_monthly": reports_sql.PROVIDER_CLAIMS,
     "provider_claims_sql": reports_sql.PROVIDER_CLAIMS,
 }
