@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from carelake.oracle import reports_sql
 from carelake.functions import fhir
-from carelake.plans import provider_claims, weekly_facility
+from pyspark.sql import functions as F
+
+from carelake.plans import ed_utilization, provider_claims, weekly_facility
 from carelake.plans.model import Model
 
 
@@ -36,13 +38,65 @@ def readmissions_30d(spark, sf_dir):
     )
 
 
+ED_SOURCES = ("encounter", "claim", "organization", "patient", "condition")
+
+
+def ed_utilization_monthly(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return ed_utilization.build(spark, m.sources(*ED_SOURCES))["ed_utilization_monthly"]
+
+
+def ed_admissions_24h(spark, sf_dir):
+    """J6 + A4: ED visits flagged when an inpatient stay starts within 24 h."""
+    m = Model(spark, sf_dir)
+    s = m.sources(*ED_SOURCES)
+    edi = ed_utilization.ed_with_admits(s["encounter"], s["claim"], s["organization"], s["patient"])
+    return edi.select(
+        "enc_id", "enc_patient_id", "facility_id", "month_start",
+        fhir.to_ntz("period_start_ts").alias("period_start_ts"), "admit_from_ed_flag",
+    )
+
+
+def top_condition(spark, sf_dir):
+    """Most frequent condition per facility-month of ED visits."""
+    m = Model(spark, sf_dir)
+    s = m.sources(*ED_SOURCES)
+    edi = ed_utilization.ed_with_admits(s["encounter"], s["claim"], s["organization"], s["patient"])
+    return ed_utilization.top_conditions(edi, s["condition"])
+
+
+def claims_per_encounter(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    out = ed_utilization.claims_per_encounter(m.silver("claim"))
+    return out.select("enc_id", F.col("encounter_claim_total").cast("double").alias("encounter_claim_total"), "claims_linked_count")
+
+
+def conditions_per_encounter(spark, sf_dir):
+    """Every encounter with its condition count (0 when none)."""
+    m = Model(spark, sf_dir)
+    counts = ed_utilization.conditions_per_encounter(m.silver("condition"))
+    enc = m.silver("encounter").select("encounter_id")
+    j = enc.join(counts, enc["encounter_id"] == counts["enc_id"], "left")
+    return j.select("encounter_id", F.coalesce("cond_count_enc", F.lit(0)).alias("cond_count_enc"))
+
+
 QUERIES = {
+    "ed_utilization_monthly": ed_utilization_monthly,
+    "ed_admissions_24h": ed_admissions_24h,
+    "top_condition": top_condition,
+    "claims_per_encounter": claims_per_encounter,
+    "conditions_per_encounter": conditions_per_encounter,
     "weekly_facility_report": weekly_facility_report,
     "readmissions_30d": readmissions_30d,
     "provider_claims_denial_monthly": provider_claims_denial_monthly,
     "provider_claims_sql": provider_claims_sql,
 }
 ORACLES = {
+    "ed_utilization_monthly": reports_sql.ED_UTILIZATION,
+    "ed_admissions_24h": reports_sql.ED_ADMISSIONS_24H,
+    "top_condition": reports_sql.TOP_CONDITION,
+    "claims_per_encounter": reports_sql.CLAIMS_PER_ENCOUNTER,
+    "conditions_per_encounter": reports_sql.CONDITIONS_PER_ENCOUNTER,
     "weekly_facility_report": reports_sql.WEEKLY_FACILITY,
     "readmissions_30d": reports_sql.READMISSIONS_30D,
     "provider_claims_denial_monthly": reports_sql.PROVIDER_CLAIMS,
