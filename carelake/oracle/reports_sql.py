@@ -207,3 +207,77 @@ LEFT JOIN (SELECT encounter_id, COUNT(condition_id) AS cond_count_enc FROM silve
   ON e.encounter_id = cc.encounter_id
 """,
 )
+
+REJECTED_CLAIM_COUNTS = with_ctes(
+    ["silver_claim", "silver_patient"],
+    """
+SELECT c.patient_id, COUNT(*) AS rejected_claim_count
+FROM silver_claim c
+WHERE c.status = 'rejected' AND c.patient_id IS NOT NULL
+  AND c.patient_id IN (SELECT patient_id FROM silver_patient WHERE patient_id IS NOT NULL)
+GROUP BY 1
+""",
+)
+
+PATIENT_ORDER = """_ingested_at DESC NULLS LAST, mrn DESC NULLS LAST, last_name DESC NULLS LAST,
+  first_name DESC NULLS LAST, gender DESC NULLS LAST, birth_date DESC NULLS LAST, postal_code DESC NULLS LAST,
+  state DESC NULLS LAST, active DESC NULLS LAST, _source_file DESC NULLS LAST"""
+
+DENIED_CLAIMS_SUMMARY = with_ctes(
+    ["silver_claim", "silver_patient"],
+    f"""
+SELECT p.patient_id,
+  regexp_replace(trim(COALESCE(concat_ws(' ', CASE WHEN trim(p.first_name) = '' THEN NULL ELSE p.first_name END,
+                                              CASE WHEN trim(p.last_name) = '' THEN NULL ELSE p.last_name END), '')),
+                 '\\s{{2,}}', ' ', 'g') AS patient_name,
+  p.gender, p.state,
+  MAX(CAST(c.billable_start_iso_ts AS DATE)) AS last_denial_date,
+  COUNT(c.claim_id) AS total_denied_claims,
+  SUM(CAST(c.total_value AS DECIMAL(18,2))) AS total_denied_amount
+FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY patient_id ORDER BY {PATIENT_ORDER}) AS rn
+                     FROM silver_patient WHERE lower(active) = 'true') WHERE rn = 1) p
+JOIN silver_claim c ON p.patient_id = c.patient_id
+WHERE c.patient_id IS NOT NULL AND lower(c.status) = 'denied'
+GROUP BY p.patient_id, p.first_name, p.last_name, p.gender, p.state
+""",
+)
+
+DENIED_CLAIMS_USD = with_ctes(
+    ["silver_claim", "silver_patient"],
+    f"""
+SELECT p.patient_id, p.gender, p.state, COUNT(DISTINCT c.claim_id) AS rejected_claim_count,
+  CAST(SUM(CASE WHEN c.total_currency = 'USD' THEN CAST(c.total_value AS DECIMAL(18,2)) END) AS DECIMAL(18,2))
+    AS total_rejected_amount,
+  MAX(c.billable_start_iso_ts) AS most_recent_rejection_date
+FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY claim_id ORDER BY _ingested_at DESC NULLS LAST,
+        status DESC NULLS LAST, claim_type DESC NULLS LAST, patient_id DESC NULLS LAST, provider_id DESC NULLS LAST,
+        encounter_id DESC NULLS LAST, billable_start DESC NULLS LAST, billable_end DESC NULLS LAST,
+        total_value DESC NULLS LAST, total_currency DESC NULLS LAST, _source_file DESC NULLS LAST) AS rn
+      FROM silver_claim WHERE patient_id IS NOT NULL) WHERE rn = 1) c
+JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY patient_id ORDER BY {PATIENT_ORDER}) AS rn
+      FROM silver_patient) WHERE rn = 1) p ON c.patient_id = p.patient_id
+WHERE lower(c.status) = 'denied' AND lower(p.active) = 'true'
+GROUP BY 1, 2, 3
+""",
+)
+
+READMISSION_MONTHLY = with_ctes(
+    ["silver_encounter", "silver_condition"],
+    """
+SELECT CAST(date_trunc('month', e.start_iso_ts) AS DATE) AS month, c.display AS condition_name,
+       e.class_code AS encounter_class, COUNT(e.encounter_id) AS encounter_count,
+       COUNT(DISTINCT e.pid) AS unique_patients
+FROM (SELECT *, replace(patient_ref, 'Patient/', '') AS pid FROM silver_encounter) e
+JOIN (SELECT *, replace(patient_ref, 'Patient/', '') AS pid FROM silver_condition) c ON e.pid = c.pid
+GROUP BY 1, 2, 3
+""",
+)
+
+EXPECT_OR_DROP = with_ctes(
+    ["silver_claim"],
+    """
+SELECT 'not_null_patient_id' AS rule, SUM(CASE WHEN patient_id IS NOT NULL THEN 1 ELSE 0 END) AS kept_rows,
+       SUM(CASE WHEN patient_id IS NULL THEN 1 ELSE 0 END) AS dropped_rows
+FROM silver_claim
+""",
+)

@@ -6,7 +6,7 @@ from carelake.oracle import reports_sql
 from carelake.functions import fhir
 from pyspark.sql import functions as F
 
-from carelake.plans import ed_utilization, provider_claims, weekly_facility
+from carelake.plans import claims_by_patient, ed_utilization, provider_claims, readmission_helper, weekly_facility
 from carelake.plans.model import Model
 
 
@@ -80,7 +80,39 @@ def conditions_per_encounter(spark, sf_dir):
     return j.select("encounter_id", F.coalesce("cond_count_enc", F.lit(0)).alias("cond_count_enc"))
 
 
+def rejected_claim_counts(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return claims_by_patient.rejected_claim_counts(m.silver("claim"), m.silver("patient"))
+
+
+def denied_claims_summary(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return claims_by_patient.build(spark, m.sources("claim", "patient"))["gold_rejected_claims_patient_summary_v2"]
+
+
+def denied_claims_usd(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return claims_by_patient.denied_claims_usd(m.silver("claim"), m.silver("patient"))
+
+
+def readmission_monthly(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return readmission_helper.build(spark, m.sources("encounter", "condition"))["readmission_risk_monthly"]
+
+
+def expect_or_drop(spark, sf_dir):
+    """Expectation 'not_null_patient_id' over claims -> kept / dropped counts."""
+    m = Model(spark, sf_dir)
+    rules = {"not_null_patient_id": "patient_id IS NOT NULL"}
+    return claims_by_patient.expectation_counts(m.silver("claim"), rules)
+
+
 QUERIES = {
+    "rejected_claim_counts": rejected_claim_counts,
+    "denied_claims_summary": denied_claims_summary,
+    "denied_claims_usd": denied_claims_usd,
+    "readmission_monthly": readmission_monthly,
+    "expect_or_drop": expect_or_drop,
     "ed_utilization_monthly": ed_utilization_monthly,
     "ed_admissions_24h": ed_admissions_24h,
     "top_condition": top_condition,
@@ -92,6 +124,11 @@ QUERIES = {
     "provider_claims_sql": provider_claims_sql,
 }
 ORACLES = {
+    "rejected_claim_counts": reports_sql.REJECTED_CLAIM_COUNTS,
+    "denied_claims_summary": reports_sql.DENIED_CLAIMS_SUMMARY,
+    "denied_claims_usd": reports_sql.DENIED_CLAIMS_USD,
+    "readmission_monthly": reports_sql.READMISSION_MONTHLY,
+    "expect_or_drop": reports_sql.EXPECT_OR_DROP,
     "ed_utilization_monthly": reports_sql.ED_UTILIZATION,
     "ed_admissions_24h": reports_sql.ED_ADMISSIONS_24H,
     "top_condition": reports_sql.TOP_CONDITION,
