@@ -12,6 +12,7 @@ import importlib
 MODULES = [
     "carelake.queries.silver_q",
     "carelake.queries.reports_q",
+    "carelake.queries.operators_q",
 ]
 
 
