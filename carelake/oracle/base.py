@@ -61,6 +61,10 @@ cte("silver_claim", ["claim_rows"], f"""
     CASE WHEN l_partkey % 37 = 1 OR l_partkey % 61 = 3 THEN NULL ELSE 'USD' END AS total_currency,
     'Claim.ndjson' AS _source_file,
     TIMESTAMP '2026-10-01 00:00:00' + to_seconds(l_partkey) AS _ingested_at,
+    CASE WHEN l_partkey % 103 = 6 THEN 'Patient/pat-8' ELSE 'Patient/pat-' END || printf('%06d', o_custkey) AS patient_ref,
+    CASE WHEN l_suppkey % 9 = 4 THEN 'Organization/org-999999'
+         ELSE 'Organization/org-' || printf('%06d', l_suppkey) END AS provider_ref,
+    CASE WHEN l_partkey % 107 = 8 THEN 'Encounter/enc-missing-' ELSE 'Encounter/enc-' END || l_orderkey AS encounter_ref,
     CASE WHEN l_partkey % 89 = 3 THEN NULL ELSE l_shipdate END AS billable_start_ts,
     CASE WHEN l_partkey % 89 = 3 OR l_partkey % 71 = 15 THEN NULL ELSE l_shipdate END AS billable_start_iso_ts,
     l_shipdate + INTERVAL 1 DAY AS billable_end_ts

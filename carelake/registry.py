@@ -13,6 +13,7 @@ MODULES = [
     "carelake.queries.silver_q",
     "carelake.queries.reports_q",
     "carelake.queries.operators_q",
+    "carelake.queries.dq_q",
 ]
 
 

@@ -424,3 +424,79 @@ def bronze(t: Tables, resource: str) -> DataFrame:
 
 def all_bronze(t: Tables) -> dict[str, DataFrame]:
     return {name: fn(t) for name, fn in BUILDERS.items()}
+
+
+# ---------------------------------------------------------------- manifest
+def _entries(df: DataFrame, rtype: str, id_col: Column, rules: list[tuple[Column, str, str]]) -> DataFrame:
+    hits = F.filter(
+        F.array(*[F.when(cond, F.struct(F.lit(kind).alias("k"), F.lit(detail).alias("d"))) for cond, kind, detail in rules]),
+        lambda x: x.isNotNull(),
+    )
+    return df.select(id_col.alias("resource_id"), F.explode(hits).alias("h")).select(
+        F.lit(rtype).alias("resourceType"), "resource_id", F.col("h.k").alias("anomaly_type"), F.col("h.d").alias("detail")
+    )
+
+
+def manifest(t: Tables) -> DataFrame:
+    """The injected anomalies of this mapping, one row per (resource, defect):
+    the ground truth the data-quality detectors are scored against (Q32)."""
+    s, c, o = F.col("s_suppkey"), F.col("c_custkey"), F.col("o_orderkey")
+    li = t.lineitem
+    k = F.col("l_partkey")
+    parts = [
+        t.supplier.where(s == 0).select(
+            F.lit("Organization").alias("resourceType"), F.lit("org-900000").alias("resource_id"),
+            F.lit("duplicate_entity").alias("anomaly_type"), F.lit("re-export of org-000000").alias("detail"),
+        ),
+        _entries(t.supplier, "Practitioner", F.concat(F.lit("pract-"), pad(s)), [
+            (s % 23 == 4, "invalid_npi", "NPI has 9 digits"),
+            (s % 29 == 6, "missing_required_field", "name is absent"),
+        ]),
+        _entries(t.customer, "Patient", F.concat(F.lit("pat-"), pad(c)), [
+            (c % 20 == 7, "missing_required_field", "birthDate is absent"),
+            ((c % 53 == 5) & (c % 20 != 7), "future_birthdate", "birthDate is in the future"),
+            (c % 79 == 3, "invalid_code", "gender outside the value set"),
+            (c % 131 == 11, "test_record", "test patient"),
+            (c % 41 == 8, "missing_code_system", "identifier.system is null"),
+        ]),
+        _entries(t.customer.where(c % 20 == 13), "Patient", F.concat(F.lit("pat-9"), pad(c)), [
+            (F.lit(True), "duplicate_resource", "same MRN under a new id"),
+        ]),
+        _entries(t.orders, "Encounter", F.concat(F.lit("enc-"), o.cast("string")), [
+            (o % 97 == 50, "dangling_reference", "subject references a missing patient"),
+            (o % 101 == 30, "missing_required_field", "serviceProvider is absent"),
+            ((o % 149 == 40) & (o % 101 != 30), "dangling_reference", "serviceProvider references a missing organization"),
+            ((o % 73 == 44) & (o % 97 != 50), "malformed_reference", "bare subject id"),
+            (o % 47 == 9, "period_end_before_start", "end before start"),
+            (o % 59 == 21, "invalid_status_code", "status outside the value set"),
+            (o % 71 == 15, "invalid_date_format", "MM/dd/yyyy start"),
+            (o % 67 == 12, "missing_code_system", "class.system is absent"),
+            (o % 31 == 17, "duplicate_resource", "line repeated"),
+        ]),
+        _entries(li.where(F.col("l_linenumber") <= 2), "Condition",
+                 F.concat_ws("-", F.lit("cond"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), k.cast("string")), [
+            (k % 83 == 7, "invalid_code", "UNKNOWN code without system"),
+            (k % 139 == 9, "dangling_reference", "encounter references a missing encounter"),
+        ]),
+        _entries(t.events, "Observation", F.concat(F.lit("obs-"), F.col("event_id").cast("string")), [
+            (F.col("event_id") % 97 == 10, "implausible_value", "negative value"),
+            (F.col("event_id") % 83 == 4, "missing_required_field", "subject is absent"),
+        ]),
+        _entries(li.where(F.col("l_linenumber") == 3), "Procedure",
+                 F.concat_ws("-", F.lit("proc"), F.col("l_orderkey").cast("string"), k.cast("string")), [
+            (k % 61 == 5, "invalid_status_code", "status outside the value set"),
+        ]),
+        _entries(li, "Claim", F.concat_ws("-", F.lit("clm"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), [
+            (k % 103 == 6, "dangling_reference", "patient references a missing patient"),
+            (k % 107 == 8, "dangling_reference", "item.encounter references a missing encounter"),
+            ((k % 41 == 2) & (k % 37 != 1), "implausible_value", "negative total"),
+            (k % 37 == 1, "missing_required_field", "total is absent"),
+            ((k % 47 == 2) & (k % 43 != 0), "invalid_status_code", "status 'paid'"),
+            ((k % 61 == 3) & (k % 37 != 1), "missing_code_system", "currency is null"),
+            (k % 113 == 9, "duplicate_resource", "line repeated"),
+        ]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
