@@ -14,6 +14,7 @@ MODULES = [
     "carelake.queries.reports_q",
     "carelake.queries.operators_q",
     "carelake.queries.dq_q",
+    "carelake.queries.checks_q",
 ]
 
 
