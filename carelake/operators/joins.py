@@ -14,8 +14,8 @@ DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan, or None when unavailable (e.g. Connect)."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()  # noqa: SLF001
-        return int(str(stats.sizeInBytes().toString()))
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # noqa: SLF001
+        return size if isinstance(size, int) else int(str(size.toString()))
     except Exception:  # noqa: BLE001
         return None
 

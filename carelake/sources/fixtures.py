@@ -44,7 +44,10 @@ REEXPORT_BASE = "2026-11-01 00:00:00"
 
 
 def pad(col: Column, width: int = 6) -> Column:
-    return F.format_string(f"%0{width}d", col)
+    """Zero-padded decimal text of a non-negative integer, like ``%06d``
+    (wider numbers are kept whole, never truncated)."""
+    text = col.cast("string")
+    return F.when(col < F.lit(10**width), F.lpad(text, width, "0")).otherwise(text)
 
 
 def iso(ts: Column) -> Column:
