@@ -7,8 +7,8 @@ day of a timestamp):
 
 1. lag inside each (p, segment) window -- a hot key spreads over as many
    tasks as it has segments;
-2. the last row of every segment, by one aggregation ``max(struct(order...,
-   value...))`` (partial aggregation, no window);
+2. the last row of every segment, marked in the same window pass (its
+   ``lead`` is null), so the input is shuffled once and reused;
 3. each segment's predecessor tail via a lag over the tails table, which has
    one row per (p, segment) -- bounded by the calendar, not by data volume;
 4. the first row of each segment takes its predecessor's tail.
@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carelake.session import materialize as materialize_df
+
 NULL_SEGMENT = -(2**31)
 
 
@@ -39,6 +41,7 @@ def segmented_lag(
     lag_cols: Sequence[str],
     segment: Column,
     prefix: str = "prev_",
+    materialize: bool = True,
 ) -> DataFrame:
     """Adds ``prefix + c`` = lag(c, 1) for each c in lag_cols, ordered by
     ``order_by`` ascending (nulls first) within ``partition_by``.
@@ -46,27 +49,33 @@ def segmented_lag(
     ``segment`` must be non-decreasing in that order and never null."""
     p = list(partition_by)
     seg = "_seg"
-    d = df.withColumn(seg, segment)
+    # an explicit exchange on (key, segment): without it the planner reuses an
+    # upstream partitioning on the key alone and a hot key stays in one task
+    d = df.withColumn(seg, segment).repartition(*p, seg)
     within = Window.partitionBy(*p, seg).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
-    staged = d.withColumn("_rn", F.row_number().over(within))
+    staged = d.withColumn("_rn", F.row_number().over(within)).withColumn(
+        "_is_last", F.lead(F.lit(1)).over(within).isNull()
+    )
     for c in lag_cols:
         staged = staged.withColumn(f"_in_{c}", F.lag(c).over(within))
+    if materialize:
+        staged = materialize_df(staged)
 
-    tail_fields = list(order_by) + [c for c in lag_cols if c not in order_by]
-    tails = d.groupBy(*p, seg).agg(
-        F.max(F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tail_fields)])).alias("_tail")
-    )
+    # tails come from the windowed frame itself (last row of each segment); the
+    # frame is checkpointed, so both branches read it instead of recomputing
+    tails = staged.where(F.col("_is_last")).select(*p, seg, *[F.col(c).alias(f"_t_{c}") for c in lag_cols])
     across = Window.partitionBy(*p).orderBy(F.col(seg).asc())
+    keys = p + [seg]
     carry = tails.select(
-        *p, seg,
-        *[F.lag(F.col(f"_tail.t{tail_fields.index(c)}")).over(across).alias(f"_carry_{c}") for c in lag_cols],
+        *[F.col(k).alias(f"_ck{i}") for i, k in enumerate(keys)],
+        *[F.lag(f"_t_{c}").over(across).alias(f"_carry_{c}") for c in lag_cols],
     )
-    cond = [staged[k].eqNullSafe(carry[k]) for k in p + [seg]]
+    cond = [F.col(k).eqNullSafe(F.col(f"_ck{i}")) for i, k in enumerate(keys)]
     joined = staged.join(carry, cond, "left")
     out = joined.select(
-        *[staged[c] for c in df.columns],
+        *[F.col(c) for c in df.columns],
         *[
-            F.when(staged["_rn"] == 1, carry[f"_carry_{c}"]).otherwise(staged[f"_in_{c}"]).alias(f"{prefix}{c}")
+            F.when(F.col("_rn") == 1, F.col(f"_carry_{c}")).otherwise(F.col(f"_in_{c}")).alias(f"{prefix}{c}")
             for c in lag_cols
         ],
     )

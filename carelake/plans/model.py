@@ -10,26 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from carelake.plans import silver as silver_mod
+from carelake.session import materialize as materialize_df
 from carelake.session import prepare
 from carelake.sources import fixtures
 from carelake.sources.tables import Tables
 
 
 class Model:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False):
+        """``materialize=True`` checkpoints each bronze/silver frame on first use
+        (for jobs that read the same resource in several branches)."""
         self.spark = prepare(spark)
+        self.materialize = materialize
         self.tables = Tables(spark, sf_dir)
         self._bronze: dict[str, DataFrame] = {}
         self._silver: dict[str, DataFrame] = {}
 
     def bronze(self, resource: str) -> DataFrame:
         if resource not in self._bronze:
-            self._bronze[resource] = fixtures.bronze(self.tables, resource)
+            b = fixtures.bronze(self.tables, resource)
+            self._bronze[resource] = materialize_df(b) if self.materialize else b
         return self._bronze[resource]
 
     def silver(self, resource: str) -> DataFrame:
         if resource not in self._silver:
-            self._silver[resource] = silver_mod.silver(self.bronze(resource), resource)
+            s = silver_mod.silver(self.bronze(resource), resource)
+            self._silver[resource] = materialize_df(s) if self.materialize else s
         return self._silver[resource]
 
     def sources(self, *resources: str) -> dict[str, DataFrame]:

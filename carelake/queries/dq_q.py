@@ -18,7 +18,7 @@ def _family(*families):
 
 
 def dq_references(spark, sf_dir):
-    return dq.dangling_references(Model(spark, sf_dir))
+    return dq.dangling_references(Model(spark, sf_dir, materialize=True))
 
 
 def dq_duplicates(spark, sf_dir):
@@ -31,15 +31,15 @@ def dq_duplicate_entities(spark, sf_dir):
 
 
 def dq_all(spark, sf_dir):
-    return dq.all_detections(Model(spark, sf_dir))
+    return dq.all_detections(Model(spark, sf_dir, materialize=True))
 
 
 def dq_summary(spark, sf_dir):
-    return dq.summary(dq.all_detections(Model(spark, sf_dir)))
+    return dq.summary(dq.all_detections(Model(spark, sf_dir, materialize=True)))
 
 
 def dq_score(spark, sf_dir):
-    m = Model(spark, sf_dir)
+    m = Model(spark, sf_dir, materialize=True)
     return dq.score(dq.all_detections(m), fixtures.manifest(m.tables))
 
 

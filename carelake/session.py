@@ -51,6 +51,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -60,3 +61,43 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
+
+
+# Upstreams reading less than this are recomputed rather than written out:
+# at small scale a write + read costs more than re-running the plan.
+MATERIALIZE_MIN_INPUT_BYTES = 1 << 30
+
+
+def input_bytes(df) -> int | None:
+    """Bytes read by the plan's leaf scans (file sizes, which are exact),
+    summed over every scan occurrence; None when unavailable (e.g. Connect)."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # noqa: SLF001
+        total = 0
+        for i in range(leaves.size()):
+            size = leaves.apply(i).stats().sizeInBytes()
+            total += size if isinstance(size, int) else int(str(size.toString()))
+        return total
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def materialize(df, min_input_bytes: int | None = None):
+    """Cut lineage where one intermediate feeds several branches.
+
+    When the frame's plan reads at least ``min_input_bytes`` (default 1 GiB),
+    the rows are written once as parquet under ``spark.checkpoint.dir`` (a
+    shared, reliable folder on a cluster) and read back, so the branches do
+    not each recompute the upstream and a lost executor does not replay it.
+    Smaller plans are returned unchanged. Never a local checkpoint.
+    """
+    import uuid
+
+    limit = MATERIALIZE_MIN_INPUT_BYTES if min_input_bytes is None else min_input_bytes
+    size = input_bytes(df)
+    if size is not None and size < limit:
+        return df
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/carelake-materialized/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

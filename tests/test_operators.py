@@ -115,3 +115,29 @@ def test_expect_or_drop_quarantine(spark):
     kept, q = expect_or_drop(df, {"not_null_patient_id": "patient_id IS NOT NULL"})
     assert [r.n for r in kept.collect()] == [1]
     assert [r._failed_rules for r in q.collect()] == [["not_null_patient_id"]]
+
+
+def test_materialize_roundtrip_and_threshold(spark, small_dir):
+    from carelake.plans.model import Model
+    from carelake.session import input_bytes, materialize
+
+    df = Model(spark, small_dir).silver("patient")
+    assert input_bytes(df) > 0
+    assert materialize(df) is df  # small upstream: recomputed, not written
+    forced = materialize(df, 0)
+    assert sorted(map(repr, forced.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_segmented_lag_with_materialized_stage(spark):
+    import carelake.session as session
+
+    df = _events(spark, 500, seed=11)
+    old = session.MATERIALIZE_MIN_INPUT_BYTES
+    session.MATERIALIZE_MIN_INPUT_BYTES = 0
+    try:
+        a = segmented_lag(df, ["k"], ["t", "id"], ["v"], day_segment(F.col("t")))
+        rows_a = sorted(a.select("k", "id", "prev_v").collect())
+    finally:
+        session.MATERIALIZE_MIN_INPUT_BYTES = old
+    b = plain_lag(df, ["k"], ["t", "id"], ["v"])
+    assert rows_a == sorted(b.select("k", "id", "prev_v").collect())
