@@ -30,8 +30,9 @@ def _all_bronze(m: Model):
 
 
 def bronze_ingest(spark, sf_dir):
-    """Bronze rows of all resources (id / type / source columns)."""
-    m = Model(spark, sf_dir)
+    """Bronze rows of all resources (id / type / source columns), built
+    by the ingest itself rather than read from the stored bronze tables."""
+    m = Model(spark, sf_dir, persist=False)
     frames = [b.select("resource_id", "resource_type", "_source_file") for b in _all_bronze(m).values()]
     out = frames[0]
     for f in frames[1:]:

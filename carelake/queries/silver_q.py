@@ -46,7 +46,8 @@ TIMESTAMP_COLUMNS = {"start_ts", "end_ts", "_ingested_at"}
 
 def _silver_query(resource: str):
     def run(spark, sf_dir):
-        df = Model(spark, sf_dir).silver(resource)
+        # the parse itself (bronze table -> from_json), not the stored silver table
+        df = Model(spark, sf_dir).parsed(resource)
         return df.select(
             *[fhir.to_ntz(c).alias(c) if c in TIMESTAMP_COLUMNS else F.col(c) for c in SILVER_COLUMNS[resource]]
         )
