@@ -55,11 +55,8 @@ def profile_table(spark, sf_dir):
 
 
 def _leaves(m: Model):
-    frames = [m.bronze(r.lower()).select("resource_type", "resource_id", "raw_json") for r in RESOURCES]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return profile.json_leaves(out)
+    # one frame per resource: each type's documents are read from its own table
+    return profile.json_leaves([m.bronze(r.lower()).select("resource_type", "resource_id", "raw_json") for r in RESOURCES])
 
 
 def profile_dates(spark, sf_dir):

@@ -141,3 +141,34 @@ def test_segmented_lag_with_materialized_stage(spark):
         session.MATERIALIZE_MIN_INPUT_BYTES = old
     b = plain_lag(df, ["k"], ["t", "id"], ["v"])
     assert rows_a == sorted(b.select("k", "id", "prev_v").collect())
+
+
+def _walk(doc, path=""):
+    """Plain-Python reference: every non-null scalar leaf as (path, text)."""
+    if isinstance(doc, dict):
+        for k, v in doc.items():
+            yield from _walk(v, f"{path}.{k}" if path else k)
+    elif isinstance(doc, list):
+        for x in doc:
+            yield from _walk(x, path + "[]")
+    elif doc is not None:
+        yield path, ("true" if doc is True else "false" if doc is False else str(doc))
+
+
+def test_json_leaves_matches_python_walk(spark):
+    import json
+
+    from carelake.operators.profile import json_leaves
+
+    docs = [
+        ("A", "a1", {"id": "a1", "item": [{"enc": [{"ref": "E/1"}, {"ref": "E/2"}]}, {"enc": None}, {"x": 3}], "n": 7}),
+        ("A", "a2", {"id": "a2", "item": [], "flag": True, "name": [{"given": ["Ann", "B"]}, {"given": None}]}),
+        ("B", "b1", {"id": "b1", "period": {"start": "2024-01-02T00:00:00+00:00", "end": None}}),
+    ]
+    frames = [
+        spark.createDataFrame([(t, i, json.dumps(d)) for t, i, d in docs if t == "A"], "resource_type string, resource_id string, raw_json string"),
+        spark.createDataFrame([(t, i, json.dumps(d)) for t, i, d in docs if t == "B"], "resource_type string, resource_id string, raw_json string"),
+    ]
+    got = sorted(tuple(r) for r in json_leaves(frames).collect())
+    want = sorted((t, i, p, v) for t, i, d in docs for p, v in _walk(d))
+    assert got == want
