@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.functions import codes
+from carelake.operators.joins import broadcast_if_small
 from carelake.plans.model import Model
 
 RESOURCE_TYPES = {
@@ -177,14 +178,15 @@ def row_rule_detections(m: Model, families=None) -> DataFrame | None:
         rules = [r for r in chosen if r.resource == resource]
         if not rules:
             continue
-        hits = F.filter(
+        # failed rules as one array (passed rules are nulls, compacted away):
+        # plain expressions, so the whole select stays in generated code
+        hits = F.array_compact(
             F.array(
                 *[
                     F.when(F.coalesce(F.expr(r.spark), F.lit(False)), F.struct(F.lit(r.anomaly_type).alias("a"), F.lit(r.detail).alias("d")))
                     for r in rules
                 ]
-            ),
-            lambda x: x.isNotNull(),
+            )
         )
         df = _rule_input(m, resource).select(F.col(id_col).alias("resource_id"), F.explode(hits).alias("h"))
         frames.append(
@@ -227,7 +229,9 @@ def dangling_references(m: Model) -> DataFrame:
             for t in ("patient", "organization", "encounter")
         ]
     ).distinct()
-    missing = _union(refs).join(ids, ["target", "target_id"], "left_anti")
+    # known ids are broadcast only when the size estimate is bounded; at scale
+    # this is a shuffle anti-join and AQE splits a hot target id
+    missing = _union(refs).join(broadcast_if_small(ids), ["target", "target_id"], "left_anti")
     return missing.select(
         "resource_type", "resource_id", F.lit("dangling_reference").alias("anomaly_type"),
         F.concat(F.col("field"), F.lit(" references a "), F.initcap("target"), F.lit(" id that does not exist")).alias("detail"),
@@ -235,12 +239,17 @@ def dangling_references(m: Model) -> DataFrame:
 
 
 def duplicate_lines(m: Model) -> DataFrame:
-    """Identical bronze lines exported more than once (one row per line)."""
+    """Identical bronze lines exported more than once (one row per line).
+
+    Lines are grouped by (id, SHA-256 of the text, length): the shuffle moves
+    a 32-byte digest per row instead of the whole JSON text, and the partial
+    aggregation folds repeated copies of a hot id before the exchange."""
     frames = []
     for resource, (rtype, _) in RESOURCE_TYPES.items():
         b = m.bronze(resource)
         frames.append(
-            b.groupBy("resource_id", "raw_json").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+            b.groupBy("resource_id", F.sha2("raw_json", 256).alias("_digest"), F.length("raw_json").alias("_len"))
+            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
             .select(
                 F.lit(rtype).alias("resource_type"), "resource_id", F.lit("duplicate_resource").alias("anomaly_type"),
                 F.lit("identical resource exported more than once").alias("detail"),
