@@ -24,9 +24,13 @@ def strip_prefix(col: str | Column, prefix: str) -> Column:
 
 
 def parse_instant(col: str | Column) -> Column:
-    """Two-format timestamp: `MM/dd/yyyy HH:mm`, else ISO 8601; junk -> null."""
+    """Two-format timestamp: `MM/dd/yyyy HH:mm` or ISO 8601; junk -> null.
+
+    No text parses under both formats, so their order does not change the
+    result (D4). The cheap ISO cast goes first, and the pattern parse (whose
+    failures are costly) runs only on text with a '/', which it requires."""
     c = _c(col)
-    return F.coalesce(F.try_to_timestamp(c, F.lit(codes.US_DATE_TIME_FORMAT)), F.try_to_timestamp(c))
+    return F.coalesce(F.try_to_timestamp(c), F.when(c.contains("/"), F.try_to_timestamp(c, F.lit(codes.US_DATE_TIME_FORMAT))))
 
 
 def parse_iso(col: str | Column) -> Column:

@@ -30,7 +30,7 @@ OUTPUT = GRAIN + ["claims_count", "amount_billed", "denied_or_rejected_claims_co
 
 
 def claim_month(billable_start) -> F.Column:
-    ts = F.coalesce(F.try_to_timestamp(billable_start), F.try_to_timestamp(billable_start, F.lit(codes.US_DATE_TIME_FORMAT)))
+    ts = fhir.parse_instant(billable_start)  # ISO first, as D4 writes it; same result
     return F.date_trunc("month", ts).cast("date")
 
 
