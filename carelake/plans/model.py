@@ -38,6 +38,11 @@ class Model:
         self._bronze: dict[str, DataFrame] = {}
         self._silver: dict[str, DataFrame] = {}
         self._root: str | None = None
+        if self.persist:
+            try:
+                self._layer_path("bronze", "")
+            except Exception:  # noqa: BLE001 - no JVM access (e.g. Spark Connect): stay lazy
+                self.persist = False
 
     def _layer_path(self, layer: str, resource: str) -> str:
         if self._root is None:

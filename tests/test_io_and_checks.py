@@ -104,3 +104,23 @@ def test_reconcile_counts_mismatches(spark):
     e = spark.createDataFrame([("x", 1.005), ("z", 3.0)], "k string, m double")
     r = validate.reconcile(a, e, ["k"], ["m"]).first()
     assert (r.compared, r.mismatched, r.missing_in_actual, r.missing_in_expected) == (1, 0, 1, 1)
+
+
+def test_persisted_layers_equal_lazy_plans_and_are_reused(spark, small_dir, tmp_path):
+    from carelake.sources import lake
+
+    spark.conf.set(lake.LAKE_CONF, str(tmp_path / "lake"))
+    try:
+        stored = Model(spark, small_dir)
+        path = stored._layer_path("silver", "claim")
+        assert not lake.is_complete(spark, path)
+        got = sorted(map(tuple, stored.silver("claim").collect()))
+        assert lake.is_complete(spark, path)
+        lazy = sorted(map(tuple, Model(spark, small_dir, persist=False).silver("claim").collect()))
+        assert got == lazy
+        # a second model over the same inputs and code reads the same folder
+        again = Model(spark, small_dir)
+        assert again._layer_path("silver", "claim") == path
+        assert sorted(map(tuple, again.silver("claim").collect())) == lazy
+    finally:
+        spark.conf.unset(lake.LAKE_CONF)
