@@ -1,17 +1,27 @@
 """Interval existence join (J6): does a row on the right fall within
 [left.ts, left.ts + width] for the same key?
 
-Spark has no range join; the plain formulation (equi key + range residual)
-makes a hot key compare every left row with every right row of that key.
-Here both sides are additionally keyed by a time bucket of size >= width:
-a right row lives in one bucket, a left row probes its own bucket and the
-next one. The join is a LEFT SEMI join, which stops at the first match and
-never materialises pairs. A hot key is split over its buckets.
+Spark has no range join. The plain formulation (equi key + range residual)
+compares every left row with every right row of a key, and a semi join
+with a range residual still scans a whole group for a probe that has no
+match. Here the question is answered by sorting, not by pairing:
+
+1. time is cut into buckets of ``width``; a probe (distinct key, ts) lives
+   in its bucket, and a right row is placed in its own bucket and in the one
+   before, so a probe's group holds every right row it could match;
+2. per (key, bucket), rows ordered by time descending (right rows before
+   probes at equal times) carry the nearest right time at or after each
+   probe: ``last(right ts, ignorenulls)`` over an unbounded-preceding frame,
+   which Spark evaluates incrementally;
+3. a probe matches when that time is at most ``ts + width``.
+
+A hot key is split over its buckets, each group is one sort (O(n log n)),
+no pairs are formed, and the result is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,23 +41,28 @@ def exists_within(
     """``left`` plus an int ``flag`` (1/0): some right row with the same key
     has ``left_ts <= right_ts <= left_ts + width``. Null keys or times never
     match. The left side's columns and rows are kept as they are."""
-    r = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull()).select(
-        F.col(key).alias("_rk"), F.col(right_ts).alias("_rts"), _bucket(F.col(right_ts), width_seconds).alias("_rb")
+    rights = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull()).select(
+        F.col(key).alias("_k"),
+        F.col(right_ts).alias("_t"),
+        F.explode(F.array(_bucket(F.col(right_ts), width_seconds), _bucket(F.col(right_ts), width_seconds) - 1)).alias("_b"),
+        F.lit(1).alias("_right"),
     )
     probes = (
         left.where(F.col(key).isNotNull() & F.col(left_ts).isNotNull())
-        .select(F.col(key).alias("_lk"), F.col(left_ts).alias("_lts"))
+        .select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"))
         .distinct()
+        .select("_k", "_t", _bucket(F.col("_t"), width_seconds).alias("_b"), F.lit(0).alias("_right"))
     )
-    probes_b = probes.withColumn(
-        "_lb", F.explode(F.array(_bucket(F.col("_lts"), width_seconds), _bucket(F.col("_lts"), width_seconds) + 1))
+    seen = Window.partitionBy("_k", "_b").orderBy(F.col("_t").desc(), F.col("_right").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    cond = (
-        (probes_b["_lk"] == r["_rk"])
-        & (probes_b["_lb"] == r["_rb"])
-        & (r["_rts"] >= probes_b["_lts"])
-        & (r["_rts"] <= probes_b["_lts"] + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(width_seconds)))
+    nearest = F.last(F.when(F.col("_right") == 1, F.col("_t")), ignorenulls=True).over(seen)
+    limit = F.col("_t") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(width_seconds))
+    hits = (
+        probes.unionByName(rights)
+        .withColumn("_next", nearest)
+        .where((F.col("_right") == 0) & F.col("_next").isNotNull() & (F.col("_next") <= limit))
+        .select(F.col("_k").alias("_lk"), F.col("_t").alias("_lts"), F.lit(1).alias("_hit"))
     )
-    hits = probes_b.join(r, cond, "left_semi").select("_lk", "_lts").distinct().withColumn("_hit", F.lit(1))
     joined = left.join(hits, (left[key] == hits["_lk"]) & (left[left_ts] == hits["_lts"]), "left")
     return joined.select(*[left[c] for c in left.columns], F.coalesce(hits["_hit"], F.lit(0)).alias(flag))

@@ -172,3 +172,26 @@ def test_json_leaves_matches_python_walk(spark):
     got = sorted(tuple(r) for r in json_leaves(frames).collect())
     want = sorted((t, i, p, v) for t, i, d in docs for p, v in _walk(d))
     assert got == want
+
+
+def test_exists_within_boundaries_and_hot_key(spark):
+    base = dt.datetime(2024, 3, 1, 12, 0)
+    h = dt.timedelta(hours=1)
+    left = spark.createDataFrame(
+        [("a", base, 1), ("a", base, 2), ("b", base, 3), ("c", base, 4), ("d", None, 5), (None, base, 6)]
+        + [("hot", base + i * h, 100 + i) for i in range(60)],
+        "k string, ts timestamp, id long",
+    )
+    right = spark.createDataFrame(
+        [("a", base), ("b", base + 24 * h), ("c", base + 24 * h + dt.timedelta(seconds=1)), ("c", base - dt.timedelta(seconds=1)),
+         ("d", base)]
+        + [("hot", base + (3 * i + 0.5) * h) for i in range(10)],
+        "k string, rts timestamp",
+    )
+    got = {r["id"]: r["hit"] for r in exists_within(left, right, "k", "ts", "rts", 24 * 3600, "hit").collect()}
+    # equal time and the upper bound are inside; one second outside either end is not
+    assert (got[1], got[2], got[3], got[4], got[5], got[6]) == (1, 1, 1, 0, 0, 0)
+    last_right = base + 27.5 * h
+    for i in range(60):
+        t = base + i * h
+        assert got[100 + i] == int(t <= last_right), i
