@@ -13,13 +13,16 @@ cluster names). Each layer folder is keyed by a fingerprint: the input files'
 paths, sizes and modification times, plus the source text of the modules
 that define the layers. Changed inputs or code therefore get a new folder
 and never read stale rows. A folder counts only when its ``_SUCCESS`` marker
-exists (written by Spark's committer after the whole job succeeded).
+exists (written by Spark's committer after the whole job succeeded); each
+build writes its own attempt folder, so nothing is ever overwritten.
 """
 
 from __future__ import annotations
 
 import hashlib
 import inspect
+import threading
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,16 +67,46 @@ def fingerprint(spark: SparkSession, input_paths: Iterable[str], modules: Iterab
     return h.hexdigest()[:16]
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
+def complete_attempt(spark: SparkSession, path: str) -> str | None:
+    """The first finished attempt folder under a layer path (one whose
+    ``_SUCCESS`` marker exists), or None."""
     try:
-        fs, p = _hadoop_path(spark, f"{path}/_SUCCESS")
-        return bool(fs.exists(p))
+        fs, p = _hadoop_path(spark, path)
+        if not fs.exists(p):
+            return None
+        attempts = sorted(str(st.getPath().toString()) for st in fs.listStatus(p) if st.isDirectory())
+        for a in attempts:
+            fs_a, marker = _hadoop_path(spark, f"{a}/_SUCCESS")
+            if fs_a.exists(marker):
+                return a
     except Exception:  # noqa: BLE001
-        return False
+        return None
+    return None
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    return complete_attempt(spark, path) is not None
+
+
+_locks: dict[str, threading.Lock] = {}
+_locks_guard = threading.Lock()
+
+
+def _lock_for(path: str) -> threading.Lock:
+    with _locks_guard:
+        return _locks.setdefault(path, threading.Lock())
 
 
 def persisted(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Scan of the layer at ``path``; written from ``build()`` first when absent."""
-    if not is_complete(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Scan of the layer at ``path``; built first when no attempt has finished.
+
+    Every build writes its own attempt folder (``path/<uuid>``) and nothing is
+    overwritten, so a concurrent reader never sees files deleted under it and
+    two writers cannot clash; readers take the first finished attempt. In one
+    process a lock per path keeps two threads from building the same layer."""
+    with _lock_for(path):
+        done = complete_attempt(spark, path)
+        if done is None:
+            done = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+            build().write.mode("errorifexists").parquet(done)
+    return spark.read.parquet(done)
