@@ -74,7 +74,7 @@ class Model:
             self._silver[resource] = s
         return self._silver[resource]
 
-    def build_all(self, parallel: int = 4) -> None:
+    def build_all(self, parallel: int = len(fixtures.BUILDERS)) -> None:
         """Write every bronze and silver layer that is not written yet.
 
         The resources are independent jobs; submitting a few at once keeps
