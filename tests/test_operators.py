@@ -195,3 +195,22 @@ def test_exists_within_boundaries_and_hot_key(spark):
     for i in range(60):
         t = base + i * h
         assert got[100 + i] == int(t <= last_right), i
+
+
+def test_duplicate_lines_by_digest_equals_text_grouping(spark):
+    from carelake.operators import dq
+
+    rows = [("hot", '{"id":"hot","v":1}')] * 400 + [("hot", '{"id":"hot","v":2}'), ("hot", '{"id":"hot","v":3}')]
+    rows += [("a", '{"id":"a"}'), ("a", '{"id":"a" }'), ("b", '{"id":"b"}'), ("b", '{"id":"b"}'), ("c", '{"id":"c"}')]
+    frame = spark.createDataFrame(rows, "resource_id string, raw_json string").repartition(5)
+
+    class Stub:
+        def bronze(self, resource):
+            return frame if resource == "claim" else frame.limit(0)
+
+    got = sorted((r["resource_id"]) for r in dq.duplicate_lines(Stub()).collect())
+    want = sorted(
+        r["resource_id"]
+        for r in frame.groupBy("resource_id", "raw_json").count().where("count > 1").collect()
+    )
+    assert got == want == ["b", "hot"]
