@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from carelake.functions import codes, fhir
 from carelake.plans import silver as silver_mod
 from carelake.session import materialize as materialize_df
-from carelake.session import prepare
+from carelake.session import prepare, size_shuffles
 from carelake.sources import bronze as bronze_mod
 from carelake.sources import fixtures, lake
 from carelake.sources.tables import Tables
@@ -38,6 +38,7 @@ class Model:
         self._bronze: dict[str, DataFrame] = {}
         self._silver: dict[str, DataFrame] = {}
         self._root: str | None = None
+        size_shuffles(self.spark, lake.input_bytes(self.spark, [self.tables.path(t) for t in FIXTURE_INPUTS]))
         if self.persist:
             try:
                 self._layer_path("bronze", "")

@@ -101,3 +101,26 @@ def materialize(df, min_input_bytes: int | None = None):
     path = f"{checkpoint_dir(spark).rstrip('/')}/carelake-materialized/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# Initial shuffle width at scale: about one partition per 128 MiB of input,
+# so a shuffle's partitions fit in executor memory instead of spilling.
+# AQE coalesces small partitions afterwards, so erring high is cheap.
+SHUFFLE_INPUT_BYTES_PER_PARTITION = 128 << 20
+MAX_INITIAL_SHUFFLE_PARTITIONS = 50_000
+INITIAL_PARTITIONS_CONF = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int | None) -> int | None:
+    """Raise AQE's initial shuffle partition count for a large input.
+
+    Only when the session has not set it and the input needs more partitions
+    than ``spark.sql.shuffle.partitions`` gives; returns the value set, else None."""
+    if not input_bytes or spark.conf.get(INITIAL_PARTITIONS_CONF, None):
+        return None
+    current = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    wanted = min(MAX_INITIAL_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_INPUT_BYTES_PER_PARTITION))
+    if wanted <= current:
+        return None
+    spark.conf.set(INITIAL_PARTITIONS_CONF, str(wanted))
+    return wanted

@@ -58,6 +58,19 @@ def _file_stamp(spark: SparkSession, path: str) -> str:
         return f"{path}:unknown"
 
 
+def input_bytes(spark: SparkSession, paths: Iterable[str]) -> int | None:
+    """Total bytes of the files under ``paths`` (None without JVM access)."""
+    try:
+        total = 0
+        for path in paths:
+            fs, p = _hadoop_path(spark, path)
+            if fs.exists(p):
+                total += int(fs.getContentSummary(p).getLength())
+        return total
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def fingerprint(spark: SparkSession, input_paths: Iterable[str], modules: Iterable[object]) -> str:
     h = hashlib.sha1()
     for path in sorted(input_paths):

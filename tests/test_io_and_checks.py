@@ -124,3 +124,17 @@ def test_persisted_layers_equal_lazy_plans_and_are_reused(spark, small_dir, tmp_
         assert sorted(map(tuple, again.silver("claim").collect())) == lazy
     finally:
         spark.conf.unset(lake.LAKE_CONF)
+
+
+def test_size_shuffles_only_raises_an_unset_width(spark):
+    from carelake.session import INITIAL_PARTITIONS_CONF, size_shuffles
+
+    assert spark.conf.get(INITIAL_PARTITIONS_CONF, None) is None
+    assert size_shuffles(spark, 10 << 20) is None  # small input: the session's width is enough
+    assert spark.conf.get(INITIAL_PARTITIONS_CONF, None) is None
+    try:
+        assert size_shuffles(spark, 100 * (1 << 40)) == 50_000  # 100 TiB: capped
+        assert spark.conf.get(INITIAL_PARTITIONS_CONF) == "50000"
+        assert size_shuffles(spark, 1 << 40) is None  # already set: left alone
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS_CONF)
