@@ -49,10 +49,16 @@ def segmented_lag(
     ``segment`` must be non-decreasing in that order and never null."""
     p = list(partition_by)
     seg = "_seg"
-    # an explicit exchange on (key, segment): without it the planner reuses an
-    # upstream partitioning on the key alone and a hot key stays in one task
-    d = df.withColumn(seg, segment).repartition(*p, seg)
-    within = Window.partitionBy(*p, seg).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+    key = "_pkey"
+    # One key column, struct(partition keys, segment): a struct is never null
+    # and struct equality matches null fields, so it groups like
+    # partitionBy(p, seg) and joins back with plain equality. The exchange,
+    # the window and the join back all use this one column, so the join
+    # reuses the exchange instead of shuffling the staged rows again. The
+    # explicit exchange also keeps the planner from reusing an upstream
+    # partitioning on the key alone, where a hot key would stay in one task.
+    d = df.withColumn(seg, segment).withColumn(key, F.struct(*[F.col(c) for c in p], F.col(seg))).repartition(key)
+    within = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
     staged = d.withColumn("_rn", F.row_number().over(within)).withColumn(
         "_is_last", F.lead(F.lit(1)).over(within).isNull()
     )
@@ -63,15 +69,13 @@ def segmented_lag(
 
     # tails come from the windowed frame itself (last row of each segment); the
     # frame is checkpointed, so both branches read it instead of recomputing
-    tails = staged.where(F.col("_is_last")).select(*p, seg, *[F.col(c).alias(f"_t_{c}") for c in lag_cols])
+    tails = staged.where(F.col("_is_last")).select(*p, seg, key, *[F.col(c).alias(f"_t_{c}") for c in lag_cols])
     across = Window.partitionBy(*p).orderBy(F.col(seg).asc())
-    keys = p + [seg]
     carry = tails.select(
-        *[F.col(k).alias(f"_ck{i}") for i, k in enumerate(keys)],
+        F.col(key).alias("_ckey"),
         *[F.lag(f"_t_{c}").over(across).alias(f"_carry_{c}") for c in lag_cols],
     )
-    cond = [F.col(k).eqNullSafe(F.col(f"_ck{i}")) for i, k in enumerate(keys)]
-    joined = staged.join(carry, cond, "left")
+    joined = staged.join(carry, F.col(key) == F.col("_ckey"), "left")
     out = joined.select(
         *[F.col(c) for c in df.columns],
         *[

@@ -214,3 +214,14 @@ def test_duplicate_lines_by_digest_equals_text_grouping(spark):
         for r in frame.groupBy("resource_id", "raw_json").count().where("count > 1").collect()
     )
     assert got == want == ["b", "hot"]
+
+
+def test_segmented_lag_with_null_partition_keys(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(None if i % 3 == 0 else f"k{i % 2}", base + dt.timedelta(hours=7 * i), i, i * 10, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, id long, v int, flag int")
+    order = ["t", "id"]
+    a = segmented_lag(df, ["k"], order, ["v", "flag"], day_segment(F.col("t")), materialize=False)
+    b = plain_lag(df, ["k"], order, ["v", "flag"])
+    cols = ["k", "id", "prev_v", "prev_flag"]
+    assert sorted(a.select(*cols).collect(), key=str) == sorted(b.select(*cols).collect(), key=str)
