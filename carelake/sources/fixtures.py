@@ -431,9 +431,9 @@ def all_bronze(t: Tables) -> dict[str, DataFrame]:
 
 # ---------------------------------------------------------------- manifest
 def _entries(df: DataFrame, rtype: str, id_col: Column, rules: list[tuple[Column, str, str]]) -> DataFrame:
-    hits = F.filter(
-        F.array(*[F.when(cond, F.struct(F.lit(kind).alias("k"), F.lit(detail).alias("d"))) for cond, kind, detail in rules]),
-        lambda x: x.isNotNull(),
+    # the defects a row carries; rules it does not meet are nulls, compacted away
+    hits = F.array_compact(
+        F.array(*[F.when(cond, F.struct(F.lit(kind).alias("k"), F.lit(detail).alias("d"))) for cond, kind, detail in rules])
     )
     return df.select(id_col.alias("resource_id"), F.explode(hits).alias("h")).select(
         F.lit(rtype).alias("resourceType"), "resource_id", F.col("h.k").alias("anomaly_type"), F.col("h.d").alias("detail")
