@@ -86,9 +86,8 @@ def denied_claims_usd(claim: DataFrame, patient: DataFrame) -> DataFrame:
 def expect_or_drop(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Rows passing every SQL rule, and the quarantine with the failed rule
     names. One pass: the failed-rule array is computed once per row."""
-    failed = F.filter(
-        F.array(*[F.when(~F.coalesce(F.expr(cond), F.lit(False)), F.lit(name)) for name, cond in rules.items()]),
-        lambda x: x.isNotNull(),
+    failed = F.array_compact(
+        F.array(*[F.when(~F.coalesce(F.expr(cond), F.lit(False)), F.lit(name)) for name, cond in rules.items()])
     )
     tagged = df.withColumn("_failed_rules", failed)
     kept = tagged.where(F.size("_failed_rules") == 0).drop("_failed_rules")
