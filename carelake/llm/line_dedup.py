@@ -44,7 +44,7 @@ def line_hashes(text: Column) -> Column:
 
 def windows(docs: DataFrame) -> DataFrame:
     """One row for each window of ``docs`` (doc_id, text): key, place_id, position, window."""
-    lined = docs.where(F.col("text") != "").select(
+    lined = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
         row_key("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("place_id"), line_hashes(F.col("text")).alias("h")
     )
     at = F.transform(
@@ -52,7 +52,7 @@ def windows(docs: DataFrame) -> DataFrame:
         # beyond the end of a short text there is null, which the hash passes over
         lambda i: F.xxhash64(F.size("h") < LINES, *[F.get("h", i + k) for k in range(LINES)]),
     )
-    return lined.where(F.size("h") > 0).select("key", "place_id", F.posexplode(at).alias("position", "window"))
+    return lined.select("key", "place_id", F.posexplode(at).alias("position", "window"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

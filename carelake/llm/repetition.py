@@ -25,7 +25,7 @@ _word = re.compile(WORD)
 _symbol = re.compile(r"[#*$%&|<>]").findall
 
 #: Most of the word characters that may lie under repeated windows of n words, and in repeated lines.
-LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.25, 9: 0.24, 10: 0.23}
+LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.33, 10: 0.32}
 LINE_LIMIT = 0.30
 BASE_WINDOW = 8
 
