@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import language_id, line_dedup, mixing, packing, repetition
+from carelake.llm import html_text, jaccard_join, language_id, line_dedup, lm_scoring, mixing, neighbours, packing, repetition, toxicity
 from carelake.llm.common import remainder, table
 
 
@@ -15,6 +15,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "host_path")
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scorer = toxicity.fit(docs, labels.where(remainder("doc_id", 5) > 0))
+    return toxicity.score(docs, scorer).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "best_clause", "total", "matched_clauses")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -35,12 +51,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the target: documents that are labelled as of high quality and not as toxic
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good")).where("good")
+    marked = docs.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("is_target"))
+    return lm_scoring.score(docs, lm_scoring.count(marked))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
-    "op1_language_id": op1_language_id,
-    "op5_mixing": op5_mixing,
-    "op6_packing": op6_packing,
-    "op7_repetition": op7_repetition,
-    "op8_line_dedup": op8_line_dedup,
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_html_text, op3_neighbours, op4_toxicity, op5_mixing, op6_packing, op7_repetition, op8_line_dedup, op9_lm_scoring, op10_jaccard_join,
+    )
 }
 
 ORACLES = {"op5_mixing": mixing.ORACLE}
