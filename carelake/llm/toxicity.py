@@ -17,9 +17,9 @@ logistic function of its best clause, its total and its matched clauses,
 fitted on labelled rows.
 
 The insult lexicon is learned: whole words and word beginnings (of ``STEMS``
-letters) are counted in toxic and clean documents, and a greedy cover takes the
-most telling ones until every toxic document it can explain holds two of them,
-so that words which merely recur in copies of a toxic text stay out.
+letters) are counted in toxic and clean documents. In toxic ones distinct
+contexts count, the word with its two neighbours, so that words which merely
+recur in copies of a toxic text stay out.
 
 Edge cases: a null or empty text, or one without any lexicon word, gets the
 score of no match. With no labelled rows, or of one class only, the lexicon is
@@ -29,10 +29,9 @@ Contradicting labels of one document count as toxic. Other columns are not read.
 
 from __future__ import annotations
 
-import heapq
-import itertools
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +45,8 @@ from carelake.llm.common import chunks
 #: Labelled documents of either class that the lexicon and the weights are fitted on, about; drawn by a hash of the id.
 SAMPLE_PER_CLASS = 4_000
 STEMS = (4, 5, 6)
+#: Log-likelihood ratio from which a unit counts as telling: chance gives it to less than one unit in 100,000.
+EVIDENCE = 12.0
 
 # Small closed word classes of the grammar, in four languages.
 TARGETS = "you your yours yourself they them their he him his she her we us everyone people du dich dir ihr euch euer sie tu te toi vous ton ta votre tú ti usted ustedes vosotros".split()
@@ -157,36 +158,33 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
     return best, total, hits
 
 
-def _units(text: str) -> set[str]:
-    """The words of a text as "=word", and their beginnings."""
-    words = set(_words(text.lower()))
-    return {f"={w}" for w in words if len(w) > 2} | {w[:n] for w in words for n in STEMS if len(w) > n}
+def _units(text: str) -> dict[str, int]:
+    """The words of a text as "=word", and their beginnings, each with a hash of its first context."""
+    words = _words(text.lower())
+    out: dict[str, int] = {}
+    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        if len(word) > 2 and f"={word}" not in out:
+            context = zlib.crc32(f"{before} {word} {after}".encode())
+            out[f"={word}"] = context
+            for n in STEMS:
+                if len(word) > n:
+                    out.setdefault(word[:n], context)
+    return out
 
 
 def learn_lexicon(counted: pd.DataFrame, toxic: int, clean: int) -> Lexicon:
-    """Greedy cover. ``counted``: unit, n_clean and toxic_docs (list of numbers of toxic documents)."""
-    n_toxic = counted["toxic_docs"].str.len()
-    least = max(2, math.ceil(0.002 * toxic))
-    rate = np.log((n_toxic + 0.5) / (toxic + 1)) - np.log((counted["n_clean"] + 0.5) / (clean + 1))
-    counted = counted.assign(rate=rate)[(n_toxic >= least) & (rate > 2.0)]
-    # among units that cover the same documents the longer comes first
-    heap = [(-len(docs) + 4 * n_clean, -len(unit), unit, rate, docs) for unit, n_clean, docs, rate in counted[["unit", "n_clean", "toxic_docs", "rate"]].itertuples(index=False)]
-    heapq.heapify(heap)
-    cover, words, stems = {}, {}, {}
-    turn = itertools.count()
-    while heap:
-        gain, length, unit, rate, docs = heapq.heappop(heap)
-        now = -sum(cover.get(d, 0) < 2 for d in docs)
-        if -now < least:
-            continue
-        if heap and now > heap[0][0]:  # others have covered its documents: it waits its turn
-            heapq.heappush(heap, (now, length, unit, rate, docs))
-            if next(turn) > 50 * len(counted) + 1000:
-                break
-            continue
-        (words if unit[0] == "=" else stems)[unit.removeprefix("=")] = float(rate)
-        for d in docs:
-            cover[d] = cover.get(d, 0) + 1
+    """``counted``: unit, n_toxic (distinct contexts in toxic documents) and n_clean (clean documents).
+
+    A unit is taken if it tells the classes apart beyond what chance gives among so many units (a
+    log-likelihood ratio against the share of toxic documents); its weight is its smoothed log odds."""
+    t, c = counted["n_toxic"].to_numpy(float), counted["n_clean"].to_numpy(float)
+    share = toxic / max(toxic + clean, 1)
+    ratio = t * np.log(np.maximum(t / ((t + c) * share), 1e-9)) + c * np.log(np.maximum(c / ((t + c) * (1 - share)), 1e-9))
+    rate = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+    taken = counted.assign(rate=rate)[(ratio > EVIDENCE) & (rate > 2)]
+    words, stems = {}, {}
+    for unit, r in zip(taken["unit"], taken["rate"], strict=True):
+        (words if unit[0] == "=" else stems)[unit.removeprefix("=")] = float(r)
     return Lexicon(words, stems)
 
 
@@ -242,15 +240,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         for pdf in batches:
             for piece in chunks(pdf):
                 found = [_units(t) for t in piece["text"]]
-                n = [len(f) for f in found]
-                yield pd.DataFrame({"unit": [u for f in found for u in f], "doc_id": np.repeat(piece["doc_id"].to_numpy(), n), "toxic": np.repeat(piece["toxic"].to_numpy(), n)})
+                yield pd.DataFrame({
+                    "unit": [u for f in found for u in f], "context": [x for f in found for x in f.values()],
+                    "toxic": np.repeat(piece["toxic"].to_numpy(), [len(f) for f in found]),
+                })
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    least = max(2, math.ceil(0.002 * min(sizes[1], per_class)))
     counted = (
-        sample.mapInPandas(units, f"unit string, doc_id {id_type}, toxic int").groupBy("unit")
-        .agg(F.sum(1 - F.col("toxic")).alias("n_clean"), F.collect_set(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("toxic_docs"))
-        .where((F.size("toxic_docs") >= least) & (F.col("n_clean") * 4 <= F.size("toxic_docs"))).toPandas()
+        sample.mapInPandas(units, "unit string, context long, toxic int").groupBy("unit", F.when(F.col("toxic") == 1, F.col("context")).alias("context"))
+        .agg(F.sum(1 - F.col("toxic")).alias("n")).groupBy("unit").agg(F.count("context").alias("n_toxic"), F.sum("n").alias("n_clean"))
+        .where("n_toxic >= 4 and n_clean * 4 <= n_toxic").toPandas()
     )
     n = {c: min(sizes[c], per_class) for c in sizes}
     lexicon = learn_lexicon(counted, n[1], n[0])
