@@ -286,3 +286,14 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rec
     worded = signed.where("set_key is not null").select("doc_id", "row", "set_key").join(result, "set_key").select("doc_id", "row", "class_id", "component", "n_links")
     blank = signed.where("set_key is null").select("doc_id", "row", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"))
     return worded.unionByName(blank)
+
+
+def representatives(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one document of each class stays: that of the smallest
+    doc_id. Equal rows are one document; documents without a word all stay."""
+    found = jaccard_classes(docs, threshold, recall, block)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row")).alias("first")
+    chosen = found.where("component is not null").groupBy("component").agg(first).select("first.row")
+    kept = stored(chosen.unionByName(found.where("component is null").select("row").distinct()), "jaccard-kept")
+    rows = docs.select(row_key("doc_id", "text").alias("row"), F.struct(*docs.columns).alias("all"))
+    return rows.join(kept, "row").dropDuplicates(["row"]).select("all.*")

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,3 +173,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(predict, f"doc_id {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pd.DataFrame({"text": batch.column(batch.schema.get_field_index("text")).to_pandas()})
+            told = [mixtures(piece["text"].tolist(), shared.value).sum(axis=1) > 0 for piece in chunks(texts)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *told])))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -98,8 +98,9 @@ def _without(text: str, hits) -> tuple[str, int, int]:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the text less its repeated lines, and lines_removed (int)."""
-    columns = docs.columns
+    """All columns of ``docs`` with the text less its repeated lines, and lines_removed (int), which takes the
+    place of a column of that name."""
+    columns = [c for c in docs.columns if c != "lines_removed"]
     hits = repeated_lines(docs.select("doc_id", "text"))
 
     @F.pandas_udf("text string, lines_removed int")
