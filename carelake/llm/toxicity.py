@@ -16,8 +16,8 @@ A clause's score is the sum of its arcs' weights; a document's score is a
 logistic function of its best clause, its total and its matched clauses,
 fitted on labelled rows.
 
-The insult lexicon is learned: whole words and word beginnings (of ``STEMS``
-letters) are counted in toxic and clean documents. In toxic ones distinct
+The insult lexicon is learned: whole words, then the beginnings (of ``STEMS``
+letters) of the words not taken, are counted in toxic and clean documents. In toxic ones distinct
 contexts count, the word with its two neighbours, so that words which merely
 recur in copies of a toxic text stay out.
 
@@ -45,8 +45,8 @@ from carelake.llm.common import chunks
 #: Labelled documents of either class that the lexicon and the weights are fitted on, about; drawn by a hash of the id.
 SAMPLE_PER_CLASS = 4_000
 STEMS = (4, 5, 6)
-#: Log-likelihood ratio from which a unit counts as telling: chance gives it to less than one unit in 100,000.
-EVIDENCE = 12.0
+#: Log-likelihood ratio from which a unit counts as telling: chance gives it to about one unit in a million.
+EVIDENCE = 14.0
 
 # Small closed word classes of the grammar, in four languages.
 TARGETS = "you your yours yourself they them their he him his she her we us everyone people du dich dir ihr euch euer sie tu te toi vous ton ta votre tú ti usted ustedes vosotros".split()
@@ -158,34 +158,29 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
     return best, total, hits
 
 
-def _units(text: str) -> dict[str, int]:
-    """The words of a text as "=word", and their beginnings, each with a hash of its first context."""
+def _units(text: str, taken: dict[str, float] | None = None) -> dict[str, int]:
+    """The words of a text, or with ``taken`` the beginnings of its words that aren't taken, each with a hash of its first context."""
     words = _words(text.lower())
     out: dict[str, int] = {}
     for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-        if len(word) > 2 and f"={word}" not in out:
+        if len(word) > 2 and (taken is None and word not in out or taken is not None and word not in taken):
             context = zlib.crc32(f"{before} {word} {after}".encode())
-            out[f"={word}"] = context
-            for n in STEMS:
-                if len(word) > n:
-                    out.setdefault(word[:n], context)
+            for unit in [word] if taken is None else [word[:n] for n in STEMS if len(word) > n]:
+                out.setdefault(unit, context)
     return out
 
 
-def learn_lexicon(counted: pd.DataFrame, toxic: int, clean: int) -> Lexicon:
-    """``counted``: unit, n_toxic (distinct contexts in toxic documents) and n_clean (clean documents).
+def telling(counted: pd.DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Weights of the units that tell the classes apart. ``counted``: unit, n_toxic (distinct contexts in toxic
+    documents) and n_clean (clean documents).
 
-    A unit is taken if it tells the classes apart beyond what chance gives among so many units (a
-    log-likelihood ratio against the share of toxic documents); its weight is its smoothed log odds."""
+    A unit is taken if it does so beyond what chance gives among so many units (a log-likelihood ratio
+    against the share of toxic documents); its weight is its smoothed log odds."""
     t, c = counted["n_toxic"].to_numpy(float), counted["n_clean"].to_numpy(float)
     share = toxic / max(toxic + clean, 1)
-    ratio = t * np.log(np.maximum(t / ((t + c) * share), 1e-9)) + c * np.log(np.maximum(c / ((t + c) * (1 - share)), 1e-9))
+    ratio = t * np.log(np.maximum(t / np.maximum((t + c) * share, 1e-9), 1e-9)) + c * np.log(np.maximum(c / np.maximum((t + c) * (1 - share), 1e-9), 1e-9))
     rate = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
-    taken = counted.assign(rate=rate)[(ratio > EVIDENCE) & (rate > 2)]
-    words, stems = {}, {}
-    for unit, r in zip(taken["unit"], taken["rate"], strict=True):
-        (words if unit[0] == "=" else stems)[unit.removeprefix("=")] = float(r)
-    return Lexicon(words, stems)
+    return {unit: float(r) for unit, r, good in zip(counted["unit"], rate, (ratio > EVIDENCE) & (rate > 2), strict=True) if good}
 
 
 @dataclass(frozen=True)
@@ -198,7 +193,7 @@ class Scorer:
 
 
 #: Weights where there is nothing to learn them from.
-PRIOR = (-3.0, 0.5, 0.5, 0.5)
+PRIOR = (-3.0, 1.0, 1.0, 1.0)
 
 
 def _design(rows) -> np.ndarray:
@@ -207,14 +202,13 @@ def _design(rows) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
-    """Newton's steps for a ridge-penalised logistic regression with classes of equal weight."""
+    """Newton's steps for a ridge-penalised logistic regression."""
     w = np.array(PRIOR)
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     penalty = np.diag([1e-3, ridge, ridge, ridge])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        gradient = x.T @ (balance * (p - y)) + penalty @ w
-        hessian = (x * (balance * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
+        gradient = x.T @ ((p - y)) + penalty @ w
+        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
         step = np.linalg.solve(hessian, gradient)
         w = w - step.clip(-2, 2)
         if np.abs(step).max() < 1e-6:
@@ -234,36 +228,51 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     share = F.when(F.col("toxic") == 1, F.lit(per_class / sizes[1])).otherwise(F.lit(per_class / sizes[0]))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     # at most about two times per_class rows of two numbers
-    sample = docs.join(F.broadcast(drawn), "doc_id").where("text is not null").select("doc_id", "toxic", "text")
+    sample = docs.join(F.broadcast(drawn), "doc_id").where("text is not null").select("toxic", "text", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold"))
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for piece in chunks(pdf):
-                found = [_units(t) for t in piece["text"]]
-                yield pd.DataFrame({
-                    "unit": [u for f in found for u in f], "context": [x for f in found for x in f.values()],
-                    "toxic": np.repeat(piece["toxic"].to_numpy(), [len(f) for f in found]),
-                })
-
-    counted = (
-        sample.mapInPandas(units, "unit string, context long, toxic int").groupBy("unit", F.when(F.col("toxic") == 1, F.col("context")).alias("context"))
-        .agg(F.sum(1 - F.col("toxic")).alias("n")).groupBy("unit").agg(F.count("context").alias("n_toxic"), F.sum("n").alias("n_clean"))
-        .where("n_toxic >= 4 and n_clean * 4 <= n_toxic").toPandas()
-    )
     n = {c: min(sizes[c], per_class) for c in sizes}
-    lexicon = learn_lexicon(counted, n[1], n[0])
+
+    def learn(taken: dict[str, float] | None) -> list[dict[str, float]]:
+        """Telling units of all the sample, and of what lies outside of either half."""
+
+        def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for piece in chunks(pdf):
+                    found = [_units(t, taken) for t in piece["text"]]
+                    m = [len(f) for f in found]
+                    yield pd.DataFrame({
+                        "unit": [u for f in found for u in f], "context": [x for f in found for x in f.values()],
+                        "toxic": np.repeat(piece["toxic"].to_numpy(), m), "fold": np.repeat(piece["fold"].to_numpy(), m),
+                    })
+
+        counted = (
+            sample.mapInPandas(units, "unit string, context long, toxic int, fold int")
+            .groupBy("unit", F.when(F.col("toxic") == 1, F.col("context")).alias("context"), "fold").agg(F.sum(1 - F.col("toxic")).alias("n"))
+            .groupBy("unit").agg(
+                *[F.count(F.when(F.col("fold") == f, F.col("context"))).alias(f"toxic_{f}") for f in (0, 1)],
+                *[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"clean_{f}") for f in (0, 1)],
+            )
+            .where("toxic_0 + toxic_1 >= 4 and (clean_0 + clean_1) * 4 <= toxic_0 + toxic_1").toPandas()
+        )
+        whole = counted.assign(n_toxic=counted["toxic_0"] + counted["toxic_1"], n_clean=counted["clean_0"] + counted["clean_1"])
+        return [telling(whole, n[1], n[0])] + [telling(counted.assign(n_toxic=counted[f"toxic_{1 - f}"], n_clean=counted[f"clean_{1 - f}"]), n[1] // 2, n[0] // 2) for f in (0, 1)]
+
+    words = learn(None)
+    # beginnings stand for words too rare to be taken themselves
+    lexicon, *halves = [Lexicon(w, s) for w, s in zip(words, learn(words[0]), strict=True)]
     if not lexicon.words and not lexicon.stems:
         return Scorer(Lexicon(dict.fromkeys(SEED_INSULTS, 4.0), {}), PRIOR)
 
+    # the weights are fitted on matches of a lexicon that was learned on the other half: on its own half it matches too well
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [features(t, lexicon) for t in pdf["text"]]
+            rows = [features(t, halves[f]) for t, f in zip(pdf["text"], pdf["fold"], strict=True)]
             yield pd.DataFrame(rows, columns=["best", "total", "hits"]).assign(toxic=pdf["toxic"].to_numpy())
 
     seen = sample.mapInPandas(measured, "best double, total double, hits double, toxic int").toPandas()
     if seen["toxic"].nunique() < 2:
         return Scorer(lexicon, PRIOR)
-    return Scorer(lexicon, tuple(_logistic(_design(seen[["best", "total", "hits"]].to_numpy()), seen["toxic"].to_numpy(float))))
+    return Scorer(lexicon, tuple(_logistic(_design(seen[["best", "total", "hits"]].to_numpy()), seen["toxic"].to_numpy(float)).tolist()))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
