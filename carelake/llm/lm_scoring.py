@@ -1,19 +1,21 @@
 """Language-model scoring by cross-entropy difference.
 
 Two models of the same kind, a target's and the background's, share one
-vocabulary: hashed words and word pairs in ``2**BITS`` buckets. Both are
-bigram models, interpolated with a smoothed unigram model:
+vocabulary: words in ``2**WORD_BITS`` buckets and word pairs in
+``2**PAIR_BITS``. Both are bigram models, interpolated with a smoothed unigram
+model:
 
-    p(w | v) = L * c(v, w) / c(v) + (1 - L) * (c(w) + A) / (N + A * 2**BITS)
+    p(w | v) = L * c(v, w) / c(v) + (1 - L) * (c(w) + A) / (N + A * 2**WORD_BITS)
 
 A document's score is the mean over its words of log p_target - log
 p_background: how much better the target's model foretells it. The first word
 follows a start mark.
 
-All documents are counted. Each task sums its counts by bucket before the
-shuffle; the finished table has at most 2**BITS + 1 rows of four counts,
-whatever the input, which is the bound of what the driver collects and shares.
-Two n-grams may share a bucket; the models then share their counts.
+All documents are counted. Each task sums its counts by bucket and sends them
+as packed blocks of buckets; blocks are summed by their number. The finished
+table has a fixed number of buckets, whatever the input, which bounds what the
+driver collects and shares (some 25 MB). Two n-grams may share a bucket; both
+models then share their counts alike.
 
 Edge cases: a text without a word (null, empty, blank) has 0 words, null
 losses and score 0. Without target rows the target's model is uniform.
@@ -22,6 +24,7 @@ Repeated rows count and score once each. Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,14 +35,17 @@ from pyspark.sql import functions as F
 
 from carelake.llm.common import chunks, find_words
 
-BITS = 20
+WORD_BITS = 18
+PAIR_BITS = 20
+#: Buckets in a block.
+BLOCK = 1024
 INTERPOLATION = 0.5
 SMOOTHING = 0.1
 
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
-def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, word, before, pair): for each word of each text its bucket, that of the word before it, and the pair's."""
     found = [find_words(t.lower()) for t in texts]
     count = np.array([len(w) for w in found], np.int64)
@@ -49,9 +55,10 @@ def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     word = pd.util.hash_array(distinct.astype(object), categorize=False)[codes]
     before = np.concatenate([[_START], word[:-1]])
     before[(np.cumsum(count) - count)[count > 0]] = _START
-    pair = (before * np.uint64(0xD1342543DE82EF95) + word) * np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - bits)
-    return np.repeat(np.arange(len(texts)), count), (word * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64), (before * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    pair = before * np.uint64(0xD1342543DE82EF95) + word
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    buckets = [(x * mix >> np.uint64(64 - bits)).astype(np.int64) for x, bits in ((word, WORD_BITS), (before, WORD_BITS), (pair, PAIR_BITS))]
+    return np.repeat(np.arange(len(texts)), count), *buckets
 
 
 @dataclass(frozen=True)
@@ -71,43 +78,55 @@ class Counts:
         return np.log(share * bigram + (1 - share) * unigram)
 
 
-def count(docs: DataFrame, bits: int = BITS) -> tuple[Counts, Counts]:
+SIZES = (1 << WORD_BITS, 1 << WORD_BITS, 1 << PAIR_BITS)
+
+
+def count(docs: DataFrame) -> tuple[Counts, Counts]:
     """(target, background) counts of ``docs`` (text, is_target); the background is every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = 1 << bits
-        total = {(kind, t): np.zeros(size, np.int32) for kind in range(3) for t in (False, True)}
+        total = np.zeros((2, sum(SIZES)), np.int64)
+        tables = np.split(total, np.cumsum(SIZES)[:-1], axis=1)
         for pdf in batches:
             for piece in chunks(pdf):
-                text, *buckets = grams(piece["text"].tolist(), bits)
+                text, *buckets = grams(piece["text"].tolist())
                 target = piece["is_target"].to_numpy(bool)[text]
-                for kind, bucket in enumerate(buckets):
-                    np.add.at(total[kind, False], bucket, 1)
-                    np.add.at(total[kind, True], bucket[target], 1)
-        for kind in range(3):
-            full = np.flatnonzero(total[kind, False])
-            for at in range(0, len(full), 100_000):
-                some = full[at : at + 100_000]
-                yield pd.DataFrame({"gram": (some + kind * size).astype(np.int32), "n": total[kind, False][some].astype(np.int64), "n_target": total[kind, True][some].astype(np.int64)})
-
-    summed = docs.select("text", "is_target").mapInPandas(run, "gram int, n long, n_target long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    got = summed.toPandas()
-    out = []
-    for column in ("n_target", "n"):
-        full = np.zeros(3 << bits, np.float32)
-        full[got["gram"].to_numpy()] = got[column].to_numpy(np.float32)
-        out.append(Counts(*full.reshape(3, -1)))
-    return out[0], out[1]
-
-
-def score(docs: DataFrame, models: tuple[Counts, Counts], bits: int = BITS) -> DataFrame:
+                for table, bucket, size in zip(tables, buckets, SIZES, strict=True):
+                    table[0] += np.bincount(bucket[target], minlength=size)
+                    table[1] += np.bincount(bucket, minlength=size)
+        blocks = total.reshape(2, -1, BLOCK).transpose(1, 0, 2)
+        full = np.flatnonzero(blocks.any(axis=(1, 2)))
+        for at in range(0, len(full), 256):
+            some = full[at : at + 256]
+            yield pd.DataFrame({"block": some.astype(np.int32), "counts": [zlib.compress(np.ascontiguousarray(blocks[i]).tobytes(), 1) for i in some]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a partition holds a few of the fixed number of blocks
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, counts in zip(pdf["block"].tolist(), pdf["counts"], strict=True):
+                got = np.frombuffer(zlib.decompress(counts), np.int64)
+                sums[block] = sums[block] + got if block in sums else got
+        if sums:
+            yield pd.DataFrame({"block": list(sums), "counts": [zlib.compress(x.tobytes(), 1) for x in sums.values()]})
+
+    schema = "block int, counts binary"
+    summed = docs.select("text", "is_target").mapInPandas(run, schema).repartition("block").mapInPandas(add, schema)
+    total = np.zeros((2, sum(SIZES)), np.float32)
+    for block, counts in summed.toLocalIterator():
+        total[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zlib.decompress(counts), np.int64).reshape(2, BLOCK)
+    target, background = (Counts(*np.split(x, np.cumsum(SIZES)[:-1])) for x in total)
+    return target, background
+
+
+def score(docs: DataFrame, models: tuple[Counts, Counts]) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (nats a word) and score, for each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for piece in chunks(pdf):
-                text, word, before, pair = grams(piece["text"].tolist(), bits)
+                text, word, before, pair = grams(piece["text"].tolist())
                 n = np.bincount(text, minlength=len(piece))
                 loss = [-np.bincount(text, weights=m.log_p(word, before, pair), minlength=len(piece)) / np.maximum(n, 1) for m in shared.value]
                 yield pd.DataFrame({

@@ -240,6 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                 for piece in chunks(pdf):
                     found = [_units(t, taken) for t in piece["text"]]
                     m = [len(f) for f in found]
+                    if not any(m):
+                        continue
                     yield pd.DataFrame({
                         "unit": [u for f in found for u in f], "context": [x for f in found for x in f.values()],
                         "toxic": np.repeat(piece["toxic"].to_numpy(), m), "fold": np.repeat(piece["fold"].to_numpy(), m),

@@ -248,7 +248,7 @@ def test_toxicity_held_out(spark):
 
 def plain_cross_entropy(rows, text):
     """The formulas with dictionaries, without buckets; rows: (text, is_target)."""
-    size = 1 << lm_scoring.BITS
+    size = 1 << lm_scoring.WORD_BITS
 
     def model(texts):
         word, history, pair = {}, {}, {}
