@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.session import checkpoint_dir
+from carelake.session import checkpoint_dir, ship
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,28 +21,6 @@ find_words = re.compile(WORD).findall
 CHUNK_CHARS = 1_500_000
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers, once for each application: they may not find it by their own path."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    top = os.path.dirname(package)
-    # Spark copies the archive to the executors when it is added
-    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(package)}.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, top))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,7 +32,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: later stages read files, which outlive executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: a task holds one in memory while it writes
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

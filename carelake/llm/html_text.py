@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from carelake.llm.common import stored
 
 _markup = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
+    # a tag with a quote left open ends at the next >
+    r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>""", re.S
 )
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _name_parts = re.compile(r"[a-z]+").findall
@@ -93,17 +95,17 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
         if not m:
             break
         at = position = m.end()
-        tag = (m["tag"] or "").lower()
+        tag, closes, inner = (m["tag"] or m["tag2"] or "").lower(), m["end"] or m["end2"], m["attrs"] or ""
         if not tag:
             continue
         if tag in RAW:
-            if not m["end"]:  # its content is not markup
+            if not closes:  # its content is not markup
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = position = close.end() if close else len(page)
             continue
         if tag in BLOCKS:
             runs.append((stack[-1], False, None))
-        if m["end"]:
+        if closes:
             # an end tag closes up to its start, but not beyond a block of another kind when it is inline
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -115,8 +117,8 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
             continue
         if tag in VOID or tag == "br":
             continue
-        attrs = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _attribute.findall(m["attrs"])} if "=" in m["attrs"] else {}
-        if re.search(r"\bhidden\b(?!\s*=)", m["attrs"]) and "hidden" not in attrs and '"' not in m["attrs"]:
+        attrs = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _attribute.findall(inner)} if "=" in inner else {}
+        if "hidden" in inner and re.search(r"(?:^|\s)hidden(?:\s|/|$)", inner):
             attrs["hidden"] = ""
         if tag in CLOSES or tag in BLOCKS:
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
@@ -135,7 +137,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
             elements.append(element)
         stack.append(element)
         links += tag == "a"
-        if m["attrs"].rstrip().endswith("/") and tag not in BLOCKS:
+        if inner.rstrip().endswith("/") and tag not in BLOCKS:
             links -= tag == "a"
             stack.pop()
     return elements, runs

@@ -1,11 +1,11 @@
-"""Registered queries of the training-data operators, with DuckDB forms where SQL can express them."""
+"""Registered queries of the training-data operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import html_text, jaccard_join, language_id, line_dedup, lm_scoring, mixing, neighbours, packing, repetition, toxicity
+from carelake.llm import html_text, jaccard_join, language_id, line_dedup, lm_scoring, mixing, neighbours, oracles, packing, repetition, toxicity
 from carelake.llm.common import remainder, table
 
 
@@ -70,4 +70,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op5_mixing": mixing.ORACLE}
+ORACLES = oracles.ORACLES
