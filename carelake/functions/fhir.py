@@ -77,10 +77,8 @@ def usd_amount(value: str | Column, currency: str | Column) -> Column:
 
 def display_name(first: str | Column, last: str | Column) -> Column:
     """Blank parts -> null, join with a space, trim, collapse runs of spaces."""
-    f = F.when(F.trim(_c(first)) == F.lit(""), F.lit(None)).otherwise(_c(first))
-    l_ = F.when(F.trim(_c(last)) == F.lit(""), F.lit(None)).otherwise(_c(last))
-    joined = F.trim(F.coalesce(F.concat_ws(" ", f, l_), F.lit("")))
-    return F.regexp_replace(joined, r"\s{2,}", " ")
+    parts = [F.nullif(F.trim(_c(part)), F.lit("")) for part in (first, last)]
+    return F.regexp_replace(F.concat_ws(" ", *parts), r"\s{2,}", " ")
 
 
 def is_test_name(full_name: str | Column, wide: bool = False) -> Column:
@@ -117,7 +115,3 @@ def guarded_ratio(num: str | Column, den: str | Column, digits: int = 6) -> Colu
 def money_sum(col: str | Column) -> Column:
     """Order-independent money sum: sum as decimal(18,2) then back to double."""
     return F.sum(_c(col).try_cast("decimal(18,2)")).cast("double")
-
-
-def money_avg(col: str | Column, digits: int = 6) -> Column:
-    return F.round(F.avg(_c(col).try_cast("decimal(18,2)")).cast("double"), digits)

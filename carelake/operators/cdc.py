@@ -30,12 +30,3 @@ def apply_changes(
     merged = base.unionByName(changes.select(*base.columns))
     latest = latest_per_key(merged, keys, [sequence])
     return latest.where(F.col(op_col) != delete_value).drop(op_col)
-
-
-def widen_union(frames: Sequence[DataFrame]) -> DataFrame:
-    """Schema evolution: union by name, columns missing on one side -> null,
-    numeric columns widened by Spark's type coercion."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out

@@ -30,32 +30,32 @@ _NODE = T.ArrayType(
 LINEAGE_SCHEMA = T.StructType([T.StructField("upstreams", _NODE), T.StructField("downstreams", _NODE)])
 
 
-def _edge(role, kind, ident, label):
-    return F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"), ident.alias("id"), label.alias("label"))
-
-
-def _node_edges(node, writer_role: str, with_files: bool):
-    parts = [
-        F.transform(F.coalesce(node["notebookInfos"], F.array().cast(_NB)), lambda x: _edge(writer_role, "notebook", x["notebook_id"], x["url"])),
-        F.transform(F.coalesce(node["pipelineInfos"], F.array().cast(_PL)), lambda x: _edge(writer_role, "pipeline", x["pipeline_id"], x["pipeline_name"])),
-        F.transform(F.coalesce(node["jobInfos"], F.array().cast(_JB)), lambda x: _edge(writer_role, "job", x["job_id"], x["job_name"])),
-    ]
-    if with_files:
-        parts.append(
-            F.when(node["fileInfo"].isNotNull(),
-                   F.array(_edge("source", "file", node["fileInfo"]["path"], node["fileInfo"]["securable_type"])))
-            .otherwise(F.array().cast(T.ArrayType(T.StructType([T.StructField(n, S) for n in ("role", "kind", "id", "label")]))))
-        )
-    return F.flatten(F.array(*parts))
-
-
 def lineage_edges(payloads: DataFrame, table_col: str = "table_fqn", json_col: str = "payload") -> DataFrame:
     """Lineage payloads -> (table, role, kind, id, label) edges, where role
     is writer / source (upstream) or consumer (downstream)."""
-    p = payloads.select(F.col(table_col).alias("table_fqn"), F.from_json(F.col(json_col), LINEAGE_SCHEMA).alias("j"))
-    ups = F.flatten(F.transform(F.coalesce(F.col("j.upstreams"), F.array().cast(_NODE)), lambda n: _node_edges(n, "writer", True)))
-    downs = F.flatten(F.transform(F.coalesce(F.col("j.downstreams"), F.array().cast(_NODE)), lambda n: _node_edges(n, "consumer", False)))
-    return p.select("table_fqn", F.explode(F.concat(ups, downs)).alias("e")).select("table_fqn", "e.*")
+    parsed = payloads.select(F.col(table_col).alias("table_fqn"), F.from_json(F.col(json_col), LINEAGE_SCHEMA).alias("j"))
+    ends = F.array(
+        F.struct(F.lit("writer").alias("role"), F.col("j.upstreams").alias("nodes")),
+        F.struct(F.lit("consumer").alias("role"), F.col("j.downstreams").alias("nodes")),
+    )
+    nodes = parsed.select("table_fqn", F.inline(ends)).select("table_fqn", "role", F.explode("nodes").alias("node"))
+
+    def things(role, kind: str, ids, labels):
+        return F.struct(role.alias("role"), F.lit(kind).alias("kind"), ids.alias("ids"), labels.alias("labels"))
+
+    role = F.col("role")
+    # only an upstream file is an edge; its role is its own
+    file = F.when(role == "writer", F.col("node.fileInfo"))
+    kinds = F.array(
+        things(role, "notebook", F.col("node.notebookInfos.notebook_id"), F.col("node.notebookInfos.url")),
+        things(role, "pipeline", F.col("node.pipelineInfos.pipeline_id"), F.col("node.pipelineInfos.pipeline_name")),
+        things(role, "job", F.col("node.jobInfos.job_id"), F.col("node.jobInfos.job_name")),
+        things(F.lit("source"), "file", F.when(file.isNotNull(), F.array(file["path"])), F.when(file.isNotNull(), F.array(file["securable_type"]))),
+    )
+    listed = nodes.select("table_fqn", F.inline(kinds))
+    return listed.select("table_fqn", "role", "kind", F.explode(F.arrays_zip("ids", "labels")).alias("e")).select(
+        "table_fqn", "role", "kind", F.col("e.ids").alias("id"), F.col("e.labels").alias("label")
+    )
 
 
 def unique_writers(edges: DataFrame, kind: str = "notebook") -> DataFrame:
@@ -80,7 +80,7 @@ def spec_violations(
     s = specs.select(F.col(id_col).alias("request_id"), F.from_json(F.col(json_col), SPEC_SCHEMA).alias("m"))
     missing = s.select(
         "request_id",
-        F.explode(F.filter(F.array(*[F.lit(k) for k in required_keys]), lambda k: ~F.map_contains_key(F.col("m"), k))).alias("detail"),
+        F.explode(F.array_compact(F.array(*[F.when(~F.map_contains_key("m", k), F.lit(k)) for k in required_keys]))).alias("detail"),
     ).withColumn("violation", F.lit("missing_key"))
     target = F.col("m")["target_table"]
     bad_target = s.where(target.isNotNull() & (target != "") & ~target.startswith(target_prefix)).select(

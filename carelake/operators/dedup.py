@@ -32,8 +32,3 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str]
     best = F.max(F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])).alias("_best")
     picked = df.groupBy(*keys).agg(best)
     return picked.select(*keys, *[F.col(f"_best.f{i}").alias(c) for i, c in enumerate(fields)]).select(*df.columns)
-
-
-def tie_break_sql(columns: Sequence[str]) -> str:
-    """ORDER BY text matching ``latest_per_key`` for the SQL oracle."""
-    return ", ".join(f"{c} DESC NULLS LAST" for c in columns)

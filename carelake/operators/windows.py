@@ -23,8 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.session import materialize as materialize_df
-
 NULL_SEGMENT = -(2**31)
 
 
@@ -41,7 +39,6 @@ def segmented_lag(
     lag_cols: Sequence[str],
     segment: Column,
     prefix: str = "prev_",
-    materialize: bool = True,
 ) -> DataFrame:
     """Adds ``prefix + c`` = lag(c, 1) for each c in lag_cols, ordered by
     ``order_by`` ascending (nulls first) within ``partition_by``.
@@ -64,11 +61,8 @@ def segmented_lag(
     )
     for c in lag_cols:
         staged = staged.withColumn(f"_in_{c}", F.lag(c).over(within))
-    if materialize:
-        staged = materialize_df(staged)
-
-    # tails come from the windowed frame itself (last row of each segment); the
-    # frame is checkpointed, so both branches read it instead of recomputing
+    # tails come from the windowed frame itself (last row of each segment); both
+    # branches read the one exchange on the key
     tails = staged.where(F.col("_is_last")).select(*p, seg, key, *[F.col(c).alias(f"_t_{c}") for c in lag_cols])
     across = Window.partitionBy(*p).orderBy(F.col(seg).asc())
     carry = tails.select(

@@ -46,13 +46,13 @@ cte("claim_rows", [], """
 
 cte("silver_claim", ["claim_rows"], f"""
   SELECT 'clm-' || l_orderkey || '-' || l_linenumber AS claim_id,
-    CASE WHEN l_partkey % 43 = 0 THEN 'cancelled' WHEN l_partkey % 47 = 2 THEN 'paid'
+    CASE WHEN l_partkey % 127 = 5 THEN NULL WHEN l_partkey % 43 = 0 THEN 'cancelled' WHEN l_partkey % 47 = 2 THEN 'paid'
          WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'DENIED' ELSE 'denied' END
          WHEN l_returnflag = 'N' THEN 'rejected' ELSE 'active' END AS status,
     'institutional' AS claim_type,
-    CASE WHEN l_partkey % 103 = 6 THEN 'pat-8' ELSE 'pat-' END || printf('%06d', o_custkey) AS patient_id,
-    CASE WHEN l_suppkey % 9 = 4 THEN 'org-999999' ELSE 'org-' || printf('%06d', l_suppkey) END AS provider_id,
-    CASE WHEN l_partkey % 107 = 8 THEN 'enc-missing-' ELSE 'enc-' END || l_orderkey AS encounter_id,
+    CASE WHEN l_partkey % 131 = 12 THEN NULL WHEN l_partkey % 103 = 6 THEN 'pat-8' ELSE 'pat-' END || printf('%06d', o_custkey) AS patient_id,
+    CASE WHEN l_partkey % 137 = 13 THEN NULL WHEN l_suppkey % 9 = 4 THEN 'org-999999' ELSE 'org-' || printf('%06d', l_suppkey) END AS provider_id,
+    CASE WHEN l_partkey % 109 = 14 THEN NULL WHEN l_partkey % 107 = 8 THEN 'enc-missing-' ELSE 'enc-' END || l_orderkey AS encounter_id,
     CASE WHEN l_partkey % 89 = 3 THEN 'not-a-date' WHEN l_partkey % 71 = 15 THEN strftime(l_shipdate, {US})
          ELSE strftime(l_shipdate, {ISO}) END AS billable_start,
     strftime(l_shipdate + INTERVAL 1 DAY, {ISO}) AS billable_end,
@@ -61,10 +61,10 @@ cte("silver_claim", ["claim_rows"], f"""
     CASE WHEN l_partkey % 37 = 1 OR l_partkey % 61 = 3 THEN NULL ELSE 'USD' END AS total_currency,
     'Claim.ndjson' AS _source_file,
     TIMESTAMP '2026-10-01 00:00:00' + to_seconds(l_partkey) AS _ingested_at,
-    CASE WHEN l_partkey % 103 = 6 THEN 'Patient/pat-8' ELSE 'Patient/pat-' END || printf('%06d', o_custkey) AS patient_ref,
-    CASE WHEN l_suppkey % 9 = 4 THEN 'Organization/org-999999'
+    CASE WHEN l_partkey % 131 = 12 THEN NULL WHEN l_partkey % 103 = 6 THEN 'Patient/pat-8' ELSE 'Patient/pat-' END || printf('%06d', o_custkey) AS patient_ref,
+    CASE WHEN l_partkey % 137 = 13 THEN NULL WHEN l_suppkey % 9 = 4 THEN 'Organization/org-999999'
          ELSE 'Organization/org-' || printf('%06d', l_suppkey) END AS provider_ref,
-    CASE WHEN l_partkey % 107 = 8 THEN 'Encounter/enc-missing-' ELSE 'Encounter/enc-' END || l_orderkey AS encounter_ref,
+    CASE WHEN l_partkey % 109 = 14 THEN NULL WHEN l_partkey % 107 = 8 THEN 'Encounter/enc-missing-' ELSE 'Encounter/enc-' END || l_orderkey AS encounter_ref,
     CASE WHEN l_partkey % 89 = 3 THEN NULL ELSE l_shipdate END AS billable_start_ts,
     CASE WHEN l_partkey % 89 = 3 OR l_partkey % 71 = 15 THEN NULL ELSE l_shipdate END AS billable_start_iso_ts,
     l_shipdate + INTERVAL 1 DAY AS billable_end_ts
@@ -129,11 +129,11 @@ cte("silver_practitioner", [], """
 """)
 
 cte("enc_rows", [], """
-  SELECT o_orderkey, o_custkey,
+  SELECT o_orderkey, o_custkey, COALESCE(s.site, 0) AS site,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'EMER' WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 'IMP'
          ELSE 'AMB' END AS cls,
     o_orderdate + to_hours(o_orderkey % 24) AS start0
-  FROM orders
+  FROM orders LEFT JOIN (SELECT l_orderkey, MIN(l_suppkey) AS site FROM lineitem GROUP BY 1) s ON o_orderkey = s.l_orderkey
 """)
 
 cte("enc_rows2", ["enc_rows"], """
@@ -158,11 +158,11 @@ cte("silver_encounter", ["enc_rows2"], f"""
     CASE WHEN o_orderkey % 97 = 50 THEN 'Patient/pat-8' WHEN o_orderkey % 73 = 44 THEN 'pat-'
          ELSE 'Patient/pat-' END || printf('%06d', o_custkey) AS patient_ref,
     CASE WHEN o_orderkey % 97 = 50 THEN 'pat-8' ELSE 'pat-' END || printf('%06d', o_custkey) AS patient_id,
-    'pract-' || printf('%06d', o_custkey % 10) AS practitioner_id,
+    'pract-' || printf('%06d', site) AS practitioner_id,
     CASE WHEN o_orderkey % 101 = 30 THEN NULL WHEN o_orderkey % 149 = 40 THEN 'Organization/org-999999'
-         ELSE 'Organization/org-' || printf('%06d', o_orderkey % 10) END AS organization_ref,
+         ELSE 'Organization/org-' || printf('%06d', site) END AS organization_ref,
     CASE WHEN o_orderkey % 101 = 30 THEN NULL WHEN o_orderkey % 149 = 40 THEN 'org-999999'
-         ELSE 'org-' || printf('%06d', o_orderkey % 10) END AS organization_id,
+         ELSE 'org-' || printf('%06d', site) END AS organization_id,
     CASE WHEN o_orderkey % 71 = 15 THEN strftime(start0, {US}) ELSE strftime(start0, {ISO}) END AS period_start,
     strftime(end0, {ISO}) AS period_end,
     list_extract({ICD}, CAST(o_orderkey % 16 AS INTEGER) + 1) AS reason_code,
@@ -174,7 +174,7 @@ cte("silver_encounter", ["enc_rows2"], f"""
 
 cte("cond_rows", [], """
   SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_shipdate, o.o_custkey
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber <= 2
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """)
 
 cte("silver_condition", ["cond_rows"], f"""
@@ -213,12 +213,12 @@ cte("silver_observation", [], f"""
 """)
 
 cte("proc_rows", [], """
-  SELECT l.l_orderkey, l.l_partkey, l.l_shipdate, o.o_custkey
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 3
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_shipdate, o.o_custkey
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """)
 
 cte("silver_procedure", ["proc_rows"], f"""
-  SELECT 'proc-' || l_orderkey || '-' || l_partkey AS procedure_id,
+  SELECT 'proc-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS procedure_id,
     CASE WHEN l_partkey % 61 = 5 THEN 'Done' ELSE 'completed' END AS status,
     list_extract({CPT_CODES}, CAST(l_partkey % 5 AS INTEGER) + 1) AS code,
     list_extract({CPT_DISPLAY}, CAST(l_partkey % 5 AS INTEGER) + 1) AS display,

@@ -34,7 +34,7 @@ SELECT c.provider_id, COALESCE(o.org_name, 'Unknown provider') AS provider_name,
        ROUND(SUM(CASE WHEN lower(c.status) IN ('denied','rejected') THEN 1 ELSE 0 END)
              / CAST(COUNT(c.claim_id) AS DOUBLE), 6) AS denial_rate
 FROM claim_dedup c LEFT JOIN org_dedup o ON c.provider_id = o.organization_id
-WHERE c.billable_start_ts IS NOT NULL AND lower(c.status) NOT IN ('cancelled','entered-in-error')
+WHERE c.billable_start_ts IS NOT NULL AND (c.status IS NULL OR lower(c.status) NOT IN ('cancelled','entered-in-error'))
   AND c.provider_id IS NOT NULL
 GROUP BY 1, 2, 3, 4
 """,

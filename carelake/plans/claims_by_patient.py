@@ -73,7 +73,7 @@ def denied_claims_usd(claim: DataFrame, patient: DataFrame) -> DataFrame:
     p = dedup_patients(patient).where(F.lower("active") == "true").select("patient_id", "gender", "state")
     j = denied.join(p, "patient_id", "inner")
     agg = j.groupBy("patient_id", "gender", "state").agg(
-        F.countDistinct("claim_id").alias("rejected_claim_count"),
+        F.count("claim_id").alias("rejected_claim_count"),
         F.sum(F.col("amount_usd").try_cast("decimal(18,2)")).try_cast("decimal(18,2)").alias("total_rejected_amount"),
         F.max("billable_start_ts").alias("most_recent_rejection_date"),
     )

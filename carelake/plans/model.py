@@ -1,88 +1,50 @@
-"""Bronze/silver frames over the driver tables.
+"""Bronze and silver frames over the driver tables.
 
-``Model(spark, sf_dir).silver("claim")`` scans the persisted silver table of
+``Model(spark, sf_dir).silver("claim")`` scans the stored silver table of
 claims: driver parquet -> FHIR JSON text (bronze, written once) -> one
 from_json parse -> typed columns (silver, written once). See
-``carelake.sources.lake`` for where the layers live and when they are
-rebuilt. ``parsed(resource)`` is the lazy parse of the bronze table itself,
-used by the queries that time the JSON parse.
-
-``persist=False`` keeps every layer a lazy plan over the driver tables
-(nothing written); ``materialize=True`` then checkpoints large frames for
-jobs that read one resource in several branches.
+``carelake.sources.layers``. ``parsed(resource)`` is the lazy parse of the
+bronze table, used by the queries that time the parse; ``stored=False`` keeps
+every layer a lazy plan over the driver tables.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
-from carelake.functions import codes, fhir
 from carelake.plans import silver as silver_mod
-from carelake.session import materialize as materialize_df
-from carelake.session import prepare, size_shuffles
-from carelake.sources import bronze as bronze_mod
-from carelake.sources import fixtures, lake
+from carelake.session import prepare
+from carelake.sources import fixtures
+from carelake.sources.layers import layer
 from carelake.sources.tables import Tables
 
-# driver tables the bronze fixtures read
-FIXTURE_INPUTS = ["supplier", "nation", "customer", "orders", "lineitem", "events"]
-LAYER_MODULES = [fixtures, bronze_mod, silver_mod, codes, fhir]
-
 
 class Model:
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False, persist: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = True):
         self.spark = prepare(spark)
-        self.materialize = materialize
-        self.persist = persist
+        self.stored = stored
         self.tables = Tables(spark, sf_dir)
-        self._bronze: dict[str, DataFrame] = {}
-        self._silver: dict[str, DataFrame] = {}
-        self._root: str | None = None
-        size_shuffles(self.spark, lake.input_bytes(self.spark, [self.tables.path(t) for t in FIXTURE_INPUTS]))
-        if self.persist:
-            try:
-                self._layer_path("bronze", "")
-            except Exception:  # noqa: BLE001 - no JVM access (e.g. Spark Connect): stay lazy
-                self.persist = False
 
-    def _layer_path(self, layer: str, resource: str) -> str:
-        if self._root is None:
-            key = lake.fingerprint(self.spark, [self.tables.path(t) for t in FIXTURE_INPUTS], LAYER_MODULES)
-            self._root = f"{lake.lake_root(self.spark)}/{key}"
-        return f"{self._root}/{layer}/{resource}"
+    def _layer(self, name: str, build) -> DataFrame:
+        return layer(self.spark, self.tables.sf_dir, name, build) if self.stored else build()
 
     def bronze(self, resource: str) -> DataFrame:
-        if resource not in self._bronze:
-            if self.persist:
-                b = lake.persisted(self.spark, self._layer_path("bronze", resource), lambda: fixtures.bronze(self.tables, resource))
-            else:
-                b = fixtures.bronze(self.tables, resource)
-                b = materialize_df(b) if self.materialize else b
-            self._bronze[resource] = b
-        return self._bronze[resource]
+        return self._layer(f"bronze-{resource}", lambda: fixtures.bronze(self.tables, resource))
 
     def parsed(self, resource: str) -> DataFrame:
-        """The silver columns parsed from the bronze JSON (lazy, not persisted)."""
+        """The silver columns parsed from the bronze JSON (lazy)."""
         return silver_mod.silver(self.bronze(resource), resource)
 
     def silver(self, resource: str) -> DataFrame:
-        if resource not in self._silver:
-            if self.persist:
-                s = lake.persisted(self.spark, self._layer_path("silver", resource), lambda: self.parsed(resource))
-            else:
-                s = self.parsed(resource)
-                s = materialize_df(s) if self.materialize else s
-            self._silver[resource] = s
-        return self._silver[resource]
+        return self._layer(f"silver-{resource}", lambda: self.parsed(resource))
 
     def build_all(self, parallel: int = len(fixtures.BUILDERS)) -> None:
-        """Write every bronze and silver layer that is not written yet.
-
-        The resources are independent jobs; submitting a few at once keeps
-        the cluster busy while a small resource (one file, one task) runs."""
-        from concurrent.futures import ThreadPoolExecutor
+        """Write every layer that is not written yet.
 
-        self._layer_path("bronze", "")  # fix the fingerprint before threads start
+        The resources are independent jobs; submitting them together keeps the
+        cluster busy while a small resource (one file, one task) runs."""
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
             list(pool.map(self.silver, list(fixtures.BUILDERS)))
 

@@ -111,17 +111,14 @@ SELECT c.provider_id, COALESCE(o.org_name, 'Unknown provider') AS provider_name,
        ROUND(CASE WHEN COUNT(c.claim_id) > 0 THEN SUM(CASE WHEN c.status_l IN ('denied','rejected') THEN 1 ELSE 0 END)
              / CAST(COUNT(c.claim_id) AS DOUBLE) ELSE 0.0 END, 6) AS denial_rate
 FROM c LEFT JOIN o ON c.provider_id = o.organization_id
-WHERE c.claim_month IS NOT NULL AND c.status_l NOT IN ('cancelled','entered-in-error')
+WHERE c.claim_month IS NOT NULL AND COALESCE(c.status_l, '') NOT IN ({excluded})
   AND c.provider_id IS NOT NULL
 GROUP BY 1, 2, 3, 4
 """
 
 
-def spark_sql(spark: SparkSession, sources: dict) -> DataFrame:
-    """The same report through ``spark.sql`` on temp views (SQL twin)."""
-    names = {}
-    for key, df in sources.items():
-        view = f"_carelake_{key}"
-        df.createOrReplaceTempView(view)
-        names[key] = view
-    return spark.sql(SQL_TEMPLATE.format(**names))
+def spark_sql(spark: SparkSession, sources: dict, excluded_statuses=None) -> DataFrame:
+    """The same report as SQL text over the frames (SQL twin). A claim without a status is kept."""
+    excluded = codes.EXCLUDED_CLAIM_STATUSES if excluded_statuses is None else excluded_statuses
+    listed = ", ".join("'" + s.lower().replace("'", "''") + "'" for s in excluded) or "NULL"
+    return spark.sql(SQL_TEMPLATE.replace("{excluded}", listed), claim=sources["claim"], organization=sources["organization"])

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from carelake.functions import codes, fhir
 from carelake.operators import cdc, profile, validate
 from carelake.oracle import reports_sql
 from carelake.oracle.base import with_ctes
-from carelake.plans import provider_claims
+from carelake.plans import claims_by_patient, provider_claims
 from carelake.plans.model import Model
 from carelake.queries.dq_q import DUP_KEYS
-from carelake.queries.silver_q import SILVER_COLUMNS
+from carelake.queries.silver_q import SILVER_COLUMNS, TIMESTAMP_COLUMNS
 from carelake.sources.bronze import RESOURCES
 from carelake.streaming.ingest import batch_twin
 
@@ -32,51 +34,72 @@ def validate_output(spark, sf_dir):
 
 
 def grain_violations(spark, sf_dir):
-    """V3: duplicated grain keys of the provider report (expected none)."""
-    return validate.grain_violations(_g3(Model(spark, sf_dir)), G3_GRAIN)
+    """V3: claim ids that the claim table holds more than once."""
+    return validate.grain_violations(Model(spark, sf_dir).silver("claim"), ["claim_id"])
+
+
+def _g3_changed(m: Model):
+    # a changed report to reconcile with: paid claims are left out of it
+    return provider_claims.spark_sql(m.spark, m.sources("claim", "organization"), [*codes.EXCLUDED_CLAIM_STATUSES, "paid"])
 
 
 def reconcile(spark, sf_dir):
-    """Provider report vs its independent SQL formulation."""
+    """The provider report against a changed one: what differs for each metric."""
     m = Model(spark, sf_dir)
-    expected = provider_claims.spark_sql(spark, m.sources("claim", "organization"))
-    return validate.reconcile(_g3(m), expected, G3_GRAIN, G3_METRICS)
+    return validate.reconcile(_g3(m), _g3_changed(m), G3_GRAIN, G3_METRICS)
 
 
-def _claim_profile_frame(m: Model):
-    return m.silver("claim").select(
-        *[fhir.to_ntz(c).alias(c) if c == "_ingested_at" else F.col(c) for c in SILVER_COLUMNS["claim"]]
-    )
+def reconcile_rows(spark, sf_dir):
+    """V11's evidence: the keys that differ, with both values."""
+    m = Model(spark, sf_dir)
+    return validate.reconcile_rows(_g3(m), _g3_changed(m), G3_GRAIN, G3_METRICS)
+
+
+def expect_quarantine(spark, sf_dir):
+    """The claims that an expectation drops, with the rules they fail."""
+    rules = {"has_patient": "patient_id IS NOT NULL", "has_status": "status IS NOT NULL", "total_not_negative": "coalesce(total_value, 0) >= 0"}
+    _, out = claims_by_patient.expect_or_drop(Model(spark, sf_dir).silver("claim"), rules)
+    return out.select("claim_id", F.array_join("_failed_rules", ",").alias("failed_rules"))
 
 
 def profile_table(spark, sf_dir):
-    """Per-column profile of the silver claim table."""
-    return profile.profile_table(_claim_profile_frame(Model(spark, sf_dir)), "claim")
+    """Per-column profile of every silver table."""
+    m = Model(spark, sf_dir)
+    frames = []
+    for r, columns in SILVER_COLUMNS.items():
+        df = m.silver(r).select(*[fhir.to_ntz(c).alias(c) if c in TIMESTAMP_COLUMNS else F.col(c) for c in columns])
+        frames.append(profile.profile_table(df, r))
+    return reduce(lambda x, y: x.unionByName(y), frames)
+
 
+TYPED = ["customer", "events", "lineitem", "orders"]
 
-def _leaves(m: Model):
-    # one frame per resource: each type's documents are read from its own table
-    return profile.json_leaves([m.bronze(r.lower()).select("resource_type", "resource_id", "raw_json") for r in RESOURCES])
+
+def profile_typed_dates(spark, sf_dir):
+    """P5: date and time columns of the structured tables."""
+    tables = Model(spark, sf_dir).tables
+    return reduce(lambda x, y: x.unionByName(y), [d for t in TYPED if (d := profile.typed_dates(tables.get(t), t)) is not None])
+
+
+def _documents(m: Model):
+    return [m.bronze(r.lower()).select("resource_type", "resource_id", "raw_json") for r in RESOURCES]
 
 
 def profile_dates(spark, sf_dir):
     """Date-like leaves of every resource, over all rows and arrays."""
-    return profile.profile_dates(_leaves(Model(spark, sf_dir)))
+    return profile.profile_dates(_documents(Model(spark, sf_dir)))
 
 
 def profile_references(spark, sf_dir):
     """`Prefix/id` references per resource type, path and prefix."""
-    return profile.profile_references(_leaves(Model(spark, sf_dir)))
+    return profile.profile_references(_documents(Model(spark, sf_dir)))
 
 
 def suggest_join_keys(spark, sf_dir):
     """Reference paths -> target resource_id with hit ratios."""
-    m = Model(spark, sf_dir)
-    ids = None
-    for r in RESOURCES:
-        b = m.bronze(r.lower()).select("resource_type", "resource_id")
-        ids = b if ids is None else ids.unionByName(b)
-    return profile.suggest_join_keys(_leaves(m), ids)
+    documents = _documents(Model(spark, sf_dir))
+    ids = reduce(lambda x, y: x.unionByName(y), [d.select("resource_type", "resource_id") for d in documents])
+    return profile.suggest_join_keys(documents, ids)
 
 
 def term_mentions(spark, sf_dir):
@@ -150,50 +173,33 @@ def patient_features(spark, sf_dir):
     return z
 
 
+MIGRATED = ["claim_id", "status", "total_value", "total_currency"]
+
+
 def migration_check(spark, sf_dir):
-    """§2.14 migration: claim fields read by JSON path from bronze (source)
-    vs the typed silver table (target): count/min/max/sum per column."""
+    """§2.14 migration: claim fields read by JSON path from bronze (source) vs the migrated table of the latest
+    row of each claim (target): count/min/max/sum per column, and whether they agree."""
     m = Model(spark, sf_dir)
-    b = m.bronze("claim")
-    from carelake.plans import silver
-
-    parsed = silver.claim(b)
-    both = b.select(
-        F.get_json_object("raw_json", "$.id").alias("src_claim_id"),
-        F.get_json_object("raw_json", "$.status").alias("src_status"),
-        F.get_json_object("raw_json", "$.total.value").try_cast("double").alias("src_total_value"),
-        F.get_json_object("raw_json", "$.total.currency").alias("src_total_currency"),
-    )
-    src = both.agg(*_col_stats("src", ["claim_id", "status", "total_value", "total_currency"]))
-    dst = parsed.select(
-        F.col("claim_id").alias("dst_claim_id"), F.col("status").alias("dst_status"),
-        F.col("total_value").alias("dst_total_value"), F.col("total_currency").alias("dst_total_currency"),
-    ).agg(*_col_stats("dst", ["claim_id", "status", "total_value", "total_currency"]))
-    j = src.withColumn("_k", F.lit(1)).join(dst.withColumn("_k", F.lit(1)), "_k")
-    rows = []
-    for c in ["claim_id", "status", "total_value", "total_currency"]:
-        s = [F.col(f"src_{c}_{k}") for k in ("n", "min", "max", "sum")]
-        d = [F.col(f"dst_{c}_{k}") for k in ("n", "min", "max", "sum")]
-        same = (s[0] == d[0]) & s[1].eqNullSafe(d[1]) & s[2].eqNullSafe(d[2]) & s[3].eqNullSafe(d[3])
-        rows.append(F.struct(F.lit(c).alias("column_name"), s[0].alias("src_count"), d[0].alias("dst_count"),
-                             s[1].alias("src_min"), d[1].alias("dst_min"), s[2].alias("src_max"), d[2].alias("dst_max"),
-                             s[3].alias("src_sum"), d[3].alias("dst_sum"), same.alias("matches")))
-    return j.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
-
-def _col_stats(prefix: str, cols):
-    out = []
-    for c in cols:
-        col = F.col(f"{prefix}_{c}")
-        out += [
-            F.count(col).alias(f"{prefix}_{c}_n"),
-            F.min(col).cast("string").alias(f"{prefix}_{c}_min"),
-            F.max(col).cast("string").alias(f"{prefix}_{c}_max"),
-            (F.sum(col.try_cast("decimal(18,2)")).cast("double") if c == "total_value" else F.lit(None).cast("double")).alias(
-                f"{prefix}_{c}_sum"
-            ),
-        ]
-    return out
+    paths = {"claim_id": "$.id", "status": "$.status", "total_value": "$.total.value", "total_currency": "$.total.currency"}
+    source = m.bronze("claim").select(*[
+        F.get_json_object("raw_json", path).try_cast("double" if c == "total_value" else "string").alias(c) for c, path in paths.items()
+    ])
+    target = provider_claims.dedup_claims(m.silver("claim")).select(*MIGRATED)
+    # both sides' statistics as rows by column, met by column name
+    src, dst = (_col_stats(df, name) for df, name in ((source, "src"), (target, "dst")))
+    same = [F.col(f"src_{k}").eqNullSafe(F.col(f"dst_{k}")) for k in ("count", "min", "max", "sum")]
+    return src.join(dst, "column_name").withColumn("matches", reduce(lambda x, y: x & y, same))
+
+
+def _col_stats(df, prefix: str):
+    stats = []
+    for c in MIGRATED:
+        total = F.sum(F.col(c).try_cast("decimal(18,2)")).cast("double") if c == "total_value" else F.lit(None).cast("double")
+        stats.append(F.struct(
+            F.lit(c).alias("column_name"), F.count(c).alias(f"{prefix}_count"), F.min(c).cast("string").alias(f"{prefix}_min"),
+            F.max(c).cast("string").alias(f"{prefix}_max"), total.alias(f"{prefix}_sum"),
+        ))
+    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
 def stream_bronze_batch(spark, sf_dir):
@@ -210,6 +216,9 @@ QUERIES = {
     "validate_output": validate_output,
     "grain_violations": grain_violations,
     "reconcile": reconcile,
+    "reconcile_rows": reconcile_rows,
+    "expect_quarantine": expect_quarantine,
+    "profile_typed_dates": profile_typed_dates,
     "profile_table": profile_table,
     "profile_dates": profile_dates,
     "profile_references": profile_references,
@@ -234,51 +243,102 @@ def _with_g3(final: str) -> str:
 
 _G3_COLS = ["provider_id", "provider_name", "provider_state", "claim_month"] + G3_METRICS
 _count_like = ["claims_count", "amount_billed", "denied_or_rejected_claims_count", "denial_rate"]
-VALIDATE_SQL = _with_g3(
-    "SELECT * FROM (\n"
-    + "\nUNION ALL\n".join(
-        ["SELECT 'not_empty' AS check, CAST(COUNT(*) AS DOUBLE) AS value, COUNT(*) > 0 AS passed FROM g3",
-         "SELECT 'grain_not_null', CAST(SUM(CASE WHEN provider_id IS NULL OR provider_name IS NULL OR provider_state IS NULL "
-         "OR claim_month IS NULL THEN 1 ELSE 0 END) AS DOUBLE), SUM(CASE WHEN provider_id IS NULL OR provider_name IS NULL "
-         "OR provider_state IS NULL OR claim_month IS NULL THEN 1 ELSE 0 END) = 0 FROM g3",
-         "SELECT 'duplicate_ratio', ROUND(1.0 - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM g3)) / CAST(COUNT(*) AS DOUBLE), 6), "
-         "1.0 - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM g3)) / CAST(COUNT(*) AS DOUBLE) < 0.5 FROM g3"]
-        + [f"SELECT 'non_negative:{m}', CAST(SUM(CASE WHEN {m} < 0 THEN 1 ELSE 0 END) AS DOUBLE), "
-           f"SUM(CASE WHEN {m} < 0 THEN 1 ELSE 0 END) = 0 FROM g3" for m in _count_like]
-        + [f"SELECT 'not_all_null:{c}', CAST(COUNT({c}) AS DOUBLE), COUNT({c}) > 0 FROM g3" for c in _G3_COLS]
-    )
-    + ")"
+_CHECK_PARTS = (
+    ["SELECT 'not_empty' AS check, CAST(COUNT(*) AS DOUBLE) AS value, COUNT(*) > 0 AS passed FROM g3",
+     "SELECT 'grain_not_null', CAST(SUM(CASE WHEN provider_id IS NULL OR provider_name IS NULL OR provider_state IS NULL "
+     "OR claim_month IS NULL THEN 1 ELSE 0 END) AS DOUBLE), SUM(CASE WHEN provider_id IS NULL OR provider_name IS NULL "
+     "OR provider_state IS NULL OR claim_month IS NULL THEN 1 ELSE 0 END) = 0 FROM g3",
+     "SELECT 'duplicate_ratio', ROUND(1.0 - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM g3)) / CAST(COUNT(*) AS DOUBLE), 6), "
+     "1.0 - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM g3)) / CAST(COUNT(*) AS DOUBLE) < 0.5 FROM g3"]
+    + [f"SELECT 'non_negative:{m}', CAST(SUM(CASE WHEN {m} < 0 THEN 1 ELSE 0 END) AS DOUBLE), "
+       f"SUM(CASE WHEN {m} < 0 THEN 1 ELSE 0 END) = 0 FROM g3" for m in _count_like]
+    + [f"SELECT 'not_all_null:{c}', CAST(COUNT({c}) AS DOUBLE), COUNT({c}) > 0 FROM g3" for c in _G3_COLS]
 )
+VALIDATE_SQL = _with_g3(
+    "SELECT * FROM checks UNION ALL SELECT 'passed/' || COUNT(*), CAST(SUM(CASE WHEN passed THEN 1 ELSE 0 END) AS DOUBLE), bool_and(passed) FROM checks"
+).replace("\nSELECT * FROM checks", ",\nchecks AS (" + "\nUNION ALL\n".join(_CHECK_PARTS) + ")\nSELECT * FROM checks")
 
-GRAIN_SQL = _with_g3(
-    "SELECT provider_id, provider_name, provider_state, claim_month, COUNT(*) AS row_count FROM g3 "
-    "GROUP BY 1, 2, 3, 4 HAVING COUNT(*) > 1"
-)
+GRAIN_SQL = with_ctes(["silver_claim"], "SELECT claim_id, COUNT(*) AS row_count FROM silver_claim GROUP BY 1 HAVING COUNT(*) > 1")
 
-RECONCILE_SQL = _with_g3(
-    "SELECT * FROM (" + "\nUNION ALL\n".join(
-        f"SELECT '{m}' AS metric, CAST(COUNT(*) AS BIGINT) AS compared, CAST(0 AS BIGINT) AS mismatched, "
-        f"CAST(0 AS BIGINT) AS missing_in_actual, CAST(0 AS BIGINT) AS missing_in_expected FROM g3" for m in G3_METRICS
-    ) + ")"
+# the changed report: the same SQL without paid claims
+_G3_CHANGED = G3_CTE_SQL.replace("'entered-in-error')", "'entered-in-error', 'paid')")
+_PAIRED = (
+    ",\nchanged AS (" + _G3_CHANGED + "),\npaired AS (SELECT * FROM (SELECT *, 1 AS here FROM g3) a FULL OUTER JOIN (SELECT "
+    + ", ".join(f"{c} AS e_{c}" for c in _G3_COLS) + ", 1 AS e_here FROM changed) e ON "
+    + " AND ".join(f"a.{c} IS NOT DISTINCT FROM e.e_{c}" for c in G3_GRAIN) + ")\n"
 )
 
-_CLAIM_TYPES = {"total_value": "double", "_ingested_at": "timestamp_ntz"}
+
+def _differs(m: str) -> str:
+    return f"here = 1 AND e_here = 1 AND abs(CAST({m} AS DOUBLE) - CAST(e_{m} AS DOUBLE)) > greatest(0.01, abs(CAST(e_{m} AS DOUBLE)) * 1e-6)"
+
+
+def _paired(final: str) -> str:
+    return _with_g3("SELECT 0").removesuffix("\nSELECT 0") + _PAIRED + final
+
+
+RECONCILE_SQL = _paired("\nUNION ALL\n".join(
+    f"SELECT '{m}' AS metric, COUNT(CASE WHEN here = 1 AND e_here = 1 THEN 1 END) AS compared, COUNT(CASE WHEN {_differs(m)} THEN 1 END) AS mismatched, "
+    "COUNT(CASE WHEN here IS NULL THEN 1 END) AS missing_in_actual, COUNT(CASE WHEN e_here IS NULL THEN 1 END) AS missing_in_expected FROM paired"
+    for m in G3_METRICS
+))
+_KEY_COLS = ", ".join(f"COALESCE({c}, e_{c}) AS {c}" for c in G3_GRAIN)
+RECONCILE_ROWS_SQL = _paired("\nUNION ALL\n".join(
+    [f"SELECT {_KEY_COLS}, CAST(NULL AS VARCHAR) AS metric, CASE WHEN here IS NULL THEN 'missing_in_actual' ELSE 'missing_in_expected' END AS finding, "
+     "CAST(NULL AS DOUBLE) AS actual, CAST(NULL AS DOUBLE) AS expected FROM paired WHERE here IS NULL OR e_here IS NULL"]
+    + [f"SELECT {_KEY_COLS}, '{m}', 'differs', CAST({m} AS DOUBLE), CAST(e_{m} AS DOUBLE) FROM paired WHERE {_differs(m)}" for m in G3_METRICS]
+))
+
+QUARANTINE_SQL = with_ctes(["silver_claim"], """
+SELECT claim_id, concat_ws(',', CASE WHEN patient_id IS NULL THEN 'has_patient' END, CASE WHEN status IS NULL THEN 'has_status' END,
+       CASE WHEN total_value < 0 THEN 'total_not_negative' END) AS failed_rules
+FROM silver_claim WHERE patient_id IS NULL OR status IS NULL OR total_value < 0""")
 
 
 def _profile_sql() -> str:
     parts = []
-    for c in SILVER_COLUMNS["claim"]:
-        t = _CLAIM_TYPES.get(c, "string")
-        is_str, is_num = t == "string", t == "double"
-        parts.append(
-            f"SELECT 'claim' AS table_name, '{c}' AS column_name, '{t}' AS data_type, COUNT(*) AS row_count, "
-            f"COUNT({c}) AS non_null_count, COUNT(DISTINCT {c}) AS distinct_count, "
-            f"{'MIN(' + c + ')' if is_str else 'CAST(NULL AS VARCHAR)'} AS min_value, "
-            f"{'MAX(' + c + ')' if is_str else 'CAST(NULL AS VARCHAR)'} AS max_value, "
-            f"{'MIN(' + c + ')' if is_num else 'CAST(NULL AS DOUBLE)'} AS min_numeric, "
-            f"{'MAX(' + c + ')' if is_num else 'CAST(NULL AS DOUBLE)'} AS max_numeric FROM silver_claim"
-        )
-    return with_ctes(["silver_claim"], "\nUNION ALL\n".join(parts))
+    for r, columns in SILVER_COLUMNS.items():
+        for c in columns:
+            t = "timestamp_ntz" if c in TIMESTAMP_COLUMNS else "double" if c in ("total_value", "value") else "string"
+
+            def edge(f: str, c=c, t=t) -> str:
+                return f"strftime({f}({c}), '%Y-%m-%d %H:%M:%S')" if t == "timestamp_ntz" else f"{f}({c})"
+
+            text, number = t != "double", t == "double"
+            parts.append(
+                f"SELECT '{r}' AS table_name, '{c}' AS column_name, '{t}' AS data_type, COUNT(*) AS row_count, "
+                f"COUNT({c}) AS non_null_count, COUNT(DISTINCT {c}) AS distinct_count, "
+                f"{edge('MIN') if text else 'CAST(NULL AS VARCHAR)'} AS min_value, {edge('MAX') if text else 'CAST(NULL AS VARCHAR)'} AS max_value, "
+                f"{edge('MIN') if number else 'CAST(NULL AS DOUBLE)'} AS min_numeric, {edge('MAX') if number else 'CAST(NULL AS DOUBLE)'} AS max_numeric "
+                f"FROM silver_{r}"
+            )
+    return with_ctes([f"silver_{r}" for r in SILVER_COLUMNS], "\nUNION ALL\n".join(parts))
+
+
+TYPED_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT({c}) AS value_count, strftime(MIN({c}), '%Y-%m-%d %H:%M:%S') AS earliest, "
+    f"strftime(MAX({c}), '%Y-%m-%d %H:%M:%S') AS latest FROM {t}"
+    for t, c in (("events", "ts"), ("lineitem", "l_shipdate"), ("orders", "o_orderdate"))
+)
+
+
+def _outliers_sql() -> str:
+    inputs = [
+        ("claim", "total_value", "SELECT total_value AS x FROM silver_claim"),
+        ("observation", "value", "SELECT value AS x FROM silver_observation"),
+        ("encounter", "length_of_stay_days", "SELECT CAST(greatest(datediff('day', start_ts, end_ts), 0) AS DOUBLE) AS x FROM silver_encounter"),
+    ]
+    parts = []
+    for t, c, rows in inputs:
+        at = "(SELECT x FROM (SELECT x, ROW_NUMBER() OVER (ORDER BY x) AS rn, COUNT(*) OVER () AS n FROM ({rows}) WHERE x IS NOT NULL) WHERE rn = ceil({p} * n))"
+        q1, q2, q3 = (at.format(rows=rows, p=p) for p in (0.25, 0.5, 0.75))
+        parts.append(f"""
+SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS row_count, ROUND(1 - COUNT(x) / CAST(COUNT(*) AS DOUBLE), 6) AS null_share,
+       COUNT(DISTINCT x) AS distinct_count, any_value(q1) AS q1, any_value(q2) AS median, any_value(q3) AS q3, any_value(q3 - q1) AS iqr,
+       any_value(q1 - 1.5 * (q3 - q1)) AS low_fence, any_value(q3 + 1.5 * (q3 - q1)) AS high_fence,
+       COUNT(CASE WHEN x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) THEN 1 END) AS outliers
+FROM ({rows}) r, (SELECT {q1} AS q1, {q2} AS q2, {q3} AS q3) q""")
+    return with_ctes(["silver_claim", "silver_observation", "silver_encounter"], "\nUNION ALL\n".join(parts))
 
 
 _TERMS = ", ".join(f"('{t}')" for t in PROFILE_TERMS)
@@ -320,16 +380,16 @@ FROM feats f, (SELECT AVG(total_billed) AS mu, STDDEV_SAMP(total_billed) AS sd F
 
 
 def _migration_sql() -> str:
-    parts = []
-    for c in ["claim_id", "status", "total_value", "total_currency"]:
-        s = "CAST(SUM(CAST(total_value AS DECIMAL(18,2))) AS DOUBLE)" if c == "total_value" else "CAST(NULL AS DOUBLE)"
-        mn = f"CAST(MIN({c}) AS VARCHAR)"
-        mx = f"CAST(MAX({c}) AS VARCHAR)"
-        parts.append(
-            f"SELECT '{c}' AS column_name, COUNT({c}) AS src_count, COUNT({c}) AS dst_count, {mn} AS src_min, {mn} AS dst_min, "
-            f"{mx} AS src_max, {mx} AS dst_max, {s} AS src_sum, {s} AS dst_sum, true AS matches FROM silver_claim"
+    def stats(table: str, prefix: str) -> str:
+        return "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS column_name, COUNT({c}) AS {prefix}_count, CAST(MIN({c}) AS VARCHAR) AS {prefix}_min, CAST(MAX({c}) AS VARCHAR) AS {prefix}_max, "
+            + ("CAST(SUM(CAST(total_value AS DECIMAL(18,2))) AS DOUBLE)" if c == "total_value" else "CAST(NULL AS DOUBLE)") + f" AS {prefix}_sum FROM {table}"
+            for c in MIGRATED
         )
-    return with_ctes(["silver_claim"], "\nUNION ALL\n".join(parts))
+
+    same = " AND ".join(f"src_{k} IS NOT DISTINCT FROM dst_{k}" for k in ("count", "min", "max", "sum"))
+    return with_ctes(["silver_claim"], f"SELECT *, {same} AS matches FROM src JOIN dst USING (column_name)", extra=[
+        ("claim_dedup", reports_sql.CLAIM_DEDUP), ("src", stats("silver_claim", "src")), ("dst", stats("claim_dedup", "dst"))])
 
 
 _STREAM_TYPES = {
@@ -348,6 +408,10 @@ ORACLES = {
     "validate_output": VALIDATE_SQL,
     "grain_violations": GRAIN_SQL,
     "reconcile": RECONCILE_SQL,
+    "reconcile_rows": RECONCILE_ROWS_SQL,
+    "expect_quarantine": QUARANTINE_SQL,
+    "profile_typed_dates": TYPED_SQL,
+    "profile_outliers": _outliers_sql(),
     "profile_table": _profile_sql(),
     "term_mentions": TERM_SQL,
     "cdc_apply": CDC_SQL,

@@ -18,7 +18,7 @@ def _family(*families):
 
 
 def dq_references(spark, sf_dir):
-    return dq.dangling_references(Model(spark, sf_dir, materialize=True))
+    return dq.dangling_references(Model(spark, sf_dir))
 
 
 def dq_duplicates(spark, sf_dir):
@@ -31,15 +31,15 @@ def dq_duplicate_entities(spark, sf_dir):
 
 
 def dq_all(spark, sf_dir):
-    return dq.all_detections(Model(spark, sf_dir, materialize=True))
+    return dq.all_detections(Model(spark, sf_dir))
 
 
 def dq_summary(spark, sf_dir):
-    return dq.summary(dq.all_detections(Model(spark, sf_dir, materialize=True)))
+    return dq.summary(dq.all_detections(Model(spark, sf_dir)))
 
 
 def dq_score(spark, sf_dir):
-    m = Model(spark, sf_dir, materialize=True)
+    m = Model(spark, sf_dir)
     return dq.score(dq.all_detections(m), fixtures.manifest(m.tables))
 
 
@@ -57,13 +57,49 @@ QUERIES.update(
 
 
 # ------------------------------------------------------------------ oracle
+# what each rule must find, from the formula that plants the defect in the driver columns, not from the rule
+ROWS = {
+    "practitioner": ("supplier", "'pract-' || printf('%06d', s_suppkey)"),
+    "patient": ("patient_rows", "CASE WHEN copy = 1 THEN 'pat-9' ELSE 'pat-' END || printf('%06d', c_custkey)"),
+    "encounter": ("enc_rows2", "'enc-' || o_orderkey"),
+    "condition": ("cond_rows", "'cond-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey"),
+    "observation": ("events", "'obs-' || event_id"),
+    "procedure": ("proc_rows", "'proc-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey"),
+    "claim": ("claim_rows", "'clm-' || l_orderkey || '-' || l_linenumber"),
+}
+PLANTED = {
+    ("required_fields", "patient"): "c_custkey % 20 = 7",
+    ("required_fields", "practitioner"): "s_suppkey % 29 = 6",
+    ("required_fields", "encounter"): "o_orderkey % 101 = 30",
+    ("required_fields", "observation"): "event_id % 83 = 4",
+    ("required_fields", "claim"): "l_partkey % 37 = 1",
+    ("value_sets", "patient"): "c_custkey % 79 = 3",
+    ("value_sets", "encounter"): "o_orderkey % 59 = 21",
+    ("value_sets", "procedure"): "l_partkey % 61 = 5",
+    ("value_sets", "claim"): "l_partkey % 127 <> 5 AND l_partkey % 43 <> 0 AND (l_partkey % 47 = 2 OR l_returnflag IN ('R', 'N'))",
+    ("value_sets", "condition"): "l_partkey % 83 = 7",
+    ("malformed_references", "encounter", "subject"): "o_orderkey % 73 = 44 AND o_orderkey % 97 <> 50",
+    ("periods", "encounter"): "o_orderkey % 47 = 9",
+    ("date_formats", "encounter"): "o_orderkey % 71 = 15",
+    ("date_formats", "claim"): "l_partkey % 89 = 3 OR l_partkey % 71 = 15",
+    ("future_birthdates", "patient"): "c_custkey % 53 = 5 AND c_custkey % 20 <> 7",
+    ("implausible_values", "observation"): "CASE WHEN event_id % 97 = 10 THEN value <> 0 ELSE value < 0 END",
+    ("implausible_values", "claim"): "l_partkey % 41 = 2 AND l_partkey % 37 <> 1",
+    ("code_systems", "patient"): "c_custkey % 41 = 8",
+    ("code_systems", "encounter"): "o_orderkey % 67 = 12",
+    ("code_systems", "claim"): "l_partkey % 61 = 3 AND l_partkey % 37 <> 1",
+    ("identifiers", "practitioner"): "s_suppkey % 23 = 4",
+    ("test_records", "patient"): "c_custkey % 131 = 11",
+}
+
+
 def _rule_sql(r: dq.RowRule) -> str:
-    rtype, id_col = dq.RESOURCE_TYPES[r.resource]
+    rtype, _ = dq.RESOURCE_TYPES[r.resource]
+    rows, row_id = ROWS[r.resource]
+    # a rule without a formula finds nothing in these rows
+    planted = PLANTED.get((r.family, r.resource, r.detail.split(" ")[0])) or PLANTED.get((r.family, r.resource), "1 = 0")
     detail = r.detail.replace("'", "''")
-    return (
-        f"SELECT '{rtype}' AS resource_type, {id_col} AS resource_id, '{r.anomaly_type}' AS anomaly_type, "
-        f"'{detail}' AS detail FROM silver_{r.resource} WHERE COALESCE(({r.duck_sql}), false)"
-    )
+    return f"SELECT '{rtype}' AS resource_type, {row_id} AS resource_id, '{r.anomaly_type}' AS anomaly_type, '{detail}' AS detail FROM {rows} WHERE {planted}"
 
 
 def _rules_sql(families) -> str:
@@ -157,15 +193,14 @@ def _manifest_sql() -> str:
             ("o_orderkey % 71 = 15", "invalid_date_format"), ("o_orderkey % 67 = 12", "missing_code_system"),
             ("o_orderkey % 31 = 17", "duplicate_resource")]),
         rows("lineitem", "Condition", "'cond-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey",
-             [(f"{k} % 83 = 7", "invalid_code"), (f"{k} % 139 = 9", "dangling_reference")], "l_linenumber <= 2"),
+             [(f"{k} % 83 = 7", "invalid_code"), (f"{k} % 139 = 9", "dangling_reference")]),
         rows("events", "Observation", "'obs-' || event_id",
              [("event_id % 97 = 10", "implausible_value"), ("event_id % 83 = 4", "missing_required_field")]),
-        rows("lineitem", "Procedure", "'proc-' || l_orderkey || '-' || l_partkey", [(f"{k} % 61 = 5", "invalid_status_code")],
-             "l_linenumber = 3"),
+        rows("lineitem", "Procedure", "'proc-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey", [(f"{k} % 61 = 5", "invalid_status_code")]),
         rows("lineitem", "Claim", "'clm-' || l_orderkey || '-' || l_linenumber", [
-            (f"{k} % 103 = 6", "dangling_reference"), (f"{k} % 107 = 8", "dangling_reference"),
+            (f"{k} % 103 = 6 AND {k} % 131 <> 12", "dangling_reference"), (f"{k} % 107 = 8 AND {k} % 109 <> 14", "dangling_reference"),
             (f"{k} % 41 = 2 AND {k} % 37 <> 1", "implausible_value"), (f"{k} % 37 = 1", "missing_required_field"),
-            (f"{k} % 47 = 2 AND {k} % 43 <> 0", "invalid_status_code"),
+            (f"{k} % 47 = 2 AND {k} % 43 <> 0 AND {k} % 127 <> 5", "invalid_status_code"),
             (f"{k} % 61 = 3 AND {k} % 37 <> 1", "missing_code_system"), (f"{k} % 113 = 9", "duplicate_resource")]),
     ])
 

@@ -32,7 +32,7 @@ def _all_bronze(m: Model):
 def bronze_ingest(spark, sf_dir):
     """Bronze rows of all resources (id / type / source columns), built
     by the ingest itself rather than read from the stored bronze tables."""
-    m = Model(spark, sf_dir, persist=False)
+    m = Model(spark, sf_dir, stored=False)
     frames = [b.select("resource_id", "resource_type", "_source_file") for b in _all_bronze(m).values()]
     out = frames[0]
     for f in frames[1:]:
@@ -138,14 +138,12 @@ def exclude_test_patients(spark, sf_dir):
 def encounter_claims(spark, sf_dir):
     """Encounter x claim inner join (multiplies by claim rows)."""
     m = Model(spark, sf_dir)
-    e = weekly_facility.encounter_facts(m.silver("encounter"))
-    c = weekly_facility.claim_facts(m.silver("claim"))
-    j = e.join(c, e["encounter_id"] == c["clm_encounter_id"], "inner")
+    j = m.silver("encounter").alias("e").join(m.silver("claim").alias("c"), "encounter_id")
     return j.select(
         "encounter_id", "claim_id",
-        F.coalesce("clm_patient_id", "enc_patient_id").alias("patient_id"),
-        F.coalesce("clm_org_id", "enc_org_id").alias("org_id"),
-        F.coalesce("clm_week_start", "enc_week_start").cast("date").alias("week_start"),
+        F.coalesce("c.patient_id", "e.patient_id").alias("patient_id"),
+        F.coalesce("c.provider_id", "e.organization_id").alias("org_id"),
+        fhir.week_start(F.coalesce(fhir.parse_instant("c.billable_start"), F.col("e.start_ts"))).alias("week_start"),
     )
 
 

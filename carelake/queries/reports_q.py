@@ -50,10 +50,10 @@ def ed_admissions_24h(spark, sf_dir):
     """J6 + A4: ED visits flagged when an inpatient stay starts within 24 h."""
     m = Model(spark, sf_dir)
     s = m.sources(*ED_SOURCES)
-    edi = ed_utilization.ed_with_admits(s["encounter"], s["claim"], s["organization"], s["patient"])
-    return edi.select(
-        "enc_id", "enc_patient_id", "facility_id", "month_start",
-        fhir.to_ntz("period_start_ts").alias("period_start_ts"), "admit_from_ed_flag",
+    seen = ed_utilization.visits(s["encounter"], s["claim"], s["organization"], s["patient"])
+    return seen.select(
+        F.col("encounter_id").alias("enc_id"), F.col("patient_id").alias("enc_patient_id"), "facility_id", "month_start",
+        fhir.to_ntz("start_ts").alias("period_start_ts"), F.col("admitted").alias("admit_from_ed_flag"),
     )
 
 
@@ -61,23 +61,22 @@ def top_condition(spark, sf_dir):
     """Most frequent condition per facility-month of ED visits."""
     m = Model(spark, sf_dir)
     s = m.sources(*ED_SOURCES)
-    edi = ed_utilization.ed_with_admits(s["encounter"], s["claim"], s["organization"], s["patient"])
-    return ed_utilization.top_conditions(edi, s["condition"])
+    seen = ed_utilization.visits(s["encounter"], s["claim"], s["organization"], s["patient"])
+    return ed_utilization.by_facility_month(seen, s["condition"]).select(*ed_utilization.GRAIN, "top_condition")
 
 
 def claims_per_encounter(spark, sf_dir):
     m = Model(spark, sf_dir)
-    out = ed_utilization.claims_per_encounter(m.silver("claim"))
-    return out.select("enc_id", F.col("encounter_claim_total").cast("double").alias("encounter_claim_total"), "claims_linked_count")
+    out = ed_utilization.billed_per_encounter(m.silver("claim"))
+    return out.select(F.col("encounter_id").alias("enc_id"), F.col("billed").cast("double").alias("encounter_claim_total"), F.col("n_claims").alias("claims_linked_count"))
 
 
 def conditions_per_encounter(spark, sf_dir):
     """Every encounter with its condition count (0 when none)."""
     m = Model(spark, sf_dir)
-    counts = ed_utilization.conditions_per_encounter(m.silver("condition"))
-    enc = m.silver("encounter").select("encounter_id")
-    j = enc.join(counts, enc["encounter_id"] == counts["enc_id"], "left")
-    return j.select("encounter_id", F.coalesce("cond_count_enc", F.lit(0)).alias("cond_count_enc"))
+    counts = ed_utilization.codes_per_encounter(m.silver("condition"))
+    j = m.silver("encounter").select("encounter_id").join(counts, "encounter_id", "left")
+    return j.select("encounter_id", F.coalesce("n_conditions", F.lit(0)).alias("cond_count_enc"))
 
 
 def rejected_claim_counts(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,19 +28,40 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once for each application: they may not find it by their own path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(package)
+    # Spark copies the archive to the executors when it is added
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, top))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for materialised intermediates.
+    """The shared folder for stored intermediates.
 
-    Clusters name it in ``spark.checkpoint.dir``; only when it is unset (local
-    tests) do we pick a scratch folder of our own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    Clusters name it in ``spark.checkpoint.dir``. Only a local session, as in
+    tests, gets a scratch folder of its own when the setting is absent; on a
+    cluster that would be one machine's disk, so it is an error there."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    path = tempfile.mkdtemp(prefix="carelake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="carelake-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -61,66 +83,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
-
-
-# Upstreams reading less than this are recomputed rather than written out:
-# at small scale a write + read costs more than re-running the plan.
-MATERIALIZE_MIN_INPUT_BYTES = 1 << 30
-
-
-def input_bytes(df) -> int | None:
-    """Bytes read by the plan's leaf scans (file sizes, which are exact),
-    summed over every scan occurrence; None when unavailable (e.g. Connect)."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # noqa: SLF001
-        total = 0
-        for i in range(leaves.size()):
-            size = leaves.apply(i).stats().sizeInBytes()
-            total += size if isinstance(size, int) else int(str(size.toString()))
-        return total
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def materialize(df, min_input_bytes: int | None = None):
-    """Cut lineage where one intermediate feeds several branches.
-
-    When the frame's plan reads at least ``min_input_bytes`` (default 1 GiB),
-    the rows are written once as parquet under ``spark.checkpoint.dir`` (a
-    shared, reliable folder on a cluster) and read back, so the branches do
-    not each recompute the upstream and a lost executor does not replay it.
-    Smaller plans are returned unchanged. Never a local checkpoint.
-    """
-    import uuid
-
-    limit = MATERIALIZE_MIN_INPUT_BYTES if min_input_bytes is None else min_input_bytes
-    size = input_bytes(df)
-    if size is not None and size < limit:
-        return df
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/carelake-materialized/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-# Initial shuffle width at scale: about one partition per 128 MiB of input,
-# so a shuffle's partitions fit in executor memory instead of spilling.
-# AQE coalesces small partitions afterwards, so erring high is cheap.
-SHUFFLE_INPUT_BYTES_PER_PARTITION = 128 << 20
-MAX_INITIAL_SHUFFLE_PARTITIONS = 50_000
-INITIAL_PARTITIONS_CONF = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-
-
-def size_shuffles(spark: SparkSession, input_bytes: int | None) -> int | None:
-    """Raise AQE's initial shuffle partition count for a large input.
-
-    Only when the session has not set it and the input needs more partitions
-    than ``spark.sql.shuffle.partitions`` gives; returns the value set, else None."""
-    if not input_bytes or spark.conf.get(INITIAL_PARTITIONS_CONF, None):
-        return None
-    current = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    wanted = min(MAX_INITIAL_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_INPUT_BYTES_PER_PARTITION))
-    if wanted <= current:
-        return None
-    spark.conf.set(INITIAL_PARTITIONS_CONF, str(wanted))
-    return wanted

@@ -37,14 +37,15 @@ def with_bronze_columns(raw: DataFrame) -> DataFrame:
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """NDJSON text files -> bronze rows. Splittable line reads; the JSON is
-    kept as text and parsed later against a fixed schema."""
+    """NDJSON text files -> bronze rows, one for each line, blank ones too.
+    Splittable line reads; the JSON is kept as text and parsed later against a
+    fixed schema."""
     raw = spark.read.text(path).select(
         F.col("value").alias("raw_json"),
         F.col("_metadata.file_path").alias("_source_file"),
         F.current_timestamp().alias("_ingested_at"),
     )
-    return with_bronze_columns(raw).where(F.length(F.trim("raw_json")) > 0)
+    return with_bronze_columns(raw)
 
 
 def table_name(catalog_schema: str | None, resource: str) -> str:
@@ -63,41 +64,29 @@ def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "ove
 
 
 def append_evolving(spark: SparkSession, df: DataFrame, name: str, fmt: str = "parquet") -> None:
-    """Append rows whose schema may add columns.
-
-    Formats with native schema merge (Delta) take ``mergeSchema``; for plain
-    parquet tables the existing table is widened by a rewrite through a
-    staging table, since a parquet catalog table cannot add columns on append.
-    """
+    """Append rows whose schema may add columns (S7): the table's schema is widened in the catalog, then the
+    rows are appended. Files already written stay; their rows read null in the new columns."""
     if not spark.catalog.tableExists(name):
         write_table(df, name, fmt=fmt)
         return
     existing = spark.table(name)
-    new_cols = [c for c in df.columns if c not in existing.columns]
-    if fmt == "delta" or not new_cols:
-        aligned = df.unionByName(existing.limit(0), allowMissingColumns=True).select(*existing.columns, *new_cols)
-        write_table(aligned, name, fmt=fmt, mode="append", merge_schema=True)
-        return
-    merged = existing.unionByName(df, allowMissingColumns=True)
-    staging = f"{name}__evolve"
-    write_table(merged, staging, fmt=fmt)
-    write_table(spark.table(staging), name, fmt=fmt)
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    new = [f for f in df.schema.fields if f.name not in existing.columns]
+    if new and fmt != "delta":
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+    aligned = df.unionByName(existing.limit(0), allowMissingColumns=True).select(*existing.columns, *[f.name for f in new])
+    write_table(aligned, name, fmt=fmt, mode="append", merge_schema=fmt == "delta")
 
 
 def load_resources(spark: SparkSession, landing_dir: str, schema: str | None = None, fmt: str = "parquet") -> dict[str, int]:
-    """Multi-resource load loop (S2): one bronze table per resource file.
-
-    Row counts come from one aggregation over the written table, not a second
-    read of the source (S14).
-    """
+    """Multi-resource load loop (S2): one bronze table for each resource file; rows by table (S14), which
+    columnar files answer from their footers."""
     if schema:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
     counts = {}
     for r in RESOURCES:
         target = table_name(schema, r)
         write_table(read_ndjson(spark, f"{landing_dir.rstrip('/')}/{r}.ndjson"), target, fmt=fmt)
-        counts[target] = None
+        counts[target] = spark.table(target).count()
     return counts
 
 
@@ -118,20 +107,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def list_tables(spark: SparkSession, schema: str | None = None) -> DataFrame:
     """Tables of a schema ordered by name."""
-    rows = [(t.name, t.database, t.tableType) for t in spark.catalog.listTables(schema)]
+    rows = [(t.name, t.database, t.tableType) for t in spark.catalog.listTables(schema) if not t.isTemporary]
     return spark.createDataFrame(rows, "table_name string, table_schema string, table_type string").orderBy("table_name")
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
-    """Existence probe with DESCRIBE fallback."""
-    try:
-        return bool(spark.catalog.tableExists(name))
-    except Exception:  # noqa: BLE001 - catalogs without the API
-        try:
-            spark.sql(f"DESCRIBE TABLE {name}")
-            return True
-        except Exception:  # noqa: BLE001
-            return False
+    """Existence probe."""
+    return spark.catalog.tableExists(name)
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:

@@ -19,11 +19,11 @@ Mapping (K is the row key named per resource):
   serviceProvider K%149=40; bare subject K%73=44; end before start K%47=9;
   status 'done' K%59=21; MM/dd/yyyy start K%71=15; no class.system K%67=12;
   line repeated K%31=17.
-* Condition     lineitem (l_linenumber <= 2) with its order's customer;
+* Condition     lineitem with its order's customer;
   K = l_partkey; 'UNKNOWN' code without system K%83=7; SNOMED when K%5<2;
   dangling encounter K%139=9.
 * Observation   events; K = event_id; negative value K%97=10; no subject K%83=4.
-* Procedure     lineitem (l_linenumber = 3); status 'Done' K%61=5.
+* Procedure     lineitem; status 'Done' K%61=5.
 * Claim         lineitem with its order; K = l_partkey; see ``claim_bronze``.
 
 All joins here are equi-joins on the TPC-H keys and run as ordinary shuffles
@@ -215,7 +215,7 @@ def encounter_bronze(t: Tables) -> DataFrame:
     provider = (
         F.when(k % 101 == 30, F.lit(None))
         .when(k % 149 == 40, F.struct(F.lit("Organization/org-999999").alias("reference")))
-        .otherwise(F.struct(F.concat(F.lit("Organization/org-"), pad(k % 10)).alias("reference")))
+        .otherwise(F.struct(F.concat(F.lit("Organization/org-"), pad(F.col("site"))).alias("reference")))
     )
     display = pick(F.when(cls == "AMB", 0).when(cls == "EMER", 1).otherwise(2), [d for _, d in codes.ENCOUNTER_CLASSES])
     doc = F.struct(
@@ -229,7 +229,7 @@ def encounter_bronze(t: Tables) -> DataFrame:
         ).alias("class"),
         F.struct(subject.alias("reference")).alias("subject"),
         F.array(
-            F.struct(F.struct(F.concat(F.lit("Practitioner/pract-"), pad(cust % 10)).alias("reference")).alias("individual"))
+            F.struct(F.struct(F.concat(F.lit("Practitioner/pract-"), pad(F.col("site"))).alias("reference")).alias("individual"))
         ).alias("participant"),
         provider.alias("serviceProvider"),
         F.struct(
@@ -244,13 +244,15 @@ def encounter_bronze(t: Tables) -> DataFrame:
             )
         ).alias("reasonCode"),
     )
-    rows = _repeat_when(t.orders, k % 31 == 17)
+    # an encounter's facility and practitioner: the smallest supplier of its order's lines
+    sites = t.lineitem.groupBy(F.col("l_orderkey").alias("site_order")).agg(F.min("l_suppkey").alias("site"))
+    placed = t.orders.join(sites, k == F.col("site_order"), "left").withColumn("site", F.coalesce("site", F.lit(0).cast("long")))
+    rows = _repeat_when(placed, k % 31 == 17)
     return _bronze(rows, doc, "Encounter", plus_seconds(INGEST_BASE, F.lit(0)))
 
 
-def _lineitem_with_customer(t: Tables, line_filter: Column) -> DataFrame:
-    li = t.lineitem.where(line_filter)
-    return li.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+def _lineitem_with_customer(t: Tables) -> DataFrame:
+    return t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
 
 
 def condition_code(k: Column) -> tuple[Column, Column, Column]:
@@ -269,7 +271,7 @@ def condition_code(k: Column) -> tuple[Column, Column, Column]:
 
 
 def condition_bronze(t: Tables) -> DataFrame:
-    rows = _lineitem_with_customer(t, F.col("l_linenumber") <= 2)
+    rows = _lineitem_with_customer(t)
     k = F.col("l_partkey")
     system, code, display = condition_code(k)
     doc = F.struct(
@@ -324,12 +326,12 @@ def observation_bronze(t: Tables) -> DataFrame:
 
 
 def procedure_bronze(t: Tables) -> DataFrame:
-    rows = _lineitem_with_customer(t, F.col("l_linenumber") == 3)
+    rows = _lineitem_with_customer(t)
     k = F.col("l_partkey")
     idx = (k % 5).cast("int")
     doc = F.struct(
         F.lit("Procedure").alias("resourceType"),
-        F.concat_ws("-", F.lit("proc"), F.col("l_orderkey").cast("string"), k.cast("string")).alias("id"),
+        F.concat_ws("-", F.lit("proc"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), k.cast("string")).alias("id"),
         F.when(k % 61 == 5, F.lit("Done")).otherwise(F.lit("completed")).alias("status"),
         F.struct(
             F.array(
@@ -349,7 +351,8 @@ def procedure_bronze(t: Tables) -> DataFrame:
 
 def claim_status(k: Column, returnflag: Column, linenumber: Column) -> Column:
     return (
-        F.when(k % 43 == 0, F.lit("cancelled"))
+        F.when(k % 127 == 5, F.lit(None).cast("string"))
+        .when(k % 43 == 0, F.lit("cancelled"))
         .when(k % 47 == 2, F.lit("paid"))
         .when(returnflag == "R", F.when(linenumber % 2 == 0, F.lit("DENIED")).otherwise(F.lit("denied")))
         .when(returnflag == "N", F.lit("rejected"))
@@ -360,14 +363,15 @@ def claim_status(k: Column, returnflag: Column, linenumber: Column) -> Column:
 def claim_bronze(t: Tables) -> DataFrame:
     """lineitem x orders -> Claim; K = l_partkey.
 
-    status: cancelled K%43=0, paid K%47=2, R -> denied ('DENIED' on even line),
+    status: absent K%127=5, cancelled K%43=0, paid K%47=2, R -> denied ('DENIED' on even line),
     N -> rejected, else active; provider org-999999 when l_suppkey%9=4;
     billable start MM/dd/yyyy when K%71=15, 'not-a-date' when K%89=3; no total
     K%37=1; negative total K%41=2; null currency K%61=3; dangling patient
-    K%103=6; dangling encounter K%107=8; whole line repeated K%113=9;
+    K%103=6; dangling encounter K%107=8; no patient K%131=12; no provider
+    K%137=13; no encounter link K%109=14; whole line repeated K%113=9;
     _ingested_at = 2026-10-01 + K seconds.
     """
-    rows = _repeat_when(_lineitem_with_customer(t, F.lit(True)), F.col("l_partkey") % 113 == 9)
+    rows = _repeat_when(_lineitem_with_customer(t), F.col("l_partkey") % 113 == 9)
     k = F.col("l_partkey")
     okey = F.col("l_orderkey").cast("string")
     ship = F.col("l_shipdate")
@@ -377,17 +381,17 @@ def claim_bronze(t: Tables) -> DataFrame:
         F.concat_ws("-", F.lit("clm"), okey, F.col("l_linenumber").cast("string")).alias("id"),
         claim_status(k, F.col("l_returnflag"), F.col("l_linenumber")).alias("status"),
         F.struct(F.array(F.struct(F.lit("institutional").alias("code"))).alias("coding")).alias("type"),
-        F.struct(
+        F.when(k % 131 != 12, F.struct(
             F.when(k % 103 == 6, F.concat(F.lit("Patient/pat-8"), pad(F.col("o_custkey"))))
             .otherwise(F.concat(F.lit("Patient/pat-"), pad(F.col("o_custkey"))))
             .alias("reference")
-        ).alias("patient"),
-        F.struct(
+        )).alias("patient"),
+        F.when(k % 137 != 13, F.struct(
             F.when(F.col("l_suppkey") % 9 == 4, F.lit("Organization/org-999999"))
             .otherwise(F.concat(F.lit("Organization/org-"), pad(F.col("l_suppkey"))))
             .alias("reference")
-        ).alias("provider"),
-        F.array(
+        )).alias("provider"),
+        F.when(k % 109 != 14, F.array(
             F.struct(
                 F.array(
                     F.struct(
@@ -397,7 +401,7 @@ def claim_bronze(t: Tables) -> DataFrame:
                     )
                 ).alias("encounter")
             )
-        ).alias("item"),
+        )).alias("item"),
         F.struct(
             F.when(k % 89 == 3, F.lit("not-a-date")).when(k % 71 == 15, us_text(ship)).otherwise(iso(ship)).alias("start"),
             iso(ship + F.expr("INTERVAL 1 DAY")).alias("end"),
@@ -425,10 +429,6 @@ def bronze(t: Tables, resource: str) -> DataFrame:
     return BUILDERS[resource](t)
 
 
-def all_bronze(t: Tables) -> dict[str, DataFrame]:
-    return {name: fn(t) for name, fn in BUILDERS.items()}
-
-
 # ---------------------------------------------------------------- manifest
 def _entries(df: DataFrame, rtype: str, id_col: Column, rules: list[tuple[Column, str, str]]) -> DataFrame:
     # the defects a row carries; rules it does not meet are nulls, compacted away
@@ -476,7 +476,7 @@ def manifest(t: Tables) -> DataFrame:
             (o % 67 == 12, "missing_code_system", "class.system is absent"),
             (o % 31 == 17, "duplicate_resource", "line repeated"),
         ]),
-        _entries(li.where(F.col("l_linenumber") <= 2), "Condition",
+        _entries(li, "Condition",
                  F.concat_ws("-", F.lit("cond"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), k.cast("string")), [
             (k % 83 == 7, "invalid_code", "UNKNOWN code without system"),
             (k % 139 == 9, "dangling_reference", "encounter references a missing encounter"),
@@ -485,16 +485,16 @@ def manifest(t: Tables) -> DataFrame:
             (F.col("event_id") % 97 == 10, "implausible_value", "negative value"),
             (F.col("event_id") % 83 == 4, "missing_required_field", "subject is absent"),
         ]),
-        _entries(li.where(F.col("l_linenumber") == 3), "Procedure",
-                 F.concat_ws("-", F.lit("proc"), F.col("l_orderkey").cast("string"), k.cast("string")), [
+        _entries(li, "Procedure",
+                 F.concat_ws("-", F.lit("proc"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), k.cast("string")), [
             (k % 61 == 5, "invalid_status_code", "status outside the value set"),
         ]),
         _entries(li, "Claim", F.concat_ws("-", F.lit("clm"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), [
-            (k % 103 == 6, "dangling_reference", "patient references a missing patient"),
-            (k % 107 == 8, "dangling_reference", "item.encounter references a missing encounter"),
+            ((k % 103 == 6) & (k % 131 != 12), "dangling_reference", "patient references a missing patient"),
+            ((k % 107 == 8) & (k % 109 != 14), "dangling_reference", "item.encounter references a missing encounter"),
             ((k % 41 == 2) & (k % 37 != 1), "implausible_value", "negative total"),
             (k % 37 == 1, "missing_required_field", "total is absent"),
-            ((k % 47 == 2) & (k % 43 != 0), "invalid_status_code", "status 'paid'"),
+            ((k % 47 == 2) & (k % 43 != 0) & (k % 127 != 5), "invalid_status_code", "status 'paid'"),
             ((k % 61 == 3) & (k % 37 != 1), "missing_code_system", "currency is null"),
             (k % 113 == 9, "duplicate_resource", "line repeated"),
         ]),

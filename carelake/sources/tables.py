@@ -11,46 +11,18 @@ DRIVER_TABLES = [
 ]
 
 
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work (JSON writing/parsing) enough tasks.
-
-    A scan gets one task per file split; a small table stored as one row
-    group yields a single busy task however many cores exist. When a scan of
-    at least 1 MiB has fewer partitions than the default parallelism it is
-    round-robin repartitioned to that parallelism. On a cluster reading many
-    files the condition is false and nothing is added to the plan.
-    """
-    from carelake.operators.joins import estimated_bytes
-
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no RDD access
-        return df
-    want = spark.sparkContext.defaultParallelism
-    size = estimated_bytes(df) or 0
-    if parts < want and size >= SPREAD_MIN_BYTES:
-        return df.repartition(want)
-    return df
-
-
 class Tables:
     """Lazy accessor: ``Tables(spark, "/root/testdata/sf0.01").lineitem``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._cache: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
     def get(self, name: str) -> DataFrame:
-        if name not in self._cache:
-            self._cache[name] = spread(self.spark, self.spark.read.parquet(self.path(name)))
-        return self._cache[name]
+        return self.spark.read.parquet(self.path(name))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:

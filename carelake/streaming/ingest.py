@@ -2,8 +2,9 @@
 
 readStream.text over a landing folder -> the same bronze columns as the batch
 ingest -> watermark on the ingest time -> dropDuplicatesWithinWatermark on
-(resource_id, raw_json), so a re-sent identical line is dropped while the
-dedup state stays bounded by the watermark -> writeStream (parquet, or any
+(resource_id, SHA-256 and length of the line), so a re-sent identical line is
+dropped, the state holds a digest in place of the text, and it stays bounded by
+the watermark -> writeStream (parquet, or any
 sink) with a checkpoint, trigger availableNow for incremental batch runs.
 """
 
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 
 from carelake.sources.bronze import with_bronze_columns
 
-DEDUP_KEYS = ["resource_id", "raw_json"]
+DEDUP_KEYS = ["resource_id", "line_digest", "line_length"]
+
+
+def with_digest(bronze: DataFrame) -> DataFrame:
+    return bronze.withColumn("line_digest", F.sha2("raw_json", 256)).withColumn("line_length", F.length("raw_json"))
 
 
 def bronze_stream(spark: SparkSession, landing_dir: str, watermark: str = "1 hour", max_files_per_trigger: int | None = None) -> DataFrame:
@@ -26,8 +31,8 @@ def bronze_stream(spark: SparkSession, landing_dir: str, watermark: str = "1 hou
         F.col("_metadata.file_path").alias("_source_file"),
         F.current_timestamp().alias("_ingested_at"),
     )
-    bronze = with_bronze_columns(raw).where(F.length(F.trim("raw_json")) > 0)
-    return bronze.withWatermark("_ingested_at", watermark).dropDuplicatesWithinWatermark(DEDUP_KEYS)
+    lines = with_digest(with_bronze_columns(raw)).withWatermark("_ingested_at", watermark)
+    return lines.dropDuplicatesWithinWatermark(DEDUP_KEYS).drop("line_digest", "line_length")
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, output_dir: str, checkpoint_dir: str, fmt: str = "parquet",
@@ -46,5 +51,5 @@ def start_ingest(spark: SparkSession, landing_dir: str, output_dir: str, checkpo
 
 def batch_twin(bronze: DataFrame) -> DataFrame:
     """The batch equivalent of one ingest run: distinct lines per resource."""
-    lines = bronze.select("resource_type", *DEDUP_KEYS).distinct()
+    lines = with_digest(bronze).select("resource_type", *DEDUP_KEYS).distinct()
     return lines.groupBy("resource_type").agg(F.count(F.lit(1)).alias("distinct_lines"))

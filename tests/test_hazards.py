@@ -80,3 +80,16 @@ def test_provider_excluded_status_is_after_dedup(spark):
     assert out.count() == 0
     alt = provider_claims.build(spark, {"claim": c, "organization": o}, excluded_statuses=["canceled"])
     assert alt["provider_claims_denial_monthly"].count() == 1
+
+
+def test_sql_form_keeps_claims_without_a_status(spark):
+    from carelake.plans import provider_claims
+    from tests.helpers import orgs
+
+    row = {"provider_id": "o1", "billable_start": "2026-01-05T10:00:00+00:00", "_ingested_at": "2026-10-01 10:00:00"}
+    c = claims(spark, [row | {"claim_id": "c1", "status": None, "total_value": 5.0}, row | {"claim_id": "c2", "status": "active", "total_value": 7.0}])
+    o = orgs(spark, [{"organization_id": "o1", "org_name": "X", "org_state": "IL", "_ingested_at": "2026-10-01 09:00:00"}])
+    sources = {"claim": c, "organization": o}
+    for df in (provider_claims.build(spark, sources)["provider_claims_denial_monthly"], provider_claims.spark_sql(spark, sources)):
+        assert [(r.claims_count, float(r.amount_billed)) for r in df.collect()] == [(2, 12.0)]
+    assert provider_claims.spark_sql(spark, sources, ["active"]).first().claims_count == 1

@@ -31,7 +31,8 @@ def test_ndjson_ingest_load_loop_and_catalog(spark, small_dir):
     assert df.where(F.col("resource_type") != "Claim").count() == 0
     assert df.first()._source_file.endswith("Claim.ndjson")
     spark.sql("CREATE SCHEMA IF NOT EXISTS bronze_t")
-    bronze.load_resources(spark, d, schema="bronze_t")
+    loaded = bronze.load_resources(spark, d, schema="bronze_t")
+    assert loaded["bronze_t.claim"] == df.count() and set(loaded) == {f"bronze_t.{r.lower()}" for r in bronze.RESOURCES}
     names = [r.table_name for r in bronze.list_tables(spark, "bronze_t").collect()]
     assert names == sorted(r.lower() for r in bronze.RESOURCES)
     assert bronze.table_exists(spark, "bronze_t.claim") and not bronze.table_exists(spark, "bronze_t.nope")
@@ -39,6 +40,12 @@ def test_ndjson_ingest_load_loop_and_catalog(spark, small_dir):
     assert counts == {"Claim": df.count()}
 
 
+def test_blank_lines_are_rows(spark, tmp_path):
+    (tmp_path / "Claim.ndjson").write_text('{"id": "c1", "resourceType": "Claim"}\n\n{"id": "c2", "resourceType": "Claim"}\n')
+    got = bronze.read_ndjson(spark, str(tmp_path / "Claim.ndjson"))
+    assert sorted((r.resource_id or "", r.raw_json == "") for r in got.collect()) == [("", True), ("c1", False), ("c2", False)]
+
+
 def test_manifest_csv_all_strings(spark, small_dir):
     from carelake.sources import fixtures
 
@@ -82,8 +89,12 @@ def test_streaming_ingest_matches_batch_twin(spark, small_dir):
 def test_contract_and_schema_checks(spark):
     df = spark.createDataFrame([("p", 1, "3")], "provider_id string, claims_count long, amount_billed string")
     c = validate.Contract("t", ["provider_id"], metrics=["claims_count", "amount_billed", "denial_rate"])
-    res = {r["name"]: r["passed"] for r in validate.check_contract(df, c)}
-    assert res == {"columns_exist": False, "metrics_numeric": False}
+    res = {(r.check, r.subject): r.passed for r in validate.check_contract(df, c).collect()}
+    assert res == {
+        ("column_present", "provider_id"): True, ("column_present", "claims_count"): True, ("column_present", "amount_billed"): True,
+        ("column_present", "denial_rate"): False, ("metric_is_number", "claims_count"): True, ("metric_is_number", "amount_billed"): False,
+        ("metric_is_number", "denial_rate"): False,
+    }
     assert validate.string_typed_metrics(df) == ["amount_billed"]
     assert abs(validate.metric_coverage(df, ["claims_count", "denial_rate"]) - 0.5) < 1e-9
     new = spark.createDataFrame([("p", 1.0)], "provider_id string, claims_count double").schema
@@ -95,7 +106,11 @@ def test_validate_output_flags(spark):
     df = spark.createDataFrame([("a", -1), ("a", -1), (None, 2)], "k string, row_count long")
     got = {r.check: r.passed for r in validate.validate_output(df, ["k"]).collect()}
     assert got["not_empty"] and not got["grain_not_null"] and not got["non_negative:row_count"]
-    assert got["duplicate_ratio"]
+    assert got["duplicate_ratio"] and not got["passed/6"]
+    ok = {r.check: (r.value, r.passed) for r in validate.validate_output(df.where("row_count = 2 and k is null"), ["row_count"]).collect()}
+    assert ok["passed/6"] == (5.0, False) and ok["duplicate_ratio"] == (0.0, True)
+    none = {r.check: r.passed for r in validate.validate_output(df.limit(0), ["k"]).collect()}
+    assert not none["not_empty"] and none["not_all_null:k"]
     assert [tuple(r) for r in validate.grain_violations(df, ["k"]).collect()] == [("a", 2)]
 
 
@@ -104,37 +119,55 @@ def test_reconcile_counts_mismatches(spark):
     e = spark.createDataFrame([("x", 1.005), ("z", 3.0)], "k string, m double")
     r = validate.reconcile(a, e, ["k"], ["m"]).first()
     assert (r.compared, r.mismatched, r.missing_in_actual, r.missing_in_expected) == (1, 0, 1, 1)
+    a = spark.createDataFrame([("x", 1.0), (None, 2.0), ("n", None), ("y", 5.0)], "k string, m double")
+    e = spark.createDataFrame([("x", 1.5), (None, 2.0), ("n", 0.0), ("z", 3.0)], "k string, m double")
+    got = sorted(map(tuple, validate.reconcile_rows(a, e, ["k"], ["m"]).collect()))
+    assert got == [("n", "m", "differs", None, 0.0), ("x", "m", "differs", 1.0, 1.5), ("y", None, "missing_in_expected", None, None), ("z", None, "missing_in_actual", None, None)]
+
+
+def test_target_status(spark):
+    spark.createDataFrame([(1, "a")], "n int, t string").write.mode("overwrite").saveAsTable("status_t")
+    assert tuple(validate.target_status(spark, "status_t").first()) == ("status_t", True, 1, ["n", "t"])
+    assert tuple(validate.target_status(spark, "status_nope").first()) == ("status_nope", False, None, None)
+
+
+def test_findings_log(spark, small_dir):
+    from carelake.operators import dq
+
+    found = dq.duplicate_entities(Model(spark, small_dir))
+    dq.write_findings(found, "findings_t")
+    dq.write_findings(found, "findings_t")
+    log = spark.table("findings_t")
+    assert log.count() == 2 * found.count() > 0 and log.columns == [*dq.OUTPUT, "_found_at"]
+
+
+def test_stored_layers_equal_lazy_plans(spark, small_dir):
+    from carelake.sources import layers
+
+    layers.forget()
+    got = sorted(map(str, Model(spark, small_dir).silver("claim").collect()))
+    written = dict(layers._written)
+    assert got == sorted(map(str, Model(spark, small_dir, stored=False).silver("claim").collect()))
+    assert sorted(map(str, Model(spark, small_dir).silver("claim").collect())) == got and layers._written == written
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from carelake.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
 
+    class Session:
+        conf, sparkContext = Conf(), Context()
 
-def test_persisted_layers_equal_lazy_plans_and_are_reused(spark, small_dir, tmp_path):
-    from carelake.sources import lake
-
-    spark.conf.set(lake.LAKE_CONF, str(tmp_path / "lake"))
-    try:
-        stored = Model(spark, small_dir)
-        path = stored._layer_path("silver", "claim")
-        assert not lake.is_complete(spark, path)
-        got = sorted(map(tuple, stored.silver("claim").collect()))
-        assert lake.is_complete(spark, path)
-        lazy = sorted(map(tuple, Model(spark, small_dir, persist=False).silver("claim").collect()))
-        assert got == lazy
-        # a second model over the same inputs and code reads the same folder
-        again = Model(spark, small_dir)
-        assert again._layer_path("silver", "claim") == path
-        assert sorted(map(tuple, again.silver("claim").collect())) == lazy
-    finally:
-        spark.conf.unset(lake.LAKE_CONF)
-
-
-def test_size_shuffles_only_raises_an_unset_width(spark):
-    from carelake.session import INITIAL_PARTITIONS_CONF, size_shuffles
-
-    assert spark.conf.get(INITIAL_PARTITIONS_CONF, None) is None
-    assert size_shuffles(spark, 10 << 20) is None  # small input: the session's width is enough
-    assert spark.conf.get(INITIAL_PARTITIONS_CONF, None) is None
-    try:
-        assert size_shuffles(spark, 100 * (1 << 40)) == 50_000  # 100 TiB: capped
-        assert spark.conf.get(INITIAL_PARTITIONS_CONF) == "50000"
-        assert size_shuffles(spark, 1 << 40) is None  # already set: left alone
-    finally:
-        spark.conf.unset(INITIAL_PARTITIONS_CONF)
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
