@@ -21,6 +21,8 @@ G3_GRAIN = provider_claims.GRAIN
 G3_METRICS = ["claims_count", "amount_billed", "denied_or_rejected_claims_count", "denial_rate"]
 PROFILE_TERMS = [r.lower() for r in RESOURCES] + [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    # what the documents do mention
+    "license", "rights reserved", "copyright",
 ]
 
 
