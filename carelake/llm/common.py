@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,7 @@ find_words = re.compile(WORD).findall
 
 #: Characters handled at once inside a task, so that numpy's arrays stay small
 #: whatever the Arrow batch holds. A longer text is a chunk of its own.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 750_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +59,25 @@ def chunks(pdf: pd.DataFrame, column: str = "text", limit: int = CHUNK_CHARS) ->
 def row_key(*columns: str) -> Column:
     """64-bit key of a row, the same for equal rows and for any partitioning."""
     return F.xxhash64(*columns)
+
+
+def release() -> None:
+    """Give a Python worker's free memory back. Workers stay for later stages, and several are kept by an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, releasing memory when the task is done."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole

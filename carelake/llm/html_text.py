@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import stored
+from carelake.llm.common import stored, tidy
 
 _markup = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
@@ -216,7 +216,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
                 votes = pd.DataFrame(got, columns=["host", "path", "score"])
                 yield votes.groupby(["host", "path"], as_index=False).agg(votes=("score", "size"), score=("score", "sum"))
 
-    votes = pages.select("host", "html").mapInPandas(vote, "host string, path string, votes long, score double")
+    votes = pages.select("host", "html").mapInPandas(tidy(vote), "host string, path string, votes long, score double")
     summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.round(F.sum("score"), 3).alias("score"))
     # max over (votes, score), ties to the first path
     top = summed.groupBy("host").agg(F.max(F.struct("votes", "score")).alias("top"))
@@ -237,4 +237,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host_path": pdf["path"], "text": texts})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.join(paths, "host", "left").select("page_id", "url", "html", "path").mapInPandas(run, f"page_id {kind}, url string, host_path string, text string")
+    return rows.join(paths, "host", "left").select("page_id", "url", "html", "path").mapInPandas(tidy(run), f"page_id {kind}, url string, host_path string, text string")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import chunks, find_words, row_key, stored
+from carelake.llm.common import chunks, find_words, row_key, stored, tidy
 from carelake.llm.components import components
 
 NGRAM = 5
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows_ = docs.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
-    return rows_.mapInPandas(run, f"doc_id {kind}, row long, set_key long, bands array<long>")
+    return rows_.mapInPandas(tidy(run), f"doc_id {kind}, row long, set_key long, bands array<long>")
 
 
 def candidate_buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +236,7 @@ def verify(cells: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
         yield pd.DataFrame({"a": pd.array(out[0], "Int64"), "b": pd.array(out[1], "Int64"), "links": pd.array(out[2], "Int64")})
 
     placed = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return placed.mapInPandas(run, "a long, b long, links long")
+    return placed.mapInPandas(tidy(run), "a long, b long, links long")
 
 
 def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -266,7 +266,7 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rec
                 sets = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield piece[["set_key", "copies", "bands"]].assign(ngrams=sets)
 
-    sets = stored(texts.select("set_key", "copies", "bands", "text").mapInPandas(full, "set_key long, copies long, bands array<long>, ngrams binary"), "jaccard-sets")
+    sets = stored(texts.select("set_key", "copies", "bands", "text").mapInPandas(tidy(full), "set_key long, copies long, bands array<long>, ngrams binary"), "jaccard-sets")
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "set_key", "bucket", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import chunks
+from carelake.llm.common import chunks, tidy
 
 UNDETERMINED = "und"
 
@@ -88,7 +88,7 @@ def train(rows: DataFrame, bits: int = 15, smoothing: float = 0.5) -> Model:
 
     counted = (
         rows.where(F.col("lang").isNotNull()).select("lang", "text")
-        .mapInPandas(count, "lang string, bucket int, n long")
+        .mapInPandas(tidy(count), "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     )
     languages = sorted(counted["lang"].unique())
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(predict, f"doc_id {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return docs.select("doc_id", "text").mapInPandas(tidy(predict), f"doc_id {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -185,4 +185,4 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             told = [mixtures(piece["text"].tolist(), shared.value).sum(axis=1) > 0 for piece in chunks(texts)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *told])))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -23,11 +23,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from carelake.llm.common import row_key, stored
+from carelake.llm.common import row_key, stored, tidy
 
 LINES = 3
 #: A line: up to sixteen words with the white space after them; a line break or a sentence end closes it early.
@@ -83,18 +86,18 @@ def removed_spans(hits: list[tuple[int, int | None]], n_lines: int) -> list[tupl
     return spans
 
 
-def _without(text: str, hits) -> tuple[str, int, int]:
+def _without(text: str, hits) -> tuple[str, int]:
+    """The text less its later occurrences, and how many lines that removes."""
     found = list(_line.finditer(text))
-    # pandas gives a missing hash as None or as a float
-    spans = removed_spans([(h["position"], None if h["own"] is None or h["own"] != h["own"] else h["own"]) for h in hits], len(found))
+    spans = removed_spans([(h["position"], h["own"]) for h in hits], len(found))
     if not spans:
-        return text, len(found), 0
+        return text, 0
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at : found[a].start()])
         at = found[b - 1].end()
     kept.append(text[at:])
-    return "".join(kept), len(found), sum(b - a for a, b in spans)
+    return "".join(kept), sum(b - a for a, b in spans)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -102,19 +105,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place of a column of that name."""
     columns = [c for c in docs.columns if c != "lines_removed"]
     hits = repeated_lines(docs.select("doc_id", "text"))
-
-    @F.pandas_udf("text string, lines_removed int")
-    def rebuild(pieces: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, found in pieces:
-            got = [(t, 0) if t is None or h is None else (lambda r: (r[0], r[2]))(_without(t, h)) for t, h in zip(text, found, strict=True)]
-            yield pd.DataFrame(got, columns=["text", "lines_removed"])
-
-    own = docs.select(row_key("doc_id", "text").alias("key"), F.struct(*columns).alias("row"))
-    both = own.join(hits, "key", "left")
-    touched = F.col("hits").isNotNull()
-    # texts without hits don't go to Python
-    cut = both.select("row", touched.alias("touched"), rebuild(F.when(touched, F.col("row.text")), F.col("hits")).alias("cut"))
-    return cut.select(
-        *[F.when(F.col("touched"), F.col("cut.text")).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns],
-        F.when(F.col("touched"), F.col("cut.lines_removed")).otherwise(0).alias("lines_removed"),
-    )
+    # by number, so that the documents' names meet none of ours
+    named = [f"c{i}" for i in range(len(columns))]
+    own = docs.select(row_key("doc_id", "text").alias("key"), *[F.col(c).alias(n) for c, n in zip(columns, named, strict=True)])
+    both = own.join(hits, "key", "left").select(*named, "hits")
+    at = columns.index("text")
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, found = batch.columns[:-1], batch.columns[-1]
+            touched = found.is_valid()
+            got = [_without(t, h) for t, h in zip(cells[at].filter(touched).to_pylist(), found.filter(touched).to_pylist(), strict=True)]
+            cells[at] = pc.replace_with_mask(cells[at], touched, pa.array([t for t, _ in got], cells[at].type))
+            removed = pc.replace_with_mask(pa.array(np.zeros(len(batch), np.int32)), touched, pa.array([n for _, n in got], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*cells, removed], [*named, "lines_removed"])
+
+    schema = T.StructType([*both.drop("hits").schema.fields, T.StructField("lines_removed", T.IntegerType())])
+    return both.mapInArrow(tidy(rebuild), schema).toDF(*columns, "lines_removed")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import chunks, find_words
+from carelake.llm.common import chunks, find_words, tidy
 
 WORD_BITS = 18
 PAIR_BITS = 20
@@ -111,7 +111,7 @@ def count(docs: DataFrame) -> tuple[Counts, Counts]:
             yield pd.DataFrame({"block": list(sums), "counts": [zlib.compress(x.tobytes(), 1) for x in sums.values()]})
 
     schema = "block int, counts binary"
-    summed = docs.select("text", "is_target").mapInPandas(run, schema).repartition("block").mapInPandas(add, schema)
+    summed = docs.select("text", "is_target").mapInPandas(tidy(run), schema).repartition("block").mapInPandas(tidy(add), schema)
     total = np.zeros((2, sum(SIZES)), np.float32)
     for block, counts in summed.toLocalIterator():
         total[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zlib.decompress(counts), np.int64).reshape(2, BLOCK)
@@ -135,5 +135,5 @@ def score(docs: DataFrame, models: tuple[Counts, Counts]) -> DataFrame:
                 })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    scored = docs.select("doc_id", "text").mapInPandas(tidy(run), f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
     return scored.select("doc_id", "n_words", *[F.when(F.col("n_words") > 0, F.col(c)).alias(c) for c in ("target_loss", "background_loss")], "score")

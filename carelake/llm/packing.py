@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import chunks, stored
+from carelake.llm.common import chunks, stored, tidy
 
 WINDOW = 1024
 END_ID = 0
@@ -63,7 +63,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID
                 yield pd.DataFrame({"doc_id": piece["doc_id"], "part": part, "part_start": starts, "n": n, "ids": [x.tobytes() for x in ids]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, part int, part_start long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), f"doc_id {kind}, part int, part_start long, n long, ids binary")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
@@ -77,26 +77,28 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            place, n = pdf["place"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-            first = place // window
-            pieces = (place + n - 1) // window - first + 1
-            row = np.repeat(np.arange(len(pdf)), pieces)
-            sequence = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + first[row]
-            begin = np.maximum(sequence * window, place[row])
-            end = np.minimum((sequence + 1) * window, (place + n)[row])
-            ids = pdf["ids"].tolist()
-            lo, hi = begin - place[row], end - place[row]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].to_numpy()[row], "start": lo, "length": hi - lo,
-                "ids": [ids[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)],
-                "doc_tokens": n[row], "sequence_id": sequence, "offset": begin - sequence * window,
-            })
+            for at in range(0, len(pdf), 1000):
+                yield pieces(pdf.iloc[at : at + 1000])
+
+    def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+        place, n = pdf["place"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        first = place // window
+        count = (place + n - 1) // window - first + 1
+        row = np.repeat(np.arange(len(pdf)), count)
+        sequence = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
+        begin = np.maximum(sequence * window, place[row])
+        end = np.minimum((sequence + 1) * window, (place + n)[row])
+        ids = pdf["ids"].tolist()
+        lo, hi = begin - place[row], end - place[row]
+        return pd.DataFrame({
+            "doc_id": pdf["doc_id"].to_numpy()[row], "start": lo, "length": hi - lo,
+            "ids": [ids[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)],
+            "doc_tokens": n[row], "sequence_id": sequence, "offset": begin - sequence * window,
+        })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return placed.select("doc_id", "place", "n", "ids").mapInPandas(
-        cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        tidy(cut), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 

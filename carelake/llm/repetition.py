@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from carelake.llm.common import WORD, chunks
+from carelake.llm.common import WORD, chunks, tidy
 
 _word = re.compile(WORD)
 _symbol = re.compile(r"[#*$%&|<>]").findall
@@ -113,4 +113,4 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
                 yield got
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), f"doc_id {kind}, {SCHEMA}")

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import chunks
+from carelake.llm.common import chunks, tidy
 
 #: Labelled documents of either class that the lexicon and the weights are fitted on, about; drawn by a hash of the id.
 SAMPLE_PER_CLASS = 4_000
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                     })
 
         counted = (
-            sample.mapInPandas(units, "unit string, context long, toxic int, fold int")
+            sample.mapInPandas(tidy(units), "unit string, context long, toxic int, fold int")
             .groupBy("unit", F.when(F.col("toxic") == 1, F.col("context")).alias("context"), "fold").agg(F.sum(1 - F.col("toxic")).alias("n"))
             .groupBy("unit").agg(
                 *[F.count(F.when(F.col("fold") == f, F.col("context"))).alias(f"toxic_{f}") for f in (0, 1)],
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
             rows = [features(t, halves[f]) for t, f in zip(pdf["text"], pdf["fold"], strict=True)]
             yield pd.DataFrame(rows, columns=["best", "total", "hits"]).assign(toxic=pdf["toxic"].to_numpy())
 
-    seen = sample.mapInPandas(measured, "best double, total double, hits double, toxic int").toPandas()
+    seen = sample.mapInPandas(tidy(measured), "best double, total double, hits double, toxic int").toPandas()
     if seen["toxic"].nunique() < 2:
         return Scorer(lexicon, PRIOR)
     return Scorer(lexicon, tuple(_logistic(_design(seen[["best", "total", "hits"]].to_numpy()), seen["toxic"].to_numpy(float)).tolist()))
@@ -292,4 +292,4 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int, best_clause double, total double, matched_clauses int")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), f"doc_id {kind}, score double, predicted int, best_clause double, total double, matched_clauses int")
