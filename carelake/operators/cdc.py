@@ -10,6 +10,7 @@ key with a huge number of changes is reduced map-side. Formats with MERGE
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,3 +31,9 @@ def apply_changes(
     merged = base.unionByName(changes.select(*base.columns))
     latest = latest_per_key(merged, keys, [sequence])
     return latest.where(F.col(op_col) != delete_value).drop(op_col)
+
+
+def evolved_union(frames: Sequence[DataFrame]) -> DataFrame:
+    """Rows of frames whose schemas have drifted: columns meet by name, a column that a frame lacks is null
+    in its rows, and numbers take the widest type."""
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)

@@ -141,6 +141,15 @@ def cdc_apply(spark, sf_dir):
     return out.select("claim_id", "status", "total_value", fhir.to_ntz("_ingested_at").alias("_ingested_at"))
 
 
+def schema_evolution(spark, sf_dir):
+    """§2.14 schema_evolution: claims before the cutoff as an old export, whole amounts and no currency, with the
+    later ones in today's schema."""
+    c = Model(spark, sf_dir).silver("claim")
+    late = F.col("_ingested_at") >= F.lit(CUTOFF).cast("timestamp")
+    old = c.where(~late).select("claim_id", "status", F.col("total_value").cast("int").alias("total_value"))
+    return cdc.evolved_union([old, c.where(late).select("claim_id", "status", "total_value", "total_currency")])
+
+
 def patient_features(spark, sf_dir):
     """§2.14 ml_feature: per-patient counts, class one-hot, recency, billed
     total and its z-score over patients; nulls filled with 0."""
@@ -228,6 +237,7 @@ QUERIES = {
     "term_mentions": term_mentions,
     "profile_outliers": profile_outliers,
     "cdc_apply": cdc_apply,
+    "schema_evolution": schema_evolution,
     "patient_features": patient_features,
     "migration_check": migration_check,
     "stream_bronze_batch": stream_bronze_batch,
@@ -361,6 +371,11 @@ SELECT claim_id, status, total_value, _ingested_at FROM (
 WHERE rn = 1 AND _op <> 'delete'""",
 )
 
+EVOLUTION_SQL = with_ctes(["silver_claim"], f"""
+SELECT claim_id, status, CASE WHEN _ingested_at >= TIMESTAMP '{CUTOFF}' THEN total_value ELSE trunc(total_value) END AS total_value,
+       CASE WHEN _ingested_at >= TIMESTAMP '{CUTOFF}' THEN total_currency END AS total_currency
+FROM silver_claim""")
+
 FEATURES_SQL = with_ctes(
     ["silver_encounter", "silver_claim", "silver_patient"],
     f"""
@@ -417,6 +432,7 @@ ORACLES = {
     "profile_table": _profile_sql(),
     "term_mentions": TERM_SQL,
     "cdc_apply": CDC_SQL,
+    "schema_evolution": EVOLUTION_SQL,
     "patient_features": FEATURES_SQL,
     "migration_check": _migration_sql(),
     "stream_bronze_batch": STREAM_SQL,

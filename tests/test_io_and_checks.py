@@ -97,6 +97,7 @@ def test_contract_and_schema_checks(spark):
     }
     assert validate.string_typed_metrics(df) == ["amount_billed"]
     assert abs(validate.metric_coverage(df, ["claims_count", "denial_rate"]) - 0.5) < 1e-9
+    assert validate.covers_metrics(df, ["claims_count", "denial_rate"]) and not validate.covers_metrics(df, ["a_rate", "b_rate", "claims_count"])
     new = spark.createDataFrame([("p", 1.0)], "provider_id string, claims_count double").schema
     diff = {d["column"]: d["change"] for d in validate.schema_diff(df.schema, new)}
     assert diff == {"claims_count": "retyped", "amount_billed": "dropped"}

@@ -108,6 +108,16 @@ def test_cdc_apply_upsert_and_delete(spark):
     assert got == [("a", 2, 11), ("c", 3, 30)]
 
 
+def test_evolved_union(spark):
+    from carelake.operators.cdc import evolved_union
+
+    a = spark.createDataFrame([("a", 1)], "k string, n int")
+    b = spark.createDataFrame([("x", 2.5, "b")], "extra string, n double, k string")
+    got = evolved_union([a, b])
+    assert got.dtypes == [("k", "string"), ("n", "double"), ("extra", "string")]
+    assert sorted(map(tuple, got.collect())) == [("a", 1.0, None), ("b", 2.5, "x")]
+
+
 def test_expect_or_drop_quarantine(spark):
     from carelake.plans.claims_by_patient import expect_or_drop
 
