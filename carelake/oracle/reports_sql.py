@@ -106,45 +106,45 @@ FROM weekly_flagged
 )
 
 ED_BASE = [
-    ("cpe", """
+    ("billed", """
   SELECT encounter_id AS enc_id, SUM(CAST(COALESCE(total_value, 0.0) AS DECIMAL(18,2))) AS encounter_claim_total,
          COUNT(*) AS claims_linked_count
   FROM silver_claim WHERE encounter_id IS NOT NULL GROUP BY 1
 """),
-    ("pat", """
-  SELECT patient_id AS pat_id,
-         CASE WHEN lower(active) = 'true' THEN true WHEN lower(active) = 'false' THEN false ELSE true END AS pat_active,
+    ("people", """
+  SELECT patient_id AS person,
+         CASE WHEN lower(active) = 'true' THEN true WHEN lower(active) = 'false' THEN false ELSE true END AS is_active,
          regexp_matches(lower(concat_ws(' ', first_name, last_name)), '(^|\\s)(test|dummy|demo|synthetic)($|\\s)')
            AS is_test_name
   FROM silver_patient
 """),
-    ("ede", """
+    ("emergency", """
   SELECT e.encounter_id AS enc_id, e.patient_id AS enc_patient_id, e.organization_id AS facility_id,
          COALESCE(o.org_name, e.organization_id) AS facility_name, e.start_ts AS period_start_ts,
          e.end_ts AS period_end_ts, CAST(date_trunc('month', e.start_ts) AS DATE) AS month_start,
          c.encounter_claim_total, c.claims_linked_count
   FROM silver_encounter e
-  JOIN cpe c ON e.encounter_id = c.enc_id
+  JOIN billed c ON e.encounter_id = c.enc_id
   LEFT JOIN silver_organization o ON e.organization_id = o.organization_id
-  LEFT JOIN pat p ON e.patient_id = p.pat_id
+  LEFT JOIN people p ON e.patient_id = p.person
   WHERE e.class_code = 'EMER' AND e.start_ts IS NOT NULL
-    AND COALESCE(p.pat_active, true) = true AND COALESCE(p.is_test_name, false) = false
+    AND COALESCE(p.is_active, true) = true AND COALESCE(p.is_test_name, false) = false
 """),
-    ("edi", """
+    ("visits", """
   SELECT ed.enc_id, ed.facility_id, ed.facility_name, ed.month_start, ed.enc_patient_id, ed.encounter_claim_total,
          ed.claims_linked_count, ed.period_start_ts, ed.period_end_ts,
-         MAX(CASE WHEN imp.encounter_id IS NOT NULL THEN 1 ELSE 0 END) AS admit_from_ed_flag
-  FROM ede ed LEFT JOIN silver_encounter imp
-    ON ed.enc_patient_id = imp.patient_id AND imp.class_code = 'IMP' AND imp.start_ts IS NOT NULL
-   AND ed.period_start_ts IS NOT NULL AND imp.start_ts >= ed.period_start_ts
-   AND imp.start_ts <= ed.period_start_ts + INTERVAL 24 HOURS
+         MAX(CASE WHEN stay.encounter_id IS NOT NULL THEN 1 ELSE 0 END) AS admit_from_ed_flag
+  FROM emergency ed LEFT JOIN silver_encounter stay
+    ON ed.enc_patient_id = stay.patient_id AND stay.class_code = 'IMP' AND stay.start_ts IS NOT NULL
+   AND ed.period_start_ts IS NOT NULL AND stay.start_ts >= ed.period_start_ts
+   AND stay.start_ts <= ed.period_start_ts + INTERVAL 24 HOURS
   GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9
 """),
-    ("ccte", "SELECT encounter_id AS enc_id, COUNT(condition_id) AS cond_count_enc FROM silver_condition GROUP BY 1"),
-    ("edall", """
-  SELECT edi.*, COALESCE(cc.cond_count_enc, 0) AS cond_count_enc FROM edi LEFT JOIN ccte cc ON edi.enc_id = cc.enc_id
+    ("condition_counts", "SELECT encounter_id AS enc_id, COUNT(condition_id) AS cond_count_enc FROM silver_condition GROUP BY 1"),
+    ("visited", """
+  SELECT visits.*, COALESCE(n.cond_count_enc, 0) AS cond_count_enc FROM visits LEFT JOIN condition_counts n ON visits.enc_id = n.enc_id
 """),
-    ("topc", """
+    ("leading_codes", """
   SELECT facility_id, facility_name, month_start,
          CASE WHEN cond_code = 'UNKNOWN' THEN NULL ELSE cond_code END AS top_condition
   FROM (
@@ -153,7 +153,7 @@ ED_BASE = [
     FROM (
       SELECT a.facility_id, a.facility_name, a.month_start, COALESCE(c.code, 'UNKNOWN') AS cond_code,
              COUNT(*) AS cond_freq
-      FROM edall a LEFT JOIN silver_condition c ON a.enc_id = c.encounter_id
+      FROM visited a LEFT JOIN silver_condition c ON a.enc_id = c.encounter_id
       GROUP BY a.facility_id, a.facility_name, a.month_start, c.code))
   WHERE rn = 1
 """),
@@ -163,16 +163,16 @@ ED_DEPS = ["silver_encounter", "silver_claim", "silver_organization", "silver_pa
 ED_UTILIZATION = with_ctes(
     ED_DEPS,
     """
-SELECT mb.*, tc.top_condition FROM (
+SELECT metrics.*, leader.top_condition FROM (
   SELECT facility_id, facility_name, month_start, COUNT(*) AS ed_visit_count,
          COUNT(DISTINCT enc_patient_id) AS unique_patients,
          ROUND(CAST(AVG(encounter_claim_total) AS DOUBLE), 6) AS avg_claim_amount,
          CAST(SUM(encounter_claim_total) AS DOUBLE) AS total_billed,
          SUM(admit_from_ed_flag) AS admits_from_ed,
          ROUND(AVG(CAST(cond_count_enc AS DOUBLE)), 6) AS avg_conditions_per_visit
-  FROM edall GROUP BY 1, 2, 3) mb
-LEFT JOIN topc tc ON mb.facility_id = tc.facility_id AND mb.facility_name = tc.facility_name
-                 AND mb.month_start = tc.month_start
+  FROM visited GROUP BY 1, 2, 3) metrics
+LEFT JOIN leading_codes leader ON metrics.facility_id = leader.facility_id AND metrics.facility_name = leader.facility_name
+                 AND metrics.month_start = leader.month_start
 """,
     extra=ED_BASE,
 )
@@ -182,12 +182,12 @@ ED_ADMISSIONS_24H = with_ctes(
     """
 SELECT enc_id, enc_patient_id, facility_id, month_start, CAST(period_start_ts AS TIMESTAMP) AS period_start_ts,
        admit_from_ed_flag
-FROM edi
+FROM visits
 """,
     extra=ED_BASE,
 )
 
-TOP_CONDITION = with_ctes(ED_DEPS, "SELECT * FROM topc", extra=ED_BASE)
+TOP_CONDITION = with_ctes(ED_DEPS, "SELECT * FROM leading_codes", extra=ED_BASE)
 
 CLAIMS_PER_ENCOUNTER = with_ctes(
     ["silver_claim"],
