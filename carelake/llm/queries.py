@@ -56,8 +56,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the target: documents that are labelled as of high quality and not as toxic
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good")).where("good")
     # labels grow with the documents: a shuffle join at every size
-    marked = docs.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("is_target"))
-    return lm_scoring.score(docs, lm_scoring.count(marked))
+    marked = docs.join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("is_target"))
+    return lm_scoring.score_counted(marked)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,3 +287,22 @@ def test_lm_scoring_against_plain(spark):
     none = lm_scoring.count(marked.where("false"))
     assert lm_scoring.score(documents(spark, ["alpha"]), none).first()["score"] == 0
     assert lm_scoring.score(documents(spark, ["alpha"]).where("false"), models).count() == 0
+
+
+def test_lm_scoring_keeps_unrelated_words_apart(spark):
+    # more words and pairs than the buckets of any fixed table that a driver would hold: every count stays exact
+    many = [" ".join(f"n{i * 2000 + k}" for k in range(2000)) for i in range(300)]
+    rows = [(t, False) for t in many] + [("rare one of the target", True), ("rare one of others", False)]
+    marked = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, is_target boolean")
+    got = by_id(lm_scoring.score_counted(marked))
+    # plain counts, with the vocabulary of this corpus
+    n_words, n_target, size = 600_000 + 9, 5, 600_000 + 6
+    a, share = lm_scoring.SMOOTHING, lm_scoring.INTERPOLATION
+
+    def loss(pairs, n):
+        return -sum(math.log(share * two / seen + (1 - share) * (one + a) / (n + a * size) if seen else (one + a) / (n + a * size)) for one, seen, two in pairs) / len(pairs)
+
+    # (count of the word, of its history, of both)
+    assert got[300]["target_loss"] == pytest.approx(loss([(1, 1, 1)] * 5, n_target))
+    assert got[300]["background_loss"] == pytest.approx(loss([(2, 302, 2), (2, 2, 2), (2, 2, 2), (1, 2, 1), (1, 1, 1)], n_words))
+    assert got[0]["background_loss"] == pytest.approx(loss([(1, 302, 1)] + [(1, 1, 1)] * 1999, n_words))
