@@ -205,6 +205,31 @@ def test_line_dedup_random(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").where("false")).count() == 0
 
 
+def test_line_dedup_passages_at_all_offsets(spark):
+    rng = np.random.default_rng(8)
+    syllables = ["th", "on", "er", "ing", "ed", "ly", "at", "re", "nd", "es", "wh", "ou", "ti"]
+
+    def words(n):
+        return ["".join(rng.choice(syllables, rng.integers(2, 5))) for _ in range(n)]
+
+    rows, of = [], {}
+    for number in range(6):
+        passage, first = words(60), 100 * number
+        rows.append((first, "Intro.\n" + " ".join(passage) + "\nend."))
+        for offset in range(20):
+            before, after = words(offset), words(20)
+            rows.append((first + 1 + offset, " ".join(before + passage + after)))
+            of[first + 1 + offset] = (passage, before, after)
+    got = check_line_dedup(spark, rows)
+    for i, (passage, before, after) in of.items():
+        left = got[i].split()
+        held = {tuple(passage[k : k + 51]) for k in range(10)}
+        assert not held & {tuple(left[k : k + 51]) for k in range(len(left) - 50)}, i
+        # nothing of its own goes but what shares a line with the passage
+        assert left[: len(before) - 12] == before[: max(len(before) - 12, 0)] or len(before) <= 12
+        assert left[-8:] == after[-8:]
+
+
 def test_line_dedup_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     want = plain_line_dedup(rows)
