@@ -3,9 +3,11 @@
 Each page's containers are scored by the text they hold outside links and
 furniture; a container's path is the generalised chain of tags and classes
 from the root (digits become ``#``). A page votes for the path of its best
-container; votes are summed for each host in Spark, and every page of the host
-is extracted again at the winning path. A page that lacks the path falls back
-to its own best container, so that no page is left out.
+container; votes are summed for each host in Spark, and the paths with a tenth
+of a host's votes win, one or more for each template. Every page of the host is
+extracted again at the first of them whose containers hold a fair part of what
+the page's best ones do; a page without such a path falls back to its own best
+container, so that no page is left out.
 
 Furniture is what the contract of a main text excludes: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -15,8 +17,8 @@ one blank, blocks are joined by one line break.
 
 Edge cases: null and empty pages give an empty text; plain text without tags
 is one block of the page; broken markup is read as browsers do, roughly (open
-elements end with their parent). A null url is a host of its own. Ties between
-paths go to the larger text, then to the first in code-point order. Repeated
+elements end with their parent). Pages whose url names no host share no votes:
+each has its own best path. Ties between paths go to the larger text, then to the first in code-point order. Repeated
 rows each get a row and a vote. Other columns are not read.
 """
 
@@ -59,6 +61,11 @@ FURNITURE_WORDS = set(
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 
+#: Share of a host's votes from which on a path wins, and of the best container's score from which on it is taken.
+VOTE_SHARE = 0.1
+SCORE_SHARE = 0.05
+
+
 @dataclass
 class Element:
     tag: str
@@ -145,7 +152,10 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
 
 def candidates(page: str) -> list[tuple[str, float]]:
     """(path, score) of the page's best containers, best first: one for each path."""
-    elements, runs = parse(page)
+    return _candidates(*parse(page))
+
+
+def _candidates(elements: list[Element], runs: list[tuple[Element, bool, str]]) -> list[tuple[str, float]]:
     for element, linked, text in runs:
         if text is None or element.furniture:
             continue
@@ -171,12 +181,13 @@ def candidates(page: str) -> list[tuple[str, float]]:
     return sorted(best.items(), key=lambda x: (-x[1], x[0]))
 
 
-def extract(page: str, path: str | None) -> str:
-    """Blocks of all containers at ``path``, or of the page's best container where it has none; without furniture."""
+def extract(page: str, paths: list[str]) -> str:
+    """Blocks of all containers at the first of ``paths`` that holds enough here, or of the page's best container; without furniture."""
     elements, runs = parse(page)
-    if path is None or not any(e.path == path and e.tag in CONTAINERS for e in elements):
-        own = candidates(page)
-        path = own[0][0] if own else ""
+    own = _candidates(elements, runs)
+    score = dict(own)
+    least = SCORE_SHARE * own[0][1] if own else 0.0
+    path = next((p for p in paths if p in score and score[p] >= least), own[0][0] if own else "")
     inside: dict[int, bool] = {}
 
     def kept(e: Element) -> bool:
@@ -207,7 +218,7 @@ def host(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes on each host. ``pages``: host, html."""
+    """(host, paths): the paths with a share of each host's votes, most votes first. ``pages``: host, html; no host, no votes."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,13 +227,18 @@ def winning_paths(pages: DataFrame) -> DataFrame:
                 votes = pd.DataFrame(got, columns=["host", "path", "score"])
                 yield votes.groupby(["host", "path"], as_index=False).agg(votes=("score", "size"), score=("score", "sum"))
 
-    votes = pages.select("host", "html").mapInPandas(tidy(vote), "host string, path string, votes long, score double")
+    votes = pages.where("host <> ''").select("host", "html").mapInPandas(tidy(vote), "host string, path string, votes long, score double")
     summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.round(F.sum("score"), 3).alias("score"))
-    # max over (votes, score), ties to the first path
-    top = summed.groupBy("host").agg(F.max(F.struct("votes", "score")).alias("top"))
-    return (
-        summed.join(top, "host").where((F.col("votes") == F.col("top.votes")) & (F.col("score") == F.col("top.score")))
-        .groupBy("host").agg(F.min("path").alias("path"))
+    # the most voted path wins whatever its share
+    top = summed.groupBy("host").agg(F.sum("votes").alias("every"), F.max("votes").alias("most"))
+    won = summed.join(top, "host").where((F.col("votes") >= VOTE_SHARE * F.col("every")) | (F.col("votes") == F.col("most")))
+    # descending (votes, score), ties to the first path. Where no path has a share, those with the most votes may be
+    # as many as the host's pages: one is enough, as a page has its own
+    shared = F.col("votes") >= VOTE_SHARE * F.col("every")
+    some = F.collect_list(F.when(shared, F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")))
+    one = F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path"))
+    return won.groupBy("host").agg(some.alias("some"), one.alias("one")).select(
+        "host", F.when(F.size("some") > 0, F.array_sort("some")).otherwise(F.array("one")).getField("path").alias("paths")
     )
 
 
@@ -233,8 +249,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [extract(page, path) if page else "" for page, path in zip(pdf["html"], pdf["path"], strict=True)]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host_path": pdf["path"], "text": texts})
+            paths = [[] if p is None else list(p) for p in pdf["paths"]]
+            texts = [extract(page, p) if page else "" for page, p in zip(pdf["html"], paths, strict=True)]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host_path": [p[0] if p else None for p in paths], "text": texts})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.join(paths, "host", "left").select("page_id", "url", "html", "path").mapInPandas(tidy(run), f"page_id {kind}, url string, host_path string, text string")
+    return rows.join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInPandas(tidy(run), f"page_id {kind}, url string, host_path string, text string")

@@ -163,6 +163,20 @@ def test_html_consensus_overrules_a_page(spark):
     assert got[4] == "brief article"
 
 
+def test_html_keeps_pages_of_other_templates(spark):
+    words = "article words that go on " * 8
+    usual = f'<body><div><p>{words}</p></div></body>'
+    other = '<body><div>{}</div><section class="story"><p>' + "another text of this page " * 8 + "</p></section></body>"
+    h = "https://many.example/"
+    pages = [(i, h, usual) for i in range(6)] + [(6, h, other.format("box")), (7, h, other.format("")), (8, h, other.format('<p hidden>x</p>'))]
+    # no host in the url: pages of other sites don't vote
+    pages += [(10 + i, None, usual) for i in range(4)] + [(20, "x", '<body><div>a short notice of a few words only</div><section class="story"><p>' + "own text " * 6 + "</p></section></body>")]
+    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["text"] == words.strip() for i in [*range(6), *range(10, 14)])
+    assert all(("another text of this page " * 8).strip() in got[i]["text"] for i in (6, 7, 8))
+    assert ("own text " * 6).strip() in got[20]["text"] and got[20]["host_path"] is None
+
+
 def test_html_matches_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = queries.op2_html_text(spark, "/root/testdata/sf0.01").collect()
