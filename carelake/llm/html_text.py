@@ -11,7 +11,10 @@ container, so that no page is left out.
 
 Furniture is what the contract of a main text excludes: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, known by their tags and by whole words of their class, id or role.
+comments, known by their tags and by whole words of their class, id or role. A class or id
+says nothing after no-, has- or with-, nor on a container with most of the page's
+unlinked text (but comments are furniture at any length), and a page that would
+be empty for its classes is read without them.
 The main text is the container's blocks: white space inside a block becomes
 one blank, blocks are joined by one line break.
 
@@ -57,6 +60,9 @@ FURNITURE_WORDS = set(
     "disqus footer form header masthead menu modal nav navbar navigation newsletter notice notification popup promo promotion related respond "
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+COMMENT_WORDS = set("comment comments commentlist disqus respond".split())
+#: With these a class says what a layout has or lacks.
+WITHOUT = set("no has with without".split())
 #: Roles of landmarks outside a page's main part.
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
 
@@ -72,6 +78,7 @@ class Element:
     path: str
     furniture: bool  # itself or one above
     parent: Element | None
+    named: str = ""  # furniture by a word of its class or id: "word", or "comments" for readers' comments
     text: int = 0  # characters outside links and furniture, with all elements below
     linked: int = 0
 
@@ -82,17 +89,48 @@ def _generalised(tag: str, attrs: dict[str, str]) -> str:
 
 
 def _is_furniture(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in FURNITURE_TAGS or attrs.get("role", "").lower() in FURNITURE_ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs:
-        return True
+    return tag in FURNITURE_TAGS or attrs.get("role", "").lower() in FURNITURE_ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs
+
+
+def _named(tag: str, attrs: dict[str, str]) -> str:
     if tag in ("html", "body", "article", "main"):
-        return False
-    return any(w in FURNITURE_WORDS for name in ("class", "id") for w in _name_parts(attrs.get(name, "").lower()))
+        return ""
+    found = ""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = _name_parts(name)
+        if COMMENT_WORDS.intersection(words) and not WITHOUT.intersection(words):
+            return "comments"
+        if FURNITURE_WORDS.intersection(words) and not WITHOUT.intersection(words):
+            found = "word"
+    return found
+
+
+def _mark_named(every: list[Element], runs: list[tuple[Element, bool, str]]) -> None:
+    """Furniture by name, and all below it; not the containers with most of the page's unlinked text."""
+    if not any(e.named for e in every):
+        return
+    held: dict[int, int] = {}
+    total = 0
+    for element, linked, text in runs:
+        if text is None or linked or element.furniture or not (n := len(text.strip())):
+            continue
+        total += n
+        e: Element | None = element
+        while e is not None:
+            if e.named:
+                held[id(e)] = held.get(id(e), 0) + n
+            e = e.parent
+    for e in every:  # parents come first
+        by_name = e.named == "comments" or (e.named and 2 * held.get(id(e), 0) <= total)
+        e.furniture = e.furniture or bool(by_name) or (e.parent is not None and e.parent.furniture)
+
 
+def parse(page: str, names: bool = True) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
+    """The page's elements, and its text runs in order as (element, in a link, text); a None text breaks a block.
 
-def parse(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
-    """The page's elements, and its text runs in order as (element, in a link, text); a None text breaks a block."""
+    Without ``names``, classes and ids make no furniture."""
     root = Element("", "", False, None)
-    elements, runs, stack, links, at = [root], [], [root], 0, 0
+    every, runs, stack, links, at = [root], [], [root], 0, 0
     position = 0
     while position <= len(page):
         m = _markup.search(page, position)
@@ -139,20 +177,30 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
         above = stack[-1]
         # inline elements share the path of the block they stand in
         path = f"{above.path}>{_generalised(tag, attrs)}" if tag in BLOCKS else above.path
-        element = Element(tag, path, above.furniture or _is_furniture(tag, attrs), above)
-        if tag in CONTAINERS or element.furniture != above.furniture or tag in BLOCKS:
-            elements.append(element)
+        element = Element(tag, path, above.furniture or _is_furniture(tag, attrs), above, _named(tag, attrs) if names else "")
+        every.append(element)
         stack.append(element)
         links += tag == "a"
         if inner.rstrip().endswith("/") and tag not in BLOCKS:
             links -= tag == "a"
             stack.pop()
-    return elements, runs
+    _mark_named(every, runs)
+    return every, runs
+
+
+def _has_text(runs: list[tuple[Element, bool, str]]) -> bool:
+    return any(text and not element.furniture and text.strip() for element, _, text in runs)
+
+
+def read(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
+    """``parse``, without names where they leave no text."""
+    parsed = parse(page)
+    return parsed if _has_text(parsed[1]) or not any(e.named for e in parsed[0]) else parse(page, names=False)
 
 
 def candidates(page: str) -> list[tuple[str, float]]:
     """(path, score) of the page's best containers, best first: one for each path."""
-    return _candidates(*parse(page))
+    return _candidates(*read(page))
 
 
 def _candidates(elements: list[Element], runs: list[tuple[Element, bool, str]]) -> list[tuple[str, float]]:
@@ -183,7 +231,7 @@ def _candidates(elements: list[Element], runs: list[tuple[Element, bool, str]])
 
 def extract(page: str, paths: list[str]) -> str:
     """Blocks of all containers at the first of ``paths`` that holds enough here, or of the page's best container; without furniture."""
-    elements, runs = parse(page)
+    elements, runs = read(page)
     own = _candidates(elements, runs)
     score = dict(own)
     least = SCORE_SHARE * own[0][1] if own else 0.0

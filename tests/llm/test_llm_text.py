@@ -177,6 +177,16 @@ def test_html_keeps_pages_of_other_templates(spark):
     assert ("own text " * 6).strip() in got[20]["text"] and got[20]["host_path"] is None
 
 
+@pytest.mark.parametrize("name", ["layout no-sidebar", "has-sidebar", "page with-header", "long-form", "widget Blog", "search-results"])
+def test_html_layout_classes_are_no_furniture(name):
+    article = "the article goes on " * 10
+    side = '<div class="sidebar">Side text</div><div class="comments">' + "a reader says more than all " * 20 + "</div>"
+    for page in (f'<body><div class="{name}"><p>{article}</p></div><div class="sidebar">Side</div></body>', f'<body><div id="{name}"><p>{article}</p>{side if "-" in name and name.split("-")[0] not in ("long", "search") else ""}</div></body>'):
+        assert html_text.extract(page, []) == article.strip()
+    # nothing but what a class calls furniture: better than no text
+    assert html_text.extract('<body><div class="comments"><p>all there is</p></div></body>', []) == "all there is"
+
+
 def test_html_matches_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = queries.op2_html_text(spark, "/root/testdata/sf0.01").collect()
