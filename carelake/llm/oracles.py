@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from carelake.llm import jaccard_join, line_dedup, mixing, repetition
+from carelake.llm import bit_slices, divergence, hard_negatives, jaccard_join, line_dedup, mixing, repetition
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -71,4 +71,7 @@ ORACLES = {
     "op7_repetition": repetition_sql(),
     "op8_line_dedup": LINE_DEDUP,
     "op10_jaccard_join": JACCARD,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_exact_search": bit_slices.ORACLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import html_text, jaccard_join, language_id, line_dedup, lm_scoring, mixing, neighbours, oracles, packing, repetition, toxicity
+from carelake.llm import bit_slices, divergence, hard_negatives, html_text, jaccard_join, language_id, line_dedup, lm_scoring, mixing, neighbours, oracles, packing, repetition, toxicity
 from carelake.llm.common import remainder, table
 
 
@@ -64,10 +64,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.exact_search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_html_text, op3_neighbours, op4_toxicity, op5_mixing, op6_packing, op7_repetition, op8_line_dedup, op9_lm_scoring, op10_jaccard_join,
+        op11_hard_negatives, op12_source_divergence, op13_exact_search,
     )
 }
 
