@@ -35,6 +35,7 @@ from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ from carelake.llm.common import stored, tidy
 LEAST_DOCS = 3
 SCALE = 10**9
 TERM_RANKS = 200
-#: Characters of a chunk; a longer text is a chunk of its own.
-CHUNK = 8_000_000
+#: Bytes of texts that are counted together, plus one text at most.
+CHUNK = 16_000_000
 #: Terms of a block, and sources whose columns a task holds at once.
 BLOCK = 32_768
 SOURCES = 16
@@ -74,37 +75,52 @@ def _lists(flat: pa.Array, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
 
 
-def count_terms(lang: str, texts: list[str], sources: list[str]) -> pa.RecordBatch:
-    """One row for each term of the texts of a language: docs by level, and uses by source."""
-    found = [t.encode().translate(_BYTES).split() for t in texts]
-    words = [w for ws in found for w in ws]
-    terms = sorted(set(words))
-    number = dict(zip(terms, range(len(terms)), strict=True))
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in found])
-    # (document, term) in order, each once, with its occurrences
-    held, times = np.unique(doc * max(1, len(terms)) + ids, return_counts=True)
-    doc, ids = np.divmod(held, max(1, len(terms)))
+def words_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All terms of the texts in order, and the number of each one's text."""
+    joined = b" ".join(texts).translate(_BYTES)
+    held = np.frombuffer(joined, np.uint8)
+    part = np.zeros(len(held) + 2, np.int8)
+    part[1:-1] = held != 32
+    edge = np.flatnonzero(np.diff(part))
+    starts, ends = edge[::2], edge[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held[part[1:-1] > 0])])
+    first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    return words, np.searchsorted(first, starts, side="right") - 1
+
+
+def count_terms(lang: str, texts: list[bytes], sources: list[str]) -> pa.RecordBatch:
+    """One row for each term of the texts (UTF-8) of a language: docs by level, and uses by source."""
+    words, doc = words_of(texts)
+    coded = words.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    ids = number[coded.indices.to_numpy()]
+    column = coded.dictionary.take(pa.array(order))
+    terms = column.to_pylist()
+    names, source = np.unique(np.array(sources, dtype=object), return_inverse=True)
+    used, n = np.unique(ids * len(names) + source[doc], return_counts=True)
+    # (document, term) in order, each once
+    held = np.sort(doc * max(1, len(terms)) + ids)
+    doc, ids = np.divmod(held[np.diff(held, prepend=-1) > 0], max(1, len(terms)))
     size = np.fromiter(map(len, terms), np.int64, len(terms))
-    needed = np.fromiter(map(levels_of, size.tolist()), np.int64, len(terms))
+    cuts = [length(k) for k in range(levels_of(int(size.max(initial=0))))]
+    needed = np.searchsorted(cuts, size, side="right") + 1
     start = np.cumsum(needed) - needed
     docs = np.zeros(int(needed.sum()), np.int32)
-    for level in range(int(needed.max(initial=0))):
-        cut = length(level)
+    for level, cut in enumerate(cuts if terms else []):
         heads = [t[:cut] for t in terms]
         prefix = np.concatenate([[0], np.cumsum(np.fromiter(map(ne, heads[1:], heads), bool, len(heads) - 1))])[ids]
         first = np.ones(len(ids), bool)
         first[1:] = (doc[1:] != doc[:-1]) | (prefix[1:] != prefix[:-1])
-        n = np.bincount(ids[first], minlength=len(terms))
+        found = np.bincount(ids[first], minlength=len(terms))
         at = needed > level
-        docs[start[at] + level] = n[at]
-    names, source = np.unique(np.array(sources, dtype=object), return_inverse=True)
-    used, place = np.unique(ids * len(names) + source[doc], return_inverse=True)
-    n = np.bincount(place, weights=times, minlength=len(used)).astype(np.int64)
+        docs[start[at] + level] = found[at]
     term, source = np.divmod(used, max(1, len(names)))
-    uses = pa.StructArray.from_arrays([pa.array(names.tolist(), pa.string()).take(pa.array(source)), pa.array(n)], names=["source", "n"])
+    uses = pa.StructArray.from_arrays([pa.array(names.tolist(), pa.string()).take(pa.array(source)), pa.array(n.astype(np.int64))], names=["source", "n"])
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), _lists(pa.array(docs), needed), _lists(uses, np.bincount(term, minlength=len(terms)))],
+        [pa.array([lang] * len(terms), pa.string()), column, _lists(pa.array(docs), needed), _lists(uses, np.bincount(term, minlength=len(terms)))],
         names=["lang", "term", "docs", "uses"],
     )
 
@@ -114,17 +130,17 @@ def counted_terms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, list]] = {}
-        chars = 0
+        n = 0
         for batch in batches:
-            for text, lang, source in zip(*(batch[c].to_pylist() for c in ("text", "lang", "source")), strict=True):
+            for text, lang, source in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True):
                 texts, sources = held.setdefault(lang, ([], []))
                 texts.append(text)
                 sources.append(source)
-                chars += len(text)
-                if chars >= CHUNK:
+                n += len(text)
+                if n >= CHUNK:
                     for name, (texts, sources) in held.items():
                         yield count_terms(name, texts, sources)
-                    held, chars = {}, 0
+                    held, n = {}, 0
         for name, (texts, sources) in held.items():
             yield count_terms(name, texts, sources)
 
