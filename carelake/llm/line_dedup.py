@@ -1,81 +1,165 @@
 """Line deduplication with overlapping three-line windows.
 
-A line is a run of text up to a line break; long ones are cut further after
-words that end in a mark or in one of a few letters and digits, so that a
-passage falls into the same lines whatever stands before it. Where twelve words
-bring no such end, the line is cut by number, and the next end brings copies
-back into step: a passage of 51 words that has four ends holds three whole
-lines unless ends are far apart. Every three consecutive lines make a window
+Line breaks make lines. A long line is cut further where its words say so:
+after a word at which a hash of it and the next word is the least among two
+neighbours on either side. Such cuts fall alike wherever a passage stands; a
+line's first and last words are never cut off, so that a part has at least
+three words, and five on average. Every three consecutive lines make a window
 (a text with fewer lines is one window). Windows are hashed and counted over
 all documents. A window's first occurrence, by doc_id and place, stays; the
-lines under any later occurrence are removed, overlapping windows merging
-into covered spans.
+lines under any later occurrence are covered, overlapping and adjacent windows
+merging into spans, and a span of at least ``LEAST_WORDS`` words is removed.
+Shorter ones stay: phrases recur by chance. A passage of 51 words in running
+text holds at least three whole lines and, nearly always, 25 words under them.
 
 Skew: windows are counted with map-side partial sums, so a window shared by
 millions of documents is a few rows for each task. Windows then meet only the
 repeated ones in a plain equi-join of two tables, which adaptive execution
 splits where a window is hot.
 
-Edge cases: null and empty texts have no window and stay as they are. Rows of
-equal doc_id count as one place: equal rows all keep or lose the same lines. A
-null doc_id comes after all others. Other columns pass through unread.
+Edge cases: null and empty texts have no window and stay as they are. White
+space between words doesn't count. Documents of equal doc_id, or without one
+(they come last), are in the order of a hash of their texts; rows that are
+equal in both are one document, and all keep or lose the same lines. doc_id is
+an integer. Other columns pass through unread.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.llm.common import row_key, stored, tidy
 
 LINES = 3
-#: Last characters of words after which a line ends: marks, and about a fifth of the words of common scripts.
-ENDS = ".!?,;:dyDY147ймтνםהنة،।"
-#: A line: up to twelve words with the white space after them; a line break or a word with such an end closes it early.
-LINE = rf"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D{ENDS}][\x20\x09\x0B\x0C]+){{0,11}}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+#: Words on either side among which a cut is the least.
+NEAR = 2
+#: Least words of a removed span.
+LEAST_WORDS = 20
 LAST_ID = 2**63 - 1
+#: Bytes of texts handled together, plus one text at most.
+CHUNK = 8_000_000
+
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_number(word: bytes) -> int:
+    """60 bits of a word's MD5."""
+    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
+
+
+class Lines:
+    """The lines of some texts (UTF-8): for each line its text's number, first byte in it, words and hash."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        joined = np.frombuffer(b"\n".join(texts), np.uint8)
+        first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        part = np.zeros(len(joined) + 2, np.int8)
+        part[1:-1] = _WORD[joined]
+        edge = np.flatnonzero(np.diff(part))
+        starts, ends = edge[::2], edge[1::2]
+        broken = np.searchsorted(np.flatnonzero(joined == 10), starts)  # line breaks before each word
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[part[1:-1] > 0])]).dictionary_encode()
+        known = np.fromiter(map(word_number, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+        number = known[words.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64)
+        opens = np.ones(len(starts), bool)
+        opens[1:] = broken[1:] != broken[:-1]
+        opens[1:] |= self._cuts(number, broken)[:-1]
+        at = np.flatnonzero(opens)
+        self.words = np.diff(at, append=len(starts))
+        self.text = np.searchsorted(first, starts[at], side="right") - 1
+        self.start = starts[at] - first[self.text]
+        place = np.arange(len(starts)) - np.repeat(at, self.words)
+        power = np.cumprod(np.full(int(self.words.max(initial=0)) + 1, _ODD[0], np.uint64))
+        self.hash = _mix(np.add.reduceat(_mix(number + np.uint64(1)) * power[place], at)) if len(at) else np.zeros(0, np.uint64)
+        self.count = np.bincount(self.text, minlength=len(texts))
+
+    @staticmethod
+    def _cuts(number: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Whether a line ends after each word though no line break follows."""
+        cut = np.zeros(len(number), bool)
+        inner = np.arange(NEAR, len(number) - NEAR - 1)
+        inner = inner[line[inner - NEAR] == line[inner + NEAR + 1]]
+        pair = number.copy()
+        pair[:-1] ^= number[1:] << np.uint64(1)
+        least = np.ones(len(inner), bool)
+        for k in range(1, NEAR + 1):
+            least &= (pair[inner] < pair[inner - k]) & (pair[inner] <= pair[inner + k])
+        cut[inner[least]] = True
+        return cut
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(windows of all texts in order, windows of each text)."""
+        n = self.count
+        parts = [self.hash * np.uint64(odd) for odd in _ODD]
+        total = parts[0].copy()
+        for k in range(1, LINES):  # a short text's last lines are followed by nothing
+            follows = np.flatnonzero(self.text[k:] == self.text[:-k])
+            total[follows] += parts[k][follows + k]
+        short = n[self.text] < LINES
+        place = np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)
+        kept = place <= np.maximum(n[self.text] - LINES, 0)
+        return _mix(total + short.astype(np.uint64))[kept].view(np.int64), np.where(n > 0, np.maximum(n - LINES + 1, 1), 0)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with about ``CHUNK`` bytes of ``column`` each, and its texts; null is empty."""
+    for batch in batches:
+        texts = [t or b"" for t in batch[column].cast(pa.binary()).to_pylist()]
+        begin = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHUNK or i == len(texts) - 1:
+                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
+                begin, size = i + 1, 0
 
-_line = re.compile(LINE)
 
+def windows(docs: DataFrame) -> DataFrame:
+    """One row for each of ``docs`` (doc_id, text) that has a word: place_id, key, windows."""
 
-def line_hashes(text: Column) -> Column:
-    """Array of the 64-bit hashes of a text's lines; white space at a line's end doesn't count."""
-    return F.transform(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: F.xxhash64(F.rtrim(x, F.lit(" \t\n\x0b\x0c\r"))))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _pieces(batches, "text"):
+            found, n = Lines(texts).windows()
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(found))
+            yield pa.RecordBatch.from_arrays([batch["place_id"], batch["key"], listed], names=["place_id", "key", "windows"]).filter(pa.array(n > 0))
 
-def windows(docs: DataFrame) -> DataFrame:
-    """One row for each window of ``docs`` (doc_id, text): key, place_id, position, window."""
-    lined = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
-        row_key("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("place_id"), line_hashes(F.col("text")).alias("h")
-    )
-    at = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("h") - LINES, F.lit(0))),
-        # beyond the end of a short text there is null, which the hash passes over
-        lambda i: F.xxhash64(F.size("h") < LINES, *[F.get("h", i + k) for k in range(LINES)]),
-    )
-    return lined.select("key", "place_id", F.posexplode(at).alias("position", "window"))
+    keyed = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("place_id"), row_key("doc_id", "text").alias("key"), "text")
+    return keyed.mapInArrow(tidy(run), "place_id long, key long, windows array<long>")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(key, hits) for documents with a repeated window; a hit holds the window's position and, where the
     document is the window's first place, its hash: within a document the first position stays."""
-    w = windows(docs)
-    firsts = stored(
-        w.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("place_id").alias("first_id")).where("n > 1").drop("n"), "lines-repeated"
-    )
-    own = F.when(F.col("place_id") == F.col("first_id"), F.col("window"))
-    met = w.join(firsts.hint("merge"), "window").select("key", F.struct("position", own.alias("own")).alias("hit"))
-    return met.groupBy("key").agg(F.collect_set("hit").alias("hits"))
-
-
-def removed_spans(hits: list[tuple[int, int | None]], n_lines: int) -> list[tuple[int, int]]:
+    # a running number stands for the document while its windows travel: it packs better than the key
+    lined = stored(windows(docs).withColumn("doc", F.monotonically_increasing_id()), "lines-windows")
+    each = lined.select("place_id", F.explode("windows").alias("window"))
+    firsts = each.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("place_id").alias("first_id")).where("n > 1").drop("n")
+    placed = lined.select("doc", F.posexplode("windows").alias("position", "window"))
+    met = placed.join(stored(firsts, "lines-repeated").hint("merge"), "window").join(lined.select("doc", "key", "place_id").hint("merge"), "doc")
+    met = stored(met.select("key", "position", "window", (F.col("place_id") == F.col("first_id")).alias("mine")), "lines-met")
+    # of several documents with the first id, the one with the least key
+    owners = met.where("mine").groupBy("window").agg(F.min("key").alias("owner"))
+    own = F.when(F.col("mine") & (F.col("key") == F.col("owner")), F.col("window"))
+    return met.join(owners.hint("merge"), "window").groupBy("key").agg(F.collect_set(F.struct("position", own.alias("own"))).alias("hits"))
+
+
+def covered_spans(hits: list[tuple[int, int | None]], n_lines: int) -> list[tuple[int, int]]:
     """Merged spans of line numbers under later occurrences: (first, past the last)."""
     seen: set[int] = set()
     spans: list[tuple[int, int]] = []
@@ -91,18 +175,17 @@ def removed_spans(hits: list[tuple[int, int | None]], n_lines: int) -> list[tupl
     return spans
 
 
-def _without(text: str, hits) -> tuple[str, int]:
-    """The text less its later occurrences, and how many lines that removes."""
-    found = list(_line.finditer(text))
-    spans = removed_spans([(h["position"], h["own"]) for h in hits], len(found))
-    if not spans:
-        return text, 0
-    kept, at = [], 0
-    for a, b in spans:
-        kept.append(text[at : found[a].start()])
-        at = found[b - 1].end()
-    kept.append(text[at:])
-    return "".join(kept), sum(b - a for a, b in spans)
+def without_spans(text: bytes, starts: list[int], words: list[int], hits: list[tuple[int, int | None]]) -> tuple[bytes, int]:
+    """The text less its covered spans of ``LEAST_WORDS`` words and more, and how many lines that removes.
+
+    ``starts`` and ``words``: first byte and number of words of each line; the white space after a line is its own."""
+    kept, at, removed = [], 0, 0
+    for a, b in covered_spans(hits, len(starts)):
+        if sum(words[a:b]) >= LEAST_WORDS:
+            kept.append(text[at : starts[a]])
+            at = starts[b] if b < len(starts) else len(text)
+            removed += b - a
+    return b"".join([*kept, text[at:]]), removed
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -118,12 +201,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, found = batch.columns[:-1], batch.columns[-1]
-            touched = found.is_valid()
-            got = [_without(t, h) for t, h in zip(cells[at].filter(touched).to_pylist(), found.filter(touched).to_pylist(), strict=True)]
-            cells[at] = pc.replace_with_mask(cells[at], touched, pa.array([t for t, _ in got], cells[at].type))
-            removed = pc.replace_with_mask(pa.array(np.zeros(len(batch), np.int32)), touched, pa.array([n for _, n in got], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*cells, removed], [*named, "lines_removed"])
+            touched = batch["hits"].is_valid()
+            texts, removed = [], []
+            for part, given in _pieces([batch.filter(touched)], named[at]):
+                lines = Lines(given)
+                ends = np.cumsum(lines.count)
+                for text, found, a, b in zip(given, part["hits"].to_pylist(), (ends - lines.count).tolist(), ends.tolist(), strict=True):
+                    left, n = without_spans(text, lines.start[a:b].tolist(), lines.words[a:b].tolist(), [(h["position"], h["own"]) for h in found])
+                    texts.append(left.decode())
+                    removed.append(n)
+            cells = list(batch.columns[:-1])
+            cells[at] = pc.replace_with_mask(cells[at], touched, pa.array(texts, cells[at].type))
+            counts = pc.replace_with_mask(pa.array(np.zeros(len(batch), np.int32)), touched, pa.array(removed, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*cells, counts], [*named, "lines_removed"])
 
     schema = T.StructType([*both.drop("hits").schema.fields, T.StructField("lines_removed", T.IntegerType())])
     return both.mapInArrow(tidy(rebuild), schema).toDF(*columns, "lines_removed")

@@ -36,21 +36,31 @@ def repetition_sql() -> str:
     return "WITH " + ",\n".join(ctes) + f"\nSELECT *, NOT base_failed AND {kept} AS kept FROM measured"
 
 
+_SPACE = r"\x20\x09-\x0D"
 LINE_DEDUP = rf"""
-WITH docs AS (SELECT doc_id, text, regexp_extract_all(text, '{line_dedup.LINE}') AS l FROM documents),
-keyed AS (SELECT DISTINCT coalesce(doc_id, {line_dedup.LAST_ID}) AS id, text, l, list_transform(l, lambda x: rtrim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS t
-  FROM docs WHERE len(l) > 0),
-windows AS (SELECT id, text, pos, (len(t) < 3, t[pos], t[pos + 1], t[pos + 2]) AS w FROM (SELECT *, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS pos FROM keyed)),
-firsts AS (SELECT w, min((id, pos)) AS f FROM windows GROUP BY w),
-gone AS (SELECT DISTINCT id, text, pos + unnest(range(3)) AS pos FROM windows JOIN firsts USING (w) WHERE (id, pos) <> f),
-numbered AS (SELECT id, text, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM keyed),
-cut AS (SELECT id, text, count(g.pos) AS lines_removed, coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE g.pos IS NULL), '') AS rest
-  FROM numbered LEFT JOIN (SELECT id, text, pos, TRUE AS here FROM gone) g USING (id, text, pos) GROUP BY id, text),
+WITH keyed AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT coalesce(doc_id, {line_dedup.LAST_ID}) AS id, text FROM documents WHERE regexp_matches(text, '[^{_SPACE}]'))),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '[^{_SPACE}]+[{_SPACE}]*') AS w FROM keyed)),
+bare AS (SELECT *, regexp_extract(word, '^[^{_SPACE}]+') AS b, coalesce(sum(CAST(contains(word, chr(10)) AS INTEGER)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM words),
+numbered AS (SELECT *, CAST('0x' || substr(md5(b), 1, 15) AS BIGINT) AS m FROM bare),
+paired AS (SELECT *, xor(m, 2 * lead(m) OVER (PARTITION BY r ORDER BY i)) AS h FROM numbered),
+cuts AS (SELECT *, coalesce(lag(line, {line_dedup.NEAR}) OVER d = lead(line, {line_dedup.NEAR + 1}) OVER d
+    AND h < min(h) OVER (d ROWS BETWEEN {line_dedup.NEAR} PRECEDING AND 1 PRECEDING) AND h <= min(h) OVER (d ROWS BETWEEN 1 FOLLOWING AND {line_dedup.NEAR} FOLLOWING), FALSE) AS ends
+  FROM paired WINDOW d AS (PARTITION BY r ORDER BY i)),
+opened AS (SELECT *, i = 1 OR lag(ends) OVER d OR lag(line) OVER d <> line AS opens FROM cuts WINDOW d AS (PARTITION BY r ORDER BY i)),
+parts AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS pos FROM opened),
+lines AS (SELECT r, pos, string_agg(word, '' ORDER BY i) AS line, string_agg(b, ' ' ORDER BY i) AS t, count(*) AS n FROM parts GROUP BY r, pos),
+framed AS (SELECT r, pos, count(*) OVER (PARTITION BY r) AS all_lines, t, lead(t) OVER d AS t2, lead(t, 2) OVER d AS t3 FROM lines WINDOW d AS (PARTITION BY r ORDER BY pos)),
+windows AS (SELECT r, pos, id, text, (all_lines < 3, t, t2, t3) AS w FROM framed JOIN keyed USING (r) WHERE pos <= greatest(all_lines - 2, 1)),
+firsts AS (SELECT w, min((id, text, pos)) AS f FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT r, pos + unnest(range(3)) AS pos FROM windows JOIN firsts USING (w) WHERE (id, text, pos) <> f),
+islands AS (SELECT r, pos, n, pos - row_number() OVER (PARTITION BY r ORDER BY pos) AS island FROM gone JOIN lines USING (r, pos)),
+cut AS (SELECT r, pos FROM (SELECT r, pos, sum(n) OVER (PARTITION BY r, island) AS words FROM islands) WHERE words >= {line_dedup.LEAST_WORDS}),
+rest AS (SELECT r, count(here) AS lines_removed, coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE here IS NULL), '') AS rest FROM lines LEFT JOIN (SELECT *, TRUE AS here FROM cut) USING (r, pos) GROUP BY r),
 out AS (SELECT d.doc_id, CAST(coalesce(lines_removed, 0) AS INTEGER) AS lines_removed,
-    CASE WHEN coalesce(lines_removed, 0) > 0 THEN regexp_extract(d.text, '^[\x20\x09-\x0D]*') || rest ELSE d.text END AS kept_text
-  FROM documents d LEFT JOIN cut c ON coalesce(d.doc_id, {line_dedup.LAST_ID}) = c.id AND d.text = c.text)
+    CASE WHEN coalesce(lines_removed, 0) > 0 THEN regexp_extract(d.text, '^[{_SPACE}]*') || rest ELSE d.text END AS kept_text
+  FROM documents d LEFT JOIN (SELECT id, text, lines_removed, rest FROM keyed JOIN rest USING (r)) c ON coalesce(d.doc_id, {line_dedup.LAST_ID}) = c.id AND d.text = c.text)
 SELECT doc_id, lines_removed, CAST(coalesce(length(kept_text), 0) AS BIGINT) AS n_chars_kept, md5(kept_text) AS kept_md5, kept_text FROM out
-""".replace("count(g.pos)", "count(here)").replace("g.pos IS NULL", "here IS NULL")
+"""
 
 _NEAR = f"{jaccard_join.THRESHOLD[1]} * n >= {jaccard_join.THRESHOLD[0]} * (a.size + b.size - n)"
 JACCARD = rf"""
