@@ -134,24 +134,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix itself: the rows of ``docs`` as often as they are taken, all columns kept. The document at a
-    source's cut has one more row with the first of its words; its other columns stay as they are."""
+    """The mix itself: the rows of ``docs`` as often as they are taken, all columns kept and every text whole.
+
+    Documents are drawn in the seeded order of id and text, so that rows of equal id, or without one, each have
+    a place of their own; rows equal in both share one and fare alike. The document at a source's cut is taken
+    where at least half of its words are within the target: a source's words come within half a document of it."""
     columns = docs.columns
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mixing-sizes")
-    plan = draw_plan(sized, weights, share, max_epochs, seed)
-    placed = _placed(docs.select("doc_id", "source", F.struct(*columns).alias("row")), seed)
-    at_cut = F.col("o") == F.col("cut_order")
-    cut_words = F.when(at_cut, _cut(word_count(F.col("row.text")))).otherwise(0)
-    times = (F.col("whole") + (F.col("o") < F.col("cut_order")).cast("long")).cast("int")
+    # by one struct, so that the documents' names meet none of ours
+    whole = docs.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text")).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.struct(*columns).alias("row"))
+    sized = stored(whole.select("doc_id", "source", "size"), "mixing-sizes")
+    drawn = _drawn(_placed(whole.select("doc_id", "source", "size", "row"), seed), draw_plan(sized, weights, share, max_epochs, seed))
+    more = (F.col("o") < F.col("cut_order")) | ((F.col("o") == F.col("cut_order")) & (2 * F.col("cut_words") >= F.col("cut_size")))
+    times = (F.col("whole") + more.cast("long")).cast("int")
     # a document without words is in no target: it is never taken
-    copies = F.when(F.col("row.text").rlike(WORD), F.concat(F.array_repeat(F.lit(-1).cast("long"), times), F.when(cut_words > 0, F.array(cut_words)).otherwise(F.array().cast("array<long>"))))
-    drawn = _drawn(placed, plan).select("row", F.explode(copies).alias("words"))
-    return drawn.select(*[
-        F.when(F.col("words") < 0, F.col("row.text")).otherwise(
-            F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("words"), F.lit(0)).cast("int")), "")
-        ).alias("text") if c == "text" else F.col("row")[c].alias(c)
-        for c in columns
-    ])
+    copies = drawn.where(F.col("size") > 0).select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy"))
+    return copies.select(*[F.col("row")[c].alias(c) for c in columns])
 
 
 #: DuckDB's form of the query's result.

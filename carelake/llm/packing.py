@@ -8,9 +8,10 @@ run are the sequences: a second pass cuts each document at the window
 boundaries and writes a boundary record for each piece. All sequences are full
 but the last.
 
-The ids come from the vocabulary's rank file, which gives the same ids as the
-tokenizer file and is several times faster; tests hold the two against each
-other. Strings that name special tokens are ordinary text.
+The ids are those of the tokenizer file. They come from the vocabulary's rank
+file, which is several times faster, with the tokenizer file's added tokens:
+where a text holds the string of one, its id stands for it, as the tokenizer
+file has it. Tests hold the two against each other.
 
 Edge cases: a null or empty text is the end id alone. Repeated rows are packed
 once each. An empty table gives no rows. Other columns are not read.
@@ -19,6 +20,8 @@ once each. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +48,9 @@ def encoder(vocabulary: str = VOCABULARY):
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+        _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _encoders[vocabulary]
 
 
@@ -53,7 +58,8 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID
     """Each document's ids with the end id, as little-endian 32-bit integers, its partition, and the ids before it there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, before = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode = functools.partial(encoder(vocabulary).encode, allowed_special="all")
+        part, before = TaskContext.get().partitionId(), 0
         for pdf in batches:
             for piece in chunks(pdf):
                 ids = [np.array([*encode(t), end_id], "<u4") for t in piece["text"]]
