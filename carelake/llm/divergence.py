@@ -98,7 +98,7 @@ def count_terms(lang: str, texts: list[bytes], sources: list[str]) -> pa.RecordB
     number[order] = np.arange(len(order))
     ids = number[coded.indices.to_numpy()]
     column = coded.dictionary.take(pa.array(order))
-    terms = column.to_pylist()
+    terms = column.to_numpy(zero_copy_only=False).tolist()
     names, source = np.unique(np.array(sources, dtype=object), return_inverse=True)
     used, n = np.unique(ids * len(names) + source[doc], return_counts=True)
     # (document, term) in order, each once
@@ -132,7 +132,7 @@ def counted_terms(docs: DataFrame) -> DataFrame:
         held: dict[str, tuple[list, list]] = {}
         n = 0
         for batch in batches:
-            for text, lang, source in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True):
+            for text, lang, source in zip(batch["text"].cast(pa.binary()).to_numpy(zero_copy_only=False), batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True):
                 texts, sources = held.setdefault(lang, ([], []))
                 texts.append(text)
                 sources.append(source)
@@ -184,10 +184,11 @@ def _block(key: tuple, uses: pa.Table, groups: pa.Table) -> pa.Table:
     sources = groups["source"].to_pylist()
     totals = groups["total"].to_pylist()
     place = {s: i for i, s in enumerate(sources)}
-    names = sorted(set(uses["term"].to_pylist()))
-    number = {t: i for i, t in enumerate(names)}
-    term = np.fromiter((number[t] for t in uses["term"].to_pylist()), np.int64, uses.num_rows)
-    source = np.fromiter((place[s] for s in uses["source"].to_pylist()), np.int64, uses.num_rows)
+    coded = uses["term"].combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    names = coded.dictionary.take(pa.array(order)).to_numpy(zero_copy_only=False).tolist()
+    term = np.argsort(order)[coded.indices.to_numpy()]
+    source = np.fromiter(map(place.__getitem__, uses["source"].to_numpy()), np.int64, uses.num_rows)
     n = uses["n"].to_numpy().astype(np.int64)
     order = np.argsort(source, kind="stable")
     term, n = term[order], n[order]

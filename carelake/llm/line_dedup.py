@@ -26,10 +26,10 @@ an integer. Other columns pass through unread.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -45,10 +45,12 @@ NEAR = 2
 LEAST_WORDS = 20
 LAST_ID = 2**63 - 1
 #: Bytes of texts handled together, plus one text at most.
-CHUNK = 8_000_000
+CHUNK = 16_000_000
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+#: An odd number of 60 bits.
+SPREAD = 0x9E3779B97F4A7C1
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
@@ -58,9 +60,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_number(word: bytes) -> int:
-    """60 bits of a word's MD5."""
-    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
+def weight(place: np.ndarray) -> np.ndarray:
+    """Weight of the byte at each place of a word."""
+    n = place % 65_521 + 1
+    return (n * n * 40_503 + n * 2_654_435_761) % 2_147_483_647
+
+
+def word_numbers(words: pa.BinaryArray) -> np.ndarray:
+    """60 bits for each word, by which lines are cut: the weighted sum of its bytes, spread by a multiplication."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    content = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+    starts = ends[:-1] - ends[0]
+    size = np.diff(ends)
+    place = np.arange(len(content)) - np.repeat(starts, size)
+    return (np.add.reduceat(content * weight(np.arange(size.max()))[place], starts).view(np.uint64) * np.uint64(SPREAD)) & np.uint64(2**60 - 1)
 
 
 class Lines:
@@ -76,32 +89,33 @@ class Lines:
         broken = np.searchsorted(np.flatnonzero(joined == 10), starts)  # line breaks before each word
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[part[1:-1] > 0])]).dictionary_encode()
-        known = np.fromiter(map(word_number, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-        number = known[words.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64)
+        ids = words.indices.to_numpy()
         opens = np.ones(len(starts), bool)
-        opens[1:] = broken[1:] != broken[:-1]
-        opens[1:] |= self._cuts(number, broken)[:-1]
+        if len(ids):
+            opens[1:] = broken[1:] != broken[:-1]
+            opens[1:] |= self._cuts(word_numbers(words.dictionary)[ids], broken)[:-1]
         at = np.flatnonzero(opens)
         self.words = np.diff(at, append=len(starts))
         self.text = np.searchsorted(first, starts[at], side="right") - 1
         self.start = starts[at] - first[self.text]
         place = np.arange(len(starts)) - np.repeat(at, self.words)
         power = np.cumprod(np.full(int(self.words.max(initial=0)) + 1, _ODD[0], np.uint64))
-        self.hash = _mix(np.add.reduceat(_mix(number + np.uint64(1)) * power[place], at)) if len(at) else np.zeros(0, np.uint64)
+        known = pd.util.hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+        self.hash = _mix(np.add.reduceat(known[ids] * power[place], at)) if len(at) else np.zeros(0, np.uint64)
         self.count = np.bincount(self.text, minlength=len(texts))
 
     @staticmethod
     def _cuts(number: np.ndarray, line: np.ndarray) -> np.ndarray:
         """Whether a line ends after each word though no line break follows."""
-        cut = np.zeros(len(number), bool)
-        inner = np.arange(NEAR, len(number) - NEAR - 1)
-        inner = inner[line[inner - NEAR] == line[inner + NEAR + 1]]
-        pair = number.copy()
-        pair[:-1] ^= number[1:] << np.uint64(1)
-        least = np.ones(len(inner), bool)
-        for k in range(1, NEAR + 1):
-            least &= (pair[inner] < pair[inner - k]) & (pair[inner] <= pair[inner + k])
-        cut[inner[least]] = True
+        cut, last = np.zeros(len(number), bool), len(number) - NEAR - 1
+        if last > NEAR:
+            pair = number.copy()
+            pair[:-1] ^= number[1:] << np.uint64(1)
+            own = pair[NEAR:last]
+            least = line[: last - NEAR] == line[2 * NEAR + 1 :]
+            for k in range(1, NEAR + 1):
+                least &= (own < pair[NEAR - k : last - k]) & (own <= pair[NEAR + k : last + k])
+            cut[NEAR:last] = least
         return cut
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +135,7 @@ class Lines:
 def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches with about ``CHUNK`` bytes of ``column`` each, and its texts; null is empty."""
     for batch in batches:
-        texts = [t or b"" for t in batch[column].cast(pa.binary()).to_pylist()]
+        texts = [t or b"" for t in batch[column].cast(pa.binary()).to_numpy(zero_copy_only=False)]
         begin = size = 0
         for i, t in enumerate(texts):
             size += len(t)
@@ -159,33 +173,37 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return met.join(owners.hint("merge"), "window").groupBy("key").agg(F.collect_set(F.struct("position", own.alias("own"))).alias("hits"))
 
 
-def covered_spans(hits: list[tuple[int, int | None]], n_lines: int) -> list[tuple[int, int]]:
-    """Merged spans of line numbers under later occurrences: (first, past the last)."""
-    seen: set[int] = set()
-    spans: list[tuple[int, int]] = []
-    for position, own in sorted(hits, key=lambda x: x[0]):
-        if own is not None and own not in seen:
-            seen.add(own)
-            continue
-        end = min(position + LINES, n_lines)
-        if spans and position <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
-        else:
-            spans.append((position, end))
-    return spans
-
-
-def without_spans(text: bytes, starts: list[int], words: list[int], hits: list[tuple[int, int | None]]) -> tuple[bytes, int]:
-    """The text less its covered spans of ``LEAST_WORDS`` words and more, and how many lines that removes.
-
-    ``starts`` and ``words``: first byte and number of words of each line; the white space after a line is its own."""
-    kept, at, removed = [], 0, 0
-    for a, b in covered_spans(hits, len(starts)):
-        if sum(words[a:b]) >= LEAST_WORDS:
-            kept.append(text[at : starts[a]])
-            at = starts[b] if b < len(starts) else len(text)
-            removed += b - a
-    return b"".join([*kept, text[at:]]), removed
+def covered_lines(count: np.ndarray, words: np.ndarray, text: np.ndarray, position: np.ndarray, own: np.ndarray, owned: np.ndarray) -> np.ndarray:
+    """Which lines lie under later occurrences of windows, in spans of ``LEAST_WORDS`` words and more.
+
+    ``count``: lines of each text; ``words``: words of each line. A hit is a window's ``position`` in a ``text``,
+    and whether the text is the window's first place (``owned``, the window's hash in ``own``)."""
+    first = np.cumsum(count) - count
+    order = np.lexsort((position, own, text, ~owned))
+    mine = order[: int(owned.sum())]
+    keeps = np.zeros(len(text), bool)
+    fresh = np.ones(len(mine), bool)
+    fresh[1:] = (text[mine][1:] != text[mine][:-1]) | (own[mine][1:] != own[mine][:-1])
+    keeps[mine[fresh]] = True
+    text, position = text[~keeps], position[~keeps]
+    edges = np.zeros(int(count.sum()) + 1, np.int64)
+    np.add.at(edges, first[text] + position, 1)
+    np.add.at(edges, first[text] + np.minimum(position + LINES, count[text]), -1)
+    under = np.cumsum(edges[:-1]) > 0
+    # a span ends with its text
+    opens = under.copy()
+    opens[1:] &= ~under[:-1]
+    starts = first[count > 0]
+    opens[starts] = under[starts]
+    span = np.cumsum(opens)
+    return under & (np.bincount(span[under], weights=words[under], minlength=int(opens.sum()) + 1)[span] >= LEAST_WORDS)
+
+
+def without_lines(text: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text less the lines ``gone``. ``starts``: the first byte of each line; the white space after a line is its own."""
+    ends = np.append(starts[1:], len(text))
+    kept = [text[a:b] for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)]
+    return b"".join([text[: starts[0]], *kept])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -204,11 +222,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             touched = batch["hits"].is_valid()
             texts, removed = [], []
             for part, given in _pieces([batch.filter(touched)], named[at]):
-                lines = Lines(given)
+                lines, hits = Lines(given), part["hits"]
+                position, own = hits.flatten().flatten()
+                owner = np.repeat(np.arange(len(given)), hits.value_lengths().to_numpy())
+                gone = covered_lines(lines.count, lines.words, owner, position.to_numpy(), own.fill_null(0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False))
                 ends = np.cumsum(lines.count)
-                for text, found, a, b in zip(given, part["hits"].to_pylist(), (ends - lines.count).tolist(), ends.tolist(), strict=True):
-                    left, n = without_spans(text, lines.start[a:b].tolist(), lines.words[a:b].tolist(), [(h["position"], h["own"]) for h in found])
-                    texts.append(left.decode())
+                for text, a, b in zip(given, (ends - lines.count).tolist(), ends.tolist(), strict=True):
+                    n = int(gone[a:b].sum())
+                    texts.append((without_lines(text, lines.start[a:b], gone[a:b]) if n else text).decode())
                     removed.append(n)
             cells = list(batch.columns[:-1])
             cells[at] = pc.replace_with_mask(cells[at], touched, pa.array(texts, cells[at].type))

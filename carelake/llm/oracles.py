@@ -41,7 +41,9 @@ LINE_DEDUP = rf"""
 WITH keyed AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT coalesce(doc_id, {line_dedup.LAST_ID}) AS id, text FROM documents WHERE regexp_matches(text, '[^{_SPACE}]'))),
 words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '[^{_SPACE}]+[{_SPACE}]*') AS w FROM keyed)),
 bare AS (SELECT *, regexp_extract(word, '^[^{_SPACE}]+') AS b, coalesce(sum(CAST(contains(word, chr(10)) AS INTEGER)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM words),
-numbered AS (SELECT *, CAST('0x' || substr(md5(b), 1, 15) AS BIGINT) AS m FROM bare),
+known AS (SELECT b, CAST((list_sum([((k % 65521 + 1) * (k % 65521 + 1) * 40503 + (k % 65521 + 1) * 2654435761) % 2147483647
+    * CAST('0x' || substr(hex(encode(b)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT) FOR k IN range(strlen(b))])::HUGEINT * {line_dedup.SPREAD}) % 1152921504606846976 AS BIGINT) AS m FROM (SELECT DISTINCT b FROM bare)),
+numbered AS (SELECT * FROM bare JOIN known USING (b)),
 paired AS (SELECT *, xor(m, 2 * lead(m) OVER (PARTITION BY r ORDER BY i)) AS h FROM numbered),
 cuts AS (SELECT *, coalesce(lag(line, {line_dedup.NEAR}) OVER d = lead(line, {line_dedup.NEAR + 1}) OVER d
     AND h < min(h) OVER (d ROWS BETWEEN {line_dedup.NEAR} PRECEDING AND 1 PRECEDING) AND h <= min(h) OVER (d ROWS BETWEEN 1 FOLLOWING AND {line_dedup.NEAR} FOLLOWING), FALSE) AS ends

@@ -1,6 +1,5 @@
 """Operators over whole tables: mixing, packing, line dedup, Jaccard join, neighbours, and the pipeline."""
 
-import hashlib
 import os
 import re
 import zlib
@@ -164,7 +163,7 @@ def plain_lines(text):
     out = []
     for real in re.findall(r"[^\n]*\n|[^\n]+$", text):
         words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", real)
-        m = [int(hashlib.md5(WORDS.match(w)[0].encode()).hexdigest()[:15], 16) for w in words]
+        m = [sum(byte * (((k + 1) ** 2 * 40_503 + (k + 1) * 2_654_435_761) % (2**31 - 1)) for k, byte in enumerate(WORDS.match(w)[0].encode())) * line_dedup.SPREAD % 2**60 for w in words]
         pair = [x ^ (2 * y) for x, y in zip(m, m[1:])]
         at = [0, *(i + 1 for i in range(2, len(words) - 3) if pair[i] < min(pair[i - 2 : i]) and pair[i] <= min(pair[i + 1 : i + 3])), len(words)]
         if words:
