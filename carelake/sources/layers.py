@@ -31,5 +31,12 @@ def layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     return spark.read.parquet(_written[key])
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write rows that a job needs more than once, as they are partitioned, to a folder of its own, and read them back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget() -> None:
     _written.clear()

@@ -4,6 +4,8 @@ including a key that holds a large share of the rows."""
 from __future__ import annotations
 
 import datetime as dt
+
+import pytest
 import random
 
 import pandas as pd
@@ -162,6 +164,51 @@ def test_json_leaves_matches_python_walk(spark):
     assert got == want
 
 
+def test_json_leaves_of_deep_documents(spark):
+    from carelake.operators.profile import json_leaves, profile_dates
+
+    def nested(levels):
+        return '{"a":' * levels + '"2024-01-02"' + "}" * levels
+
+    def frame(*documents):
+        return spark.createDataFrame([("A", "a", d) for d in documents], "resource_type string, resource_id string, raw_json string")
+
+    texts = ['"{not a container}"', '{"t":"[text]","e":{},"f":[[]],"s":"{}"}', nested(12)]
+    got = {(r["path"], r["value"]) for r in json_leaves(frame(*texts)).collect()}
+    assert got == {("", "{not a container}"), ("t", "[text]"), ("s", "{}"), (".".join("a" * 12), "2024-01-02")}
+    with pytest.raises(Exception, match="nested deeper"):
+        json_leaves(frame(nested(13))).collect()
+    assert json_leaves(frame(nested(13)), levels=13).count() == 1
+    # parsed where it is read, counted in the same stage: one exchange, no Python
+    plan = profile_dates(frame(*texts))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_outliers_in_many_ranges(spark):
+    """Quartiles over ranges of values, with a value that a third of all rows hold."""
+    import numpy as np
+
+    from carelake.operators.profile import profile_outliers
+
+    rng = np.random.default_rng(3)
+    values = [None] * 40 + [7.5] * 700 + [float(round(x, 3)) for x in rng.normal(10, 30, 1400)] + [1e6, -1e6, float("-0.0"), 0.0]
+    frame = spark.createDataFrame([(v, None, 3) for v in values], "a double, b double, c int")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many ranges as shuffle partitions
+    try:
+        got = {r["column_name"]: r for r in profile_outliers(frame, "t", ["a", "b", "c"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    held = sorted(v for v in values if v is not None)
+    q = [held[int(np.ceil(s * len(held))) - 1] for s in (0.25, 0.5, 0.75)]
+    low, high = q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])
+    a = got["a"]
+    assert [a["q1"], a["median"], a["q3"]] == q and (a["low_fence"], a["high_fence"]) == (low, high)
+    assert a["outliers"] == sum(v < low or v > high for v in held) and a["distinct_count"] == len(set(held)) and a["row_count"] == len(values)
+    assert got["b"]["q1"] is None and got["b"]["distinct_count"] == 0 and got["b"]["null_share"] == 1 and got["b"]["outliers"] == 0
+    assert (got["c"]["q1"], got["c"]["q3"], got["c"]["distinct_count"], got["c"]["outliers"]) == (3.0, 3.0, 1, 0)
+
+
 def test_exists_within_boundaries_and_hot_key(spark):
     base = dt.datetime(2024, 3, 1, 12, 0)
     h = dt.timedelta(hours=1)
