@@ -2,9 +2,9 @@
 
 ``apply_changes`` keeps, per key, the change with the greatest sequence
 (ties broken by every other column, DESC NULLS LAST) and drops keys whose
-winning change is a delete. It is an aggregation (``latest_per_key``), so a
-key with a huge number of changes is reduced map-side. Formats with MERGE
-(Delta) can run the same as ``MERGE INTO``; the DataFrame form works for any.
+winning change is a delete. A key's changes are reduced to one row where they
+are read (``latest_per_key``). It gives the whole state anew;
+``keyed_store.merge_changes`` rewrites only the buckets that a batch touches.
 """
 
 from __future__ import annotations

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelake.functions import codes, fhir
 from carelake.operators import cdc, profile, validate
+from carelake.operators.keyed_store import KeyedStore, MaterializedView, merge_changes
 from carelake.oracle import reports_sql
 from carelake.oracle.base import with_ctes
 from carelake.plans import claims_by_patient, provider_claims
 from carelake.plans.model import Model
 from carelake.queries.dq_q import DUP_KEYS
 from carelake.queries.silver_q import SILVER_COLUMNS, TIMESTAMP_COLUMNS
+from carelake.session import checkpoint_dir
 from carelake.sources.bronze import RESOURCES
+from carelake.streaming import latest
 from carelake.streaming.ingest import batch_twin
 
 G3_GRAIN = provider_claims.GRAIN
@@ -125,6 +130,7 @@ def profile_outliers(spark, sf_dir):
 
 
 CUTOFF = "2026-10-01 00:15:00"
+CUTOFF_LATER = "2026-10-01 00:40:00"
 
 
 def cdc_apply(spark, sf_dir):
@@ -141,6 +147,73 @@ def cdc_apply(spark, sf_dir):
     return out.select("claim_id", "status", "total_value", fhir.to_ntz("_ingested_at").alias("_ingested_at"))
 
 
+def _feed(m: Model):
+    c = m.silver("claim").select("claim_id", "status", "total_value", "_ingested_at")
+    op = F.when((F.col("_ingested_at") >= F.lit(CUTOFF).cast("timestamp")) & (F.lower("status") == "cancelled"), F.lit("delete")).otherwise(F.lit("upsert"))
+    return c.withColumn("_op", op)
+
+
+def cdc_buckets(spark, sf_dir):
+    """§2.14 cdc_pipeline on a table in key buckets: the snapshot, then the change feed in two batches by time, each
+    rewriting the buckets that it touches."""
+    feed = _feed(Model(spark, sf_dir))
+    store = KeyedStore.create(spark, f"{checkpoint_dir(spark)}/cdc-{uuid.uuid4().hex}", feed.drop("_op").schema, ["claim_id"])
+    at = F.col("_ingested_at")
+    cut, later = (F.lit(t).cast("timestamp") for t in (CUTOFF, CUTOFF_LATER))
+    for number, part in enumerate((feed.where((at < cut) | at.isNull()), feed.where((at >= cut) & (at < later)), feed.where(at >= later))):
+        merge_changes(store, part, "_ingested_at", batch=number)
+    return store.read().select("claim_id", "status", "total_value", fhir.to_ntz("_ingested_at").alias("_ingested_at"))
+
+
+REJECTED = T.StructType([T.StructField("patient_id", T.StringType()), T.StructField("rejected_claim_count", T.LongType()),
+                         T.StructField("rejected_amount", T.DecimalType(28, 2)), T.StructField("last_claim_id", T.StringType())])
+
+
+def rejected_claims_view(spark, sf_dir):
+    """S9, materialized view: rejected claims per patient (rows without a patient are dropped by expectation), made
+    from the claims before the cutoff and refreshed with two later arrivals."""
+    claims = Model(spark, sf_dir).silver("claim").where("status = 'rejected'")
+    view = MaterializedView(
+        KeyedStore.create(spark, f"{checkpoint_dir(spark)}/view-{uuid.uuid4().hex}", REJECTED, ["patient_id"]),
+        {
+            "rejected_claim_count": (F.count(F.lit(1)), "sum"),
+            "rejected_amount": (F.sum(F.coalesce(F.col("total_value").try_cast("decimal(18,2)"), F.lit(0))), "sum"),
+            "last_claim_id": (F.max("claim_id"), "max"),
+        },
+        F.col("patient_id").isNotNull(),
+    )
+    at = F.col("_ingested_at")
+    cut, later = (F.lit(t).cast("timestamp") for t in (CUTOFF, CUTOFF_LATER))
+    for number, part in enumerate((claims.where((at < cut) | at.isNull()), claims.where((at >= cut) & (at < later)), claims.where(at >= later))):
+        view.refresh(part, number)
+    return view.read().withColumn("rejected_amount", F.col("rejected_amount").cast("double"))
+
+
+def reconcile_digest(spark, sf_dir):
+    """V11 by checksums of key buckets: the findings of reconcile_rows, comparing the unequal buckets only."""
+    m = Model(spark, sf_dir)
+    return validate.reconcile_by_digest(_g3(m), _g3_changed(m), G3_GRAIN, G3_METRICS)
+
+
+#: A user without an event for so long is idle; events may be as late as the delay.
+IDLE_MS, DELAY_MS = 12 * 3_600_000, 3_600_000
+
+
+def stream_latest_event(spark, sf_dir):
+    """§2.14 streaming_pipeline, run as a stream: the latest event of each user and whether the user is idle. The
+    events land in two parts by time; the query is stopped between them and goes on from its checkpoint."""
+    m = Model(spark, sf_dir)
+    events = m.tables.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = KeyedStore.create(spark, f"{folder}/latest", latest.output_schema(events.schema), ["user_id"])
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    half = F.unix_micros("ts") <= F.lit(((first or 0) + (last or 0)) // 2)
+    for part in (events.where(half), events.where(~half)):
+        part.write.mode("append").parquet(f"{folder}/landing")
+        latest.run_latest(spark, f"{folder}/landing", events.schema, "user_id", ["ts", "event_id"], store, f"{folder}/checkpoint", f"{DELAY_MS} milliseconds", IDLE_MS)
+    return store.read().select("user_id", fhir.to_ntz("ts").alias("latest_ts"), "event_id", "event_type", "value", "idle")
+
+
 def schema_evolution(spark, sf_dir):
     """§2.14 schema_evolution: claims before the cutoff as an old export, whole amounts and no currency, with the
     later ones in today's schema."""
@@ -237,6 +310,10 @@ QUERIES = {
     "term_mentions": term_mentions,
     "profile_outliers": profile_outliers,
     "cdc_apply": cdc_apply,
+    "cdc_buckets": cdc_buckets,
+    "rejected_claims_view": rejected_claims_view,
+    "reconcile_digest": reconcile_digest,
+    "stream_latest_event": stream_latest_event,
     "schema_evolution": schema_evolution,
     "patient_features": patient_features,
     "migration_check": migration_check,
@@ -371,6 +448,15 @@ SELECT claim_id, status, total_value, _ingested_at FROM (
 WHERE rn = 1 AND _op <> 'delete'""",
 )
 
+VIEW_SQL = with_ctes(["silver_claim"], """
+SELECT patient_id, COUNT(*) AS rejected_claim_count, CAST(SUM(COALESCE(CAST(total_value AS DECIMAL(18,2)), 0)) AS DOUBLE) AS rejected_amount, MAX(claim_id) AS last_claim_id
+FROM silver_claim WHERE status = 'rejected' AND patient_id IS NOT NULL GROUP BY 1""")
+
+STREAM_LATEST_SQL = f"""
+SELECT user_id, ts AS latest_ts, event_id, event_type, value,
+       epoch_ms(ts) + {IDLE_MS} <= (SELECT epoch_ms(MAX(ts)) FROM events) - {DELAY_MS} AS idle
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
+
 EVOLUTION_SQL = with_ctes(["silver_claim"], f"""
 SELECT claim_id, status, CASE WHEN _ingested_at >= TIMESTAMP '{CUTOFF}' THEN total_value ELSE trunc(total_value) END AS total_value,
        CASE WHEN _ingested_at >= TIMESTAMP '{CUTOFF}' THEN total_currency END AS total_currency
@@ -432,6 +518,10 @@ ORACLES = {
     "profile_table": _profile_sql(),
     "term_mentions": TERM_SQL,
     "cdc_apply": CDC_SQL,
+    "cdc_buckets": CDC_SQL,
+    "rejected_claims_view": VIEW_SQL,
+    "reconcile_digest": RECONCILE_ROWS_SQL,
+    "stream_latest_event": STREAM_LATEST_SQL,
     "schema_evolution": EVOLUTION_SQL,
     "patient_features": FEATURES_SQL,
     "migration_check": _migration_sql(),
