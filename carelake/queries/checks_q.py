@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.functions import codes, fhir
-from carelake.operators import cdc, profile, validate
+from carelake.operators import cdc, profile, terms, validate
 from carelake.operators.keyed_store import KeyedStore, MaterializedView, merge_changes
 from carelake.oracle import reports_sql
 from carelake.oracle.base import with_ctes
-from carelake.plans import claims_by_patient, provider_claims
+from carelake.plans import claims_by_patient, provider_claims, sql_text
 from carelake.plans.model import Model
 from carelake.queries.dq_q import DUP_KEYS
 from carelake.queries.silver_q import SILVER_COLUMNS, TIMESTAMP_COLUMNS
@@ -88,6 +89,22 @@ def profile_typed_dates(spark, sf_dir):
     return reduce(lambda x, y: x.unionByName(y), [d for t in TYPED if (d := profile.typed_dates(tables.get(t), t)) is not None])
 
 
+def profile_text_dates(spark, sf_dir):
+    """P5: date-like text columns of the silver tables and of the structured tables."""
+    m = Model(spark, sf_dir)
+    frames = {r: m.silver(r).select(*columns) for r, columns in SILVER_COLUMNS.items()} | {t: m.tables.get(t) for t in TYPED}
+    return reduce(lambda x, y: x.unionByName(y), [d for t, df in frames.items() if (d := profile.text_dates(df, t)) is not None])
+
+
+SAMPLED = {"claim": ["claim_id", "status", "patient_id", "encounter_id"], "condition": ["condition_id", "code", "patient_id"], "procedure": ["procedure_id", "code", "patient_id"]}
+
+
+def profile_samples(spark, sf_dir):
+    """Sample rows of silver tables."""
+    m = Model(spark, sf_dir)
+    return reduce(lambda x, y: x.unionByName(y), [profile.sample_rows(m.silver(r).select(*columns), r, columns) for r, columns in SAMPLED.items()])
+
+
 def _documents(m: Model):
     return [m.bronze(r.lower()).select("resource_type", "resource_id", "raw_json") for r in RESOURCES]
 
@@ -115,6 +132,27 @@ def term_mentions(spark, sf_dir):
     return profile.term_mentions(docs, "doc_id", "text", PROFILE_TERMS)
 
 
+def term_table_mentions(spark, sf_dir):
+    """P8 for a table of terms: documents that hold a long word of the benchmark passages, by one automaton."""
+    t = Model(spark, sf_dir).tables
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM_WORD), F.lit(0))).alias("term"))
+    return terms.mentions(t.documents, "doc_id", "text", words)
+
+
+REPORT_TEXT = """
+SELECT coalesce(p.state, 'Unknown') AS state, e.class_code, count(DISTINCT c.claim_id) AS claims, count(*) AS visits,
+       round(sum(CAST(c.total_value AS DECIMAL(18,2))), 2) AS billed
+FROM {src:encounter} e JOIN {src:claim} c ON c.encounter_id = e.encounter_id
+LEFT JOIN (SELECT patient_id, max(state) AS state FROM {src:patient} GROUP BY patient_id) p ON p.patient_id = c.patient_id
+WHERE lower(c.status) NOT IN ('cancelled', 'draft') GROUP BY ALL"""
+
+
+def sql_text_report(spark, sf_dir):
+    """A report given as SQL text with ``{src:name}`` sources."""
+    out = sql_text.report(spark, REPORT_TEXT, Model(spark, sf_dir).sources(*sql_text.sources_of(REPORT_TEXT)))
+    return out.withColumn("billed", F.col("billed").cast("double"))
+
+
 def profile_outliers(spark, sf_dir):
     """§2.14 data_profiling: quartiles, IQR fences, outliers of claim totals,
     observation values and encounter lengths of stay."""
@@ -307,7 +345,11 @@ QUERIES = {
     "profile_dates": profile_dates,
     "profile_references": profile_references,
     "suggest_join_keys": suggest_join_keys,
+    "profile_text_dates": profile_text_dates,
+    "profile_samples": profile_samples,
     "term_mentions": term_mentions,
+    "term_table_mentions": term_table_mentions,
+    "sql_text_report": sql_text_report,
     "profile_outliers": profile_outliers,
     "cdc_apply": cdc_apply,
     "cdc_buckets": cdc_buckets,
@@ -320,6 +362,9 @@ QUERIES = {
     "stream_bronze_batch": stream_bronze_batch,
 }
 
+#: Words that are terms: eight ASCII letters and more.
+TERM_WORD = "[a-z]{8,}"
+
 # ------------------------------------------------------------------ oracles
 _G3_BODY = reports_sql.PROVIDER_CLAIMS.split("\nSELECT c.provider_id", 1)
 G3_CTE_SQL = "SELECT c.provider_id" + _G3_BODY[1]
@@ -435,6 +480,33 @@ TERM_SQL = f"""
 SELECT d.doc_id, t.term FROM documents d, (VALUES {_TERMS}) t(term)
 WHERE contains(lower(d.text), t.term)"""
 
+TERM_TABLE_SQL = f"""
+WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TERM_WORD}')) AS term FROM benchmark)
+SELECT d.doc_id, t.term FROM documents d, t WHERE contains(lower(d.text), t.term)"""
+
+SQL_TEXT_SQL = with_ctes(["silver_encounter", "silver_claim", "silver_patient"], "SELECT state, class_code, claims, visits, CAST(billed AS DOUBLE) AS billed FROM ("
+                         + re.sub(r"\{src:(\w+)\}", r"silver_\1", REPORT_TEXT) + ")")
+
+
+def _text_dates_sql() -> str:
+    tables = {r: (f"silver_{r}", [c for c in columns if c not in TIMESTAMP_COLUMNS and c not in ("total_value", "value")]) for r, columns in SILVER_COLUMNS.items()}
+    tables |= {"customer": ("customer", ["c_name", "c_mktsegment"]), "events": ("events", ["event_type", "props"]), "lineitem": ("lineitem", ["l_returnflag", "l_linestatus"]),
+               "orders": ("orders", ["o_orderstatus", "o_orderpriority"])}
+
+    def hit(c: str, rx: str) -> str:
+        return f"COUNT(CASE WHEN regexp_matches({c}, '{rx}') THEN 1 END)"
+
+    return with_ctes([f"silver_{r}" for r in SILVER_COLUMNS], "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT({c}) AS value_count, {hit(c, profile.ISO_INSTANT)} AS iso_instant, {hit(c, profile.US_DATE)} AS us_date, "
+        f"{hit(c, profile.PLAIN_DATE)} AS plain_date FROM {name}" for t, (name, columns) in tables.items() for c in columns
+    ))
+
+
+SAMPLES_SQL = with_ctes([f"silver_{r}" for r in SAMPLED], "\nUNION ALL\n".join(
+    f"SELECT '{r}' AS table_name, CAST(k AS INTEGER) AS row_number, '{c}' AS column_name, {c} AS value FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(f'{x} NULLS FIRST' for x in columns)}) AS k FROM silver_{r}) WHERE k <= 5"
+    for r, columns in SAMPLED.items() for c in columns
+))
+
 CDC_SQL = with_ctes(
     ["silver_claim"],
     f"""
@@ -517,6 +589,10 @@ ORACLES = {
     "profile_outliers": _outliers_sql(),
     "profile_table": _profile_sql(),
     "term_mentions": TERM_SQL,
+    "term_table_mentions": TERM_TABLE_SQL,
+    "sql_text_report": SQL_TEXT_SQL,
+    "profile_text_dates": _text_dates_sql(),
+    "profile_samples": SAMPLES_SQL,
     "cdc_apply": CDC_SQL,
     "cdc_buckets": CDC_SQL,
     "rejected_claims_view": VIEW_SQL,

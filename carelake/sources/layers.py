@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from carelake.session import checkpoint_dir
 
+ROW_GROUP = 8 << 20
+
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -26,7 +28,8 @@ def layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         path = f"{checkpoint_dir(spark).rstrip('/')}/layers/{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        # row groups of this size let a scan split a file, however few files the job wrote
+        build().write.option("parquet.block.size", ROW_GROUP).parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 

@@ -4,11 +4,10 @@ including a key that holds a large share of the rows."""
 from __future__ import annotations
 
 import datetime as dt
-
-import pytest
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
