@@ -172,12 +172,12 @@ def test_json_leaves_of_deep_documents(spark):
     def frame(*documents):
         return spark.createDataFrame([("A", "a", d) for d in documents], "resource_type string, resource_id string, raw_json string")
 
-    texts = ['"{not a container}"', '{"t":"[text]","e":{},"f":[[]],"s":"{}"}', nested(12)]
+    texts = ['"{not a container}"', '{"t":"[text]","e":{},"f":[[]],"s":"{}"}', nested(8)]
     got = {(r["path"], r["value"]) for r in json_leaves(frame(*texts)).collect()}
-    assert got == {("", "{not a container}"), ("t", "[text]"), ("s", "{}"), (".".join("a" * 12), "2024-01-02")}
+    assert got == {("", "{not a container}"), ("t", "[text]"), ("s", "{}"), (".".join("a" * 8), "2024-01-02")}
     with pytest.raises(Exception, match="nested deeper"):
-        json_leaves(frame(nested(13))).collect()
-    assert json_leaves(frame(nested(13)), levels=13).count() == 1
+        json_leaves(frame(nested(9))).collect()
+    assert json_leaves(frame(nested(9)), levels=9).count() == 1
     # parsed where it is read, counted in the same stage: one exchange, no Python
     plan = profile_dates(frame(*texts))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan
