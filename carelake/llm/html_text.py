@@ -11,10 +11,12 @@ container, so that no page is left out.
 
 Furniture is what the contract of a main text excludes: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, known by their tags and by whole words of their class, id or role. A class or id
-says nothing after no-, has- or with-, nor on a container with most of the page's
-unlinked text (but comments are furniture at any length), and a page that would
-be empty for its classes is read without them.
+comments, known by their tags, by words of their class, id or role, and by
+being hidden. It goes at any length; a page of nothing else has an empty text.
+Layout wrappers are told apart by how they are named and built, not by size: a
+word says nothing after no-, has- or with-; words that layouts use too (form,
+search, widget) count only as the last part of a name, where all of the
+element's classes are such names; and an element around a ``main`` is none.
 The main text is the container's blocks: white space inside a block becomes
 one blank, blocks are joined by one line break.
 
@@ -45,6 +47,7 @@ _markup = re.compile(
 )
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _name_parts = re.compile(r"[a-z]+").findall
+_unseen = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)").search
 
 # Tags of HTML by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,9 +60,14 @@ CONTAINERS = set("article body div main section td html center".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 FURNITURE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "disqus footer form header masthead menu modal nav navbar navigation newsletter notice notification popup promo promotion related respond "
-    "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+    "disqus footer header masthead menu modal nav navbar navigation newsletter notice notification popup promo promotion related respond "
+    "share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
 )
+#: Words that name layouts too: they count as the last part of a name.
+LAST_WORDS = set("form forms search widget widgets".split())
+#: What may follow the last word, and what makes another word of it.
+TAIL_WORDS = set("area bar block box container inner list panel section wrap wrapper".split())
+OTHER_FORMS = set("free long short".split())
 COMMENT_WORDS = set("comment comments commentlist disqus respond".split())
 #: With these a class says what a layout has or lacks.
 WITHOUT = set("no has with without".split())
@@ -78,7 +86,8 @@ class Element:
     path: str
     furniture: bool  # itself or one above
     parent: Element | None
-    named: str = ""  # furniture by a word of its class or id: "word", or "comments" for readers' comments
+    named: str = ""  # furniture by its class or id: "word", or "comments" for readers' comments
+    main: bool = False  # by its role
     text: int = 0  # characters outside links and furniture, with all elements below
     linked: int = 0
 
@@ -89,46 +98,48 @@ def _generalised(tag: str, attrs: dict[str, str]) -> str:
 
 
 def _is_furniture(tag: str, attrs: dict[str, str]) -> bool:
-    return tag in FURNITURE_TAGS or attrs.get("role", "").lower() in FURNITURE_ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs
+    unseen = attrs.get("aria-hidden") == "true" or "hidden" in attrs or ("style" in attrs and _unseen(attrs["style"].lower()) is not None)
+    return tag in FURNITURE_TAGS or attrs.get("role", "").lower() in FURNITURE_ROLES or unseen
+
+
+def _last_word(words: list[str]) -> bool:
+    """Whether a name's last part, generic words aside, is one of ``LAST_WORDS``."""
+    end = len(words)
+    while end > 1 and words[end - 1] in TAIL_WORDS:
+        end -= 1
+    return bool(words) and words[end - 1] in LAST_WORDS and not (end > 1 and words[end - 2] in OTHER_FORMS)
 
 
 def _named(tag: str, attrs: dict[str, str]) -> str:
     if tag in ("html", "body", "article", "main"):
         return ""
-    found = ""
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        words = _name_parts(name)
-        if COMMENT_WORDS.intersection(words) and not WITHOUT.intersection(words):
-            return "comments"
-        if FURNITURE_WORDS.intersection(words) and not WITHOUT.intersection(words):
-            found = "word"
-    return found
-
-
-def _mark_named(every: list[Element], runs: list[tuple[Element, bool, str]]) -> None:
-    """Furniture by name, and all below it; not the containers with most of the page's unlinked text."""
+    names = [_name_parts(n) for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
+    plain = [n for n in names if not WITHOUT.intersection(n)]
+    if any(COMMENT_WORDS.intersection(n) for n in plain):
+        return "comments"
+    if any(FURNITURE_WORDS.intersection(n) for n in plain):
+        return "word"
+    return "word" if names and len(plain) == len(names) and all(map(_last_word, names)) else ""
+
+
+def _mark_named(every: list[Element]) -> None:
+    """Furniture by name, and all below it; an element around a ``main`` is readers' comments or none."""
     if not any(e.named for e in every):
         return
-    held: dict[int, int] = {}
-    total = 0
-    for element, linked, text in runs:
-        if text is None or linked or element.furniture or not (n := len(text.strip())):
-            continue
-        total += n
-        e: Element | None = element
-        while e is not None:
-            if e.named:
-                held[id(e)] = held.get(id(e), 0) + n
-            e = e.parent
+    around: set[int] = set()
+    for e in every:
+        if e.tag == "main" or e.main:
+            at = e.parent
+            while at is not None and id(at) not in around:
+                around.add(id(at))
+                at = at.parent
     for e in every:  # parents come first
-        by_name = e.named == "comments" or (e.named and 2 * held.get(id(e), 0) <= total)
+        by_name = e.named == "comments" or (e.named and id(e) not in around)
         e.furniture = e.furniture or bool(by_name) or (e.parent is not None and e.parent.furniture)
 
 
-def parse(page: str, names: bool = True) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
-    """The page's elements, and its text runs in order as (element, in a link, text); a None text breaks a block.
-
-    Without ``names``, classes and ids make no furniture."""
+def parse(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
+    """The page's elements, and its text runs in order as (element, in a link, text); a None text breaks a block."""
     root = Element("", "", False, None)
     every, runs, stack, links, at = [root], [], [root], 0, 0
     position = 0
@@ -177,30 +188,20 @@ def parse(page: str, names: bool = True) -> tuple[list[Element], list[tuple[Elem
         above = stack[-1]
         # inline elements share the path of the block they stand in
         path = f"{above.path}>{_generalised(tag, attrs)}" if tag in BLOCKS else above.path
-        element = Element(tag, path, above.furniture or _is_furniture(tag, attrs), above, _named(tag, attrs) if names else "")
+        element = Element(tag, path, above.furniture or _is_furniture(tag, attrs), above, _named(tag, attrs), attrs.get("role", "").lower() == "main")
         every.append(element)
         stack.append(element)
         links += tag == "a"
         if inner.rstrip().endswith("/") and tag not in BLOCKS:
             links -= tag == "a"
             stack.pop()
-    _mark_named(every, runs)
+    _mark_named(every)
     return every, runs
 
 
-def _has_text(runs: list[tuple[Element, bool, str]]) -> bool:
-    return any(text and not element.furniture and text.strip() for element, _, text in runs)
-
-
-def read(page: str) -> tuple[list[Element], list[tuple[Element, bool, str]]]:
-    """``parse``, without names where they leave no text."""
-    parsed = parse(page)
-    return parsed if _has_text(parsed[1]) or not any(e.named for e in parsed[0]) else parse(page, names=False)
-
-
 def candidates(page: str) -> list[tuple[str, float]]:
     """(path, score) of the page's best containers, best first: one for each path."""
-    return _candidates(*read(page))
+    return _candidates(*parse(page))
 
 
 def _candidates(elements: list[Element], runs: list[tuple[Element, bool, str]]) -> list[tuple[str, float]]:
@@ -231,7 +232,7 @@ def _candidates(elements: list[Element], runs: list[tuple[Element, bool, str]])
 
 def extract(page: str, paths: list[str]) -> str:
     """Blocks of all containers at the first of ``paths`` that holds enough here, or of the page's best container; without furniture."""
-    elements, runs = read(page)
+    elements, runs = parse(page)
     own = _candidates(elements, runs)
     score = dict(own)
     least = SCORE_SHARE * own[0][1] if own else 0.0
@@ -276,7 +277,8 @@ def winning_paths(pages: DataFrame) -> DataFrame:
                 yield votes.groupby(["host", "path"], as_index=False).agg(votes=("score", "size"), score=("score", "sum"))
 
     votes = pages.where("host <> ''").select("host", "html").mapInPandas(tidy(vote), "host string, path string, votes long, score double")
-    summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.round(F.sum("score"), 3).alias("score"))
+    # stored: the totals and the winners both need the votes, and pages are parsed for them once
+    summed = stored(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.round(F.sum("score"), 3).alias("score")), "html-votes")
     # the most voted path wins whatever its share
     top = summed.groupBy("host").agg(F.sum("votes").alias("every"), F.max("votes").alias("most"))
     won = summed.join(top, "host").where((F.col("votes") >= VOTE_SHARE * F.col("every")) | (F.col("votes") == F.col("most")))

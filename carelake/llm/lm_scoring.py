@@ -6,9 +6,11 @@ unigram model:
 
     p(w | v) = L * c(v, w) / c(v) + (1 - L) * (c(w) + A) / (N + A * V)
 
-V is the number of distinct words, at least ``2**WORD_BITS``. A document's
-score is the mean over its words of log p_target - log p_background: how much
-better the target's model foretells it. The first word follows a start mark.
+V is the number of distinct words. A document's score is the mean over its
+words of log p_target - log p_background: how much better the target's model
+foretells it. The first word follows a start mark. A document that is itself
+counted is scored by what the others hold: its own counts are taken out of
+each model that has them, so that no document wins by being remembered.
 
 Every word, history and pair is counted under a 62-bit hash of its own, so the
 counts grow with the corpus. Documents are kept in chunks of word codes in the
@@ -41,8 +43,6 @@ from pyspark.sql import functions as F
 
 from carelake.llm.common import find_words, stored, tidy
 
-#: The least size of the vocabulary that smoothing reckons with, as a power of two.
-WORD_BITS = 18
 INTERPOLATION = 0.5
 SMOOTHING = 0.1
 
@@ -184,10 +184,26 @@ def summed(rows: DataFrame) -> DataFrame:
     return _kept(rows.groupBy("part").applyInArrow(run, "chunk string, part int, target binary, background binary, distinct long"), "lm-sums")
 
 
-def log_p(grams: Grams, counts: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
-    unigram = (counts[grams.word] + SMOOTHING) / (total + SMOOTHING * vocabulary)
-    seen = counts[grams.history]
-    bigram = np.divide(counts[grams.pair], seen, out=np.zeros(len(seen)), where=seen > 0)
+def own_counts(text: np.ndarray, key: np.ndarray, n_keys: int) -> np.ndarray:
+    """For each word, how often its text has its key."""
+    both = text * n_keys + key
+    order = both.argsort(kind="stable")
+    sorted_ = both[order]
+    starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    times = np.diff(starts, append=len(both))
+    out = np.empty(len(both), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
+
+
+def log_p(grams: Grams, counts: np.ndarray, total: int, vocabulary: int, own: tuple[np.ndarray, ...] | None = None, counted: np.ndarray | bool = True) -> np.ndarray:
+    """Log probability of each word. ``own``: counts of the word's text for its word, history and pair, and its
+    words; they are taken out where the text is ``counted`` in this model."""
+    word, seen, pair, total = counts[grams.word], counts[grams.history], counts[grams.pair], np.float64(total)
+    if own is not None:
+        word, seen, pair, total = (x - np.where(counted, o, 0) for x, o in zip((word, seen, pair, total), own, strict=True))
+    unigram = (word + SMOOTHING) / (total + SMOOTHING * vocabulary)
+    bigram = np.divide(pair, seen, out=np.zeros(len(seen)), where=seen > 0)
     # a history that was never seen leaves the whole weight to the unigram model
     share = np.where(seen > 0, INTERPOLATION, 0.0)
     return np.log(share * bigram + (1 - share) * unigram)
@@ -203,17 +219,19 @@ def _scored(asked: DataFrame, counted: DataFrame) -> DataFrame:
     else:
         rows = entries(counted, part_bits, True, False).unionAll(entries(asked, part_bits, False, True))
     sums = summed(rows)
-    vocabulary = max(1 << WORD_BITS, sums.agg(F.sum("distinct")).first()[0] or 0)
+    vocabulary = max(1, sums.agg(F.sum("distinct")).first()[0] or 0)
+    left_out = asked is counted
     kind = asked.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(chunk: pa.Table, given: pa.Table) -> pa.Table:
         row = chunk.drop_columns(["doc_ids"]).to_pylist()[0]
         grams, given = Grams.of(row), given.sort_by("part")
         n, loss = grams.lengths, []
-        for c, total in zip(("target", "background"), totals, strict=True):
+        own = tuple(own_counts(grams.text, k, len(grams.keys)) for k in (grams.word, grams.history, grams.pair)) + (n[grams.text],) if left_out else None
+        for c, total, counted in zip(("target", "background"), totals, (grams.target, True), strict=True):
             counts = np.zeros(len(grams.keys))
             counts[grams.order] = np.concatenate([np.zeros(0, np.uint64), *map(_unpack, given[c].to_pylist())])
-            loss.append(-np.bincount(grams.text, weights=log_p(grams, counts, total, vocabulary), minlength=len(n)) / np.maximum(n, 1))
+            loss.append(-np.bincount(grams.text, weights=log_p(grams, counts, total, vocabulary, own, counted), minlength=len(n)) / np.maximum(n, 1))
         none = n == 0
         return pa.table({
             "doc_id": chunk["doc_ids"].combine_chunks().flatten(), "n_words": n, "target_loss": pa.array(loss[0], mask=none),
@@ -235,6 +253,6 @@ def score(docs: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def score_counted(docs: DataFrame) -> DataFrame:
-    """As ``score``, for documents (doc_id, text, is_target) that are themselves the ones counted: read once."""
+    """As ``score``, for documents (doc_id, text, is_target) that are themselves the ones counted: read once, each left out of its own models."""
     chunks = digest(docs)
     return _scored(chunks, chunks)

@@ -183,8 +183,49 @@ def test_html_layout_classes_are_no_furniture(name):
     side = '<div class="sidebar">Side text</div><div class="comments">' + "a reader says more than all " * 20 + "</div>"
     for page in (f'<body><div class="{name}"><p>{article}</p></div><div class="sidebar">Side</div></body>', f'<body><div id="{name}"><p>{article}</p>{side if "-" in name and name.split("-")[0] not in ("long", "search") else ""}</div></body>'):
         assert html_text.extract(page, []) == article.strip()
-    # nothing but what a class calls furniture: better than no text
-    assert html_text.extract('<body><div class="comments"><p>all there is</p></div></body>', []) == "all there is"
+    # around a main element no class counts
+    assert html_text.extract(f'<body><div class="menu-layout header"><main><p>{article}</p></main><div class="menu">Side</div></div></body>', []) == article.strip()
+
+
+@pytest.mark.parametrize("box", [
+    'class="cookie-notice"', 'class="sidebar"', 'id="advert"', 'class="newsletter box"', 'class="site-nav"', 'class="notice"', 'class="search-form"', 'class="widget"', 'id="search-box"',
+    'class="comments"', 'role="navigation"', 'style="color:red; display: none"', 'style="visibility:hidden"', 'hidden', 'class="share-bar"', 'class="widget widget-area"',
+])
+def test_html_furniture_goes_at_any_length(box):
+    article, more = "the article goes on and on", "words that are no part of the article at all " * 30
+    for tag in ("div", "section", "td"):
+        assert html_text.extract(f"<body><div class='post'><p>{article}</p></div><{tag} {box}><p>{more}</p></{tag}></body>", []) == article
+        # a page of nothing else is empty
+        assert html_text.extract(f"<body><{tag} {box}><p>{more}</p></{tag}></body>", []) == ""
+
+
+def test_html_votes_against_plain(spark):
+    rng = np.random.default_rng(6)
+    shapes = ['<body><div class="a"><p>{}</p></div></body>', '<body><section class="b c9"><p>{}</p></section></body>', '<body><article>{}</article></body>', '<body><div><div class="d">{}</div></div></body>']
+    pages = []
+    for i in range(300):
+        h = ["http://one.example/x", "https://two.example:8080/", "http://THREE.example", None, "no host"][rng.integers(0, 5)]
+        shape = shapes[min(int(rng.exponential(1.0)), 3)]
+        pages.append((i, h, shape.format("words of it " * int(rng.integers(1, 30))) if rng.random() > 0.05 else None))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    votes = {}
+    for _, url, page in pages:
+        m = re.match(r"[a-z]+://([^/:]*)", (url or "").lower())
+        if m and page:
+            path, score = html_text.candidates(page)[0]
+            at = votes.setdefault(m[1], {}).setdefault(path, [0, 0.0])
+            at[0] += 1
+            at[1] += score
+    want = {}
+    for h, paths in votes.items():
+        every = sum(n for n, _ in paths.values())
+        order = sorted(paths, key=lambda p: (-paths[p][0], -round(paths[p][1], 3), p))
+        want[h] = [p for p in order if paths[p][0] >= html_text.VOTE_SHARE * every] or order[:1]
+    got = {r["host"]: list(r["paths"]) for r in html_text.winning_paths(frame.select(html_text.host(frame.url).alias("host"), "html")).collect()}
+    assert got == want and len(want) == 3
+    # and each page is read at the first of its host's paths that it has
+    texts = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    assert all(texts[i] == (" ".join(re.sub("<[^>]*>", " ", page).split()) if page else "") for i, _, page in pages)
 
 
 def test_html_matches_documents(spark):
@@ -270,9 +311,10 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in rows) >= 0.97 * len(rows)
 
 
-def plain_cross_entropy(rows, text):
-    """The formulas with dictionaries, without buckets; rows: (text, is_target)."""
-    size = 1 << lm_scoring.WORD_BITS
+def plain_cross_entropy(rows, text, out=None):
+    """The formulas with dictionaries; rows: (text, is_target); ``out``: the number of the row that is left out."""
+    size = max(1, len({w for t, _ in rows for w in WORDS.findall((t or "").lower())}))
+    rows = [r for i, r in enumerate(rows) if i != out]
 
     def model(texts):
         word, history, pair = {}, {}, {}
@@ -308,6 +350,10 @@ def test_lm_scoring_against_plain(spark):
     for i, (t, _) in enumerate(rows):
         assert got[i]["score"] == pytest.approx(plain_cross_entropy(rows, t), abs=1e-4)
         assert (got[i]["target_loss"] is None) == (got[i]["n_words"] == 0)
+    # documents that are counted themselves are scored by the others
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, is_target boolean").repartition(3)
+    for r in lm_scoring.score_counted(numbered).collect():
+        assert r["score"] == pytest.approx(plain_cross_entropy(rows, rows[r["doc_id"]][0], r["doc_id"]), abs=1e-9)
     none = lm_scoring.count(marked.where("false"))
     assert lm_scoring.score(documents(spark, ["alpha"]), none).first()["score"] == 0
     assert lm_scoring.score(documents(spark, ["alpha"]).where("false"), models).count() == 0
@@ -326,7 +372,21 @@ def test_lm_scoring_keeps_unrelated_words_apart(spark):
     def loss(pairs, n):
         return -sum(math.log(share * two / seen + (1 - share) * (one + a) / (n + a * size) if seen else (one + a) / (n + a * size)) for one, seen, two in pairs) / len(pairs)
 
-    # (count of the word, of its history, of both)
-    assert got[300]["target_loss"] == pytest.approx(loss([(1, 1, 1)] * 5, n_target))
-    assert got[300]["background_loss"] == pytest.approx(loss([(2, 302, 2), (2, 2, 2), (2, 2, 2), (1, 2, 1), (1, 1, 1)], n_words))
-    assert got[0]["background_loss"] == pytest.approx(loss([(1, 302, 1)] + [(1, 1, 1)] * 1999, n_words))
+    # (count of the word, of its history, of both), less the document's own
+    assert got[300]["target_loss"] == pytest.approx(math.log(size))
+    assert got[300]["background_loss"] == pytest.approx(loss([(1, 301, 1), (1, 1, 1), (1, 1, 1), (0, 1, 0), (0, 0, 0)], n_words - 5))
+    assert got[301]["target_loss"] == pytest.approx(loss([(1, 1, 1)] * 3 + [(0, 1, 0)], n_target))
+    assert got[0]["background_loss"] == pytest.approx(loss([(0, 301, 0)] + [(0, 0, 0)] * 1999, n_words - 2000))
+
+
+def test_lm_scoring_over_many_chunks(spark, monkeypatch):
+    """More chunks than those from which on there are more parts: the same scores."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.exponential(30, rng.integers(0, 40))), bool(i % 4 == 0)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean")
+    want = by_id(lm_scoring.score_counted(frame))
+    monkeypatch.setattr(lm_scoring, "CHUNK", 100)
+    monkeypatch.setattr(lm_scoring, "PART_BITS", 1)
+    monkeypatch.setattr(lm_scoring, "PART_CHUNKS", 16)
+    got = by_id(lm_scoring.score_counted(frame))
+    assert {i: (r["n_words"], r["score"] and round(r["score"], 9)) for i, r in got.items()} == {i: (r["n_words"], r["score"] and round(r["score"], 9)) for i, r in want.items()}
