@@ -2,19 +2,22 @@
 
 A text is cut into clauses, and each word becomes a symbol: an insult (with
 its learned weight), a threat, a target, a negation, a word of reported
-speech, or other. Five small transducers, composed into one machine, rewrite
-the symbols of a clause from left to right:
+speech, or other. A clause is read twice. From right to left the target
+machine makes an insult or threat directed where a target follows within four
+words. From left to right five small transducers, composed into one machine,
+rewrite the symbols:
 
 * negation: an insult or threat within three words after a negation is weakened;
-* reported speech: after a word of reporting, insults and threats are weakened
-  to the clause's end;
-* target: a target within four words on either side makes an insult or threat directed;
-* threat: a threat counts fully only when directed, and slightly otherwise;
-* insult: passes the weight of what is left.
+* target: a target within four words before makes an insult or threat directed;
+* reported speech: after a word of reporting, insults and threats, directed or
+  not, are weakened to the clause's end;
+* threat: a threat without a target is weakened;
+* insult: gives what is left the share of the word's weight that counts.
 
-A clause's score is the sum of its arcs' weights; a document's score is a
-logistic function of its best clause, its total and its matched clauses,
-fitted on labelled rows.
+Arcs carry factors, which composition multiplies. A clause's score is the sum
+of its words' weights by their arcs' factors; a document's score is a logistic
+function of its best clause, its total and its matched clauses, fitted on
+labelled rows.
 
 The insult lexicon is learned: whole words, then the beginnings (of ``STEMS``
 letters) of the words not taken, are counted in toxic and clean documents. In toxic ones distinct
@@ -50,7 +53,9 @@ EVIDENCE = 14.0
 
 # Small closed word classes of the grammar, in four languages.
 TARGETS = "you your yours yourself they them their he him his she her we us everyone people du dich dir ihr euch euer sie tu te toi vous ton ta votre tú ti usted ustedes vosotros".split()
-THREATS = "kill hurt destroy beat burn shoot stab punch attack crush töten schlagen verletzen tuer frapper brûler matar golpear quemar".split()
+THREAT_BASES = "kill hurt destroy beat burn shoot stab punch attack crush töten schlagen verletzen tuer frapper brûler matar golpear quemar".split()
+#: Endings with which a threat's base, or its stem without a last e, en, er or ar, is the same threat.
+THREAT_ENDINGS = ["", "s", "ed", "d", "ing", "er", "en", "t", "st", "ez", "ons", "ar", "as", "an", "o"]
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't didn't nicht kein keine nie pas jamais nunca jamás".split()
 REPORTS = "said says wrote writes quoted claimed reported called sagte schrieb dit écrit dijo escribió".split()
 SEED_INSULTS = "idiot moron stupid loser".split()
@@ -63,26 +68,35 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SOFT, DIRECT, DIRECT_THREAT = r
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: arcs[state, symbol] = (next state, output symbol). State 0 is the start."""
+    """Deterministic: arcs[state, symbol] = (next state, output symbol, factor). State 0 is the start."""
 
-    arcs: dict[tuple[int, int], tuple[int, int]]
+    arcs: dict[tuple[int, int], tuple[int, int, float]]
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol), self.arcs.get((state, -1), (0, -1)))
+    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """(output, factor) for each symbol."""
+        state, out = 0, []
+        for s in symbols:
+            state, o, factor = self.arcs[state, s]
+            out.append((o, factor))
+        return out
 
 
 def _arcs(states: int, rules) -> Transducer:
-    return Transducer({(s, x): rules(s, x) for s in range(states) for x in range(9)})
+    return Transducer({(s, x): (*rules(s, x), 1.0)[:3] for s in range(states) for x in range(9)})
 
 
+_HARM = (INSULT, THREAT, DIRECT, DIRECT_THREAT)
+
 #: State: words that the negation still reaches.
-NEGATION_RULE = _arcs(4, lambda s, x: (3, x) if x == NEGATION else (max(s - 1, 0), SOFT if s and x in (INSULT, THREAT) else x))
-#: State: 1 after a word of reporting.
-REPORT_RULE = _arcs(2, lambda s, x: (1, x) if x == REPORT else (s, SOFT if s and x in (INSULT, THREAT, DIRECT) else x))
+NEGATION_RULE = _arcs(4, lambda s, x: (3, x) if x == NEGATION else (max(s - 1, 0), SOFT if s and x in _HARM else x))
 #: State: words that a target still reaches.
 TARGET_RULE = _arcs(5, lambda s, x: (4, x) if x == TARGET else (max(s - 1, 0), {INSULT: DIRECT, THREAT: DIRECT_THREAT}.get(x, x) if s else x))
+#: State: 1 after a word of reporting.
+REPORT_RULE = _arcs(2, lambda s, x: (1, x) if x == REPORT else (s, SOFT if s and x in _HARM else x))
 #: Without memory: a threat without a target is weak speech.
 THREAT_RULE = _arcs(1, lambda s, x: (0, SOFT if x == THREAT else x))
+#: Without memory: the share of a word's weight that counts.
+INSULT_RULE = _arcs(1, lambda s, x: (0, x, {INSULT: 1.0, DIRECT: 1.4, DIRECT_THREAT: 1.4, SOFT: 0.4}.get(x, 0.0)))
 
 
 def compose(*machines: Transducer) -> Transducer:
@@ -91,21 +105,19 @@ def compose(*machines: Transducer) -> Transducer:
     while todo:
         states = todo.pop()
         for symbol in range(9):
-            out, after = symbol, []
+            out, after, factor = symbol, [], 1.0
             for machine, state in zip(machines, states, strict=True):
-                state, out = machine.step(state, out)
+                state, out, own = machine.arcs[state, out]
                 after.append(state)
+                factor *= own
             if tuple(after) not in number:
                 number[tuple(after)] = len(number)
                 todo.append(tuple(after))
-            arcs[number[states], symbol] = (number[tuple(after)], out)
+            arcs[number[states], symbol] = (number[tuple(after)], out, factor)
     return Transducer(arcs)
 
 
-GRAMMAR = compose(NEGATION_RULE, TARGET_RULE, REPORT_RULE, THREAT_RULE)
-
-#: Arc weights of the insult transducer: what share of a word's weight counts, by the composed output.
-ARC_WEIGHT = {INSULT: 1.0, DIRECT: 1.4, DIRECT_THREAT: 1.4, SOFT: 0.4}
+GRAMMAR = compose(NEGATION_RULE, TARGET_RULE, REPORT_RULE, THREAT_RULE, INSULT_RULE)
 THREAT_WEIGHT = 2.0
 
 
@@ -122,23 +134,27 @@ class Lexicon:
         return got
 
 
-_CLOSED = {w: s for s, ws in ((TARGET, TARGETS), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+def _threat_forms() -> set[str]:
+    forms = set()
+    for base in THREAT_BASES:
+        stem = base.removesuffix("en") if base.endswith("en") else base.removesuffix("e").removesuffix("er").removesuffix("ar")
+        last = base[-1] if base in ("stab", "hit") else ""  # doubled before a vowel
+        forms |= {base + e for e in THREAT_ENDINGS}
+        if len(stem) > 2:
+            forms |= {stem + last + e for e in THREAT_ENDINGS if e}
+    return forms
+
+
+THREATS = _threat_forms()
+_CLOSED = {w: s for s, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
 
 
 def clause_score(words: list[str], weight: dict[str, float]) -> float:
-    """Weight of the composed machine's path over a clause; a target also directs what came up to four words before it."""
+    """Weight of a clause's path: the target machine from right to left, then the composed one."""
     symbols = [INSULT if weight.get(w) else _CLOSED.get(w, OTHER) for w in words]
-    state, out = 0, []
-    for s in symbols:
-        state, o = GRAMMAR.arcs[state, s]
-        out.append(o)
-    total = 0.0
-    for i, (o, s, w) in enumerate(zip(out, symbols, words, strict=True)):
-        if o in ARC_WEIGHT and s in (INSULT, THREAT):
-            if TARGET in symbols[i + 1 : i + 5]:
-                o = {INSULT: DIRECT, SOFT: SOFT}.get(o, o) if s == INSULT else (DIRECT_THREAT if o != SOFT or NEGATION not in symbols[max(i - 3, 0) : i] and REPORT not in symbols[:i] else SOFT)
-            total += ARC_WEIGHT[o] * (weight[w] if s == INSULT else THREAT_WEIGHT)
-    return total
+    directed = [o for o, _ in TARGET_RULE.run(symbols[::-1])][::-1]
+    found = zip(GRAMMAR.run(directed), symbols, words, strict=True)
+    return sum(factor * (weight[w] if s == INSULT else THREAT_WEIGHT) for (_, factor), s, w in found if s in (INSULT, THREAT))
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
@@ -146,7 +162,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
     low = text.lower()
     known = {w: lexicon.weight(w) for w in set(_words(low))}
     weight = {w: x for w, x in known.items() if x}
-    threats = not weight and any(w in known for w in THREATS)
+    threats = not weight and not THREATS.isdisjoint(known)
     if not weight and not threats:
         return 0.0, 0.0, 0.0
     best = total = hits = 0.0

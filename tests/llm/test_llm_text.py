@@ -257,22 +257,51 @@ def test_grammar():
     assert score("kill time") < score("kill you") == pytest.approx(1.4 * toxicity.THREAT_WEIGHT)
 
 
+@pytest.mark.parametrize("said, factor", [
+    ("i will kill you", 1.4), ("he said he will kill you", 0.4), ("you kill time", 1.4), ("kill time", 0.4), ("i will not kill you", 0.4), ("killing you", 1.4), ("he stabbed them", 1.4),
+    ("they wrote that you kill", 0.4), ("i kill one two three four you", 0.4),
+])
+def test_threats(said, factor):
+    assert toxicity.clause_score(said.split(), {}) == pytest.approx(factor * toxicity.THREAT_WEIGHT)
+
+
+def plain_clause(words, weight):
+    """The grammar by looking around each word."""
+    kind = ["insult" if weight.get(w) else "threat" if w in toxicity.THREATS else "target" if w in toxicity.TARGETS else "not" if w in toxicity.NEGATIONS else "said" if w in toxicity.REPORTS else "" for w in words]
+    total = 0.0
+    for i, k in enumerate(kind):
+        if k in ("insult", "threat"):
+            weak = "not" in kind[max(0, i - 3) : i] or "said" in kind[:i]
+            directed = "target" in kind[max(0, i - 4) : i] + kind[i + 1 : i + 5]
+            factor = 0.4 if weak else 1.4 if directed else 1.0 if k == "insult" else 0.4
+            total += factor * (weight[words[i]] if k == "insult" else toxicity.THREAT_WEIGHT)
+    return total
+
+
+def test_grammar_against_plain():
+    rng = np.random.default_rng(5)
+    vocab = ["idiot", "fool", "kill", "hurt", "you", "they", "not", "never", "said", "wrote"] + ["word"] * 10
+    weight = {"idiot": 5.0, "fool": 2.5}
+    texts = [" ".join(rng.choice(vocab, rng.integers(1, 16))) for _ in range(400)]
+    for t in texts:
+        assert toxicity.clause_score(t.split(), weight) == pytest.approx(plain_clause(t.split(), weight)), t
+    whole = ". ".join(texts)
+    scores = [plain_clause(t.split(), weight) for t in texts]
+    got = toxicity.features(whole, toxicity.Lexicon(weight, {}))
+    assert got == pytest.approx((max(scores), sum(scores), sum(x > 0 for x in scores)))
+
+
 def test_composition_equals_cascade():
     rng = np.random.default_rng(5)
-    machines = (toxicity.NEGATION_RULE, toxicity.TARGET_RULE, toxicity.REPORT_RULE, toxicity.THREAT_RULE)
+    machines = (toxicity.NEGATION_RULE, toxicity.TARGET_RULE, toxicity.REPORT_RULE, toxicity.THREAT_RULE, toxicity.INSULT_RULE)
     for _ in range(200):
-        symbols = rng.integers(0, 6, rng.integers(1, 15)).tolist()
-        state, got = 0, []
-        for s in symbols:
-            state, o = toxicity.GRAMMAR.arcs[state, s]
-            got.append(o)
+        symbols = rng.integers(0, 9, rng.integers(1, 15)).tolist()
+        got = toxicity.GRAMMAR.run(symbols)
+        factors = np.ones(len(symbols))
         for m in machines:
-            at, out = 0, []
-            for s in symbols:
-                at, o = m.step(at, s)
-                out.append(o)
-            symbols = out
-        assert got == symbols
+            out = m.run(symbols)
+            symbols, factors = [o for o, _ in out], factors * [f for _, f in out]
+        assert [o for o, _ in got] == symbols and [f for _, f in got] == pytest.approx(factors.tolist())
 
 
 def test_toxicity_learns_and_handles_edges(spark):
