@@ -55,19 +55,21 @@ cte("silver_claim", ["claim_rows"], f"""
     CASE WHEN l_partkey % 109 = 14 THEN NULL WHEN l_partkey % 107 = 8 THEN 'enc-missing-' ELSE 'enc-' END || l_orderkey AS encounter_id,
     CASE WHEN l_partkey % 89 = 3 THEN 'not-a-date' WHEN l_partkey % 71 = 15 THEN strftime(l_shipdate, {US})
          ELSE strftime(l_shipdate, {ISO}) END AS billable_start,
-    strftime(l_shipdate + INTERVAL 1 DAY, {ISO}) AS billable_end,
+    strftime(l_shipdate + to_days(CASE WHEN l_partkey % 149 = 17 THEN -1 ELSE 1 END), {ISO}) AS billable_end,
     CASE WHEN l_partkey % 37 = 1 THEN NULL WHEN l_partkey % 41 = 2 THEN -l_extendedprice
          ELSE l_extendedprice END AS total_value,
     CASE WHEN l_partkey % 37 = 1 OR l_partkey % 61 = 3 THEN NULL ELSE 'USD' END AS total_currency,
     'Claim.ndjson' AS _source_file,
     TIMESTAMP '2026-10-01 00:00:00' + to_seconds(l_partkey) AS _ingested_at,
-    CASE WHEN l_partkey % 131 = 12 THEN NULL WHEN l_partkey % 103 = 6 THEN 'Patient/pat-8' ELSE 'Patient/pat-' END || printf('%06d', o_custkey) AS patient_ref,
+    CASE WHEN l_partkey % 131 = 12 THEN NULL WHEN l_partkey % 103 = 6 THEN 'Patient/pat-8' WHEN l_partkey % 167 = 25 THEN 'pat-'
+         ELSE 'Patient/pat-' END || printf('%06d', o_custkey) AS patient_ref,
     CASE WHEN l_partkey % 137 = 13 THEN NULL WHEN l_suppkey % 9 = 4 THEN 'Organization/org-999999'
-         ELSE 'Organization/org-' || printf('%06d', l_suppkey) END AS provider_ref,
-    CASE WHEN l_partkey % 109 = 14 THEN NULL WHEN l_partkey % 107 = 8 THEN 'Encounter/enc-missing-' ELSE 'Encounter/enc-' END || l_orderkey AS encounter_ref,
+         WHEN l_partkey % 173 = 26 THEN 'org-' || printf('%06d', l_suppkey) ELSE 'Organization/org-' || printf('%06d', l_suppkey) END AS provider_ref,
+    CASE WHEN l_partkey % 109 = 14 THEN NULL WHEN l_partkey % 107 = 8 THEN 'Encounter/enc-missing-'
+         WHEN l_partkey % 179 = 27 THEN 'enc-' ELSE 'Encounter/enc-' END || l_orderkey AS encounter_ref,
     CASE WHEN l_partkey % 89 = 3 THEN NULL ELSE l_shipdate END AS billable_start_ts,
     CASE WHEN l_partkey % 89 = 3 OR l_partkey % 71 = 15 THEN NULL ELSE l_shipdate END AS billable_start_iso_ts,
-    l_shipdate + INTERVAL 1 DAY AS billable_end_ts
+    l_shipdate + to_days(CASE WHEN l_partkey % 149 = 17 THEN -1 ELSE 1 END) AS billable_end_ts
   FROM claim_rows
 """)
 
@@ -160,7 +162,7 @@ cte("silver_encounter", ["enc_rows2"], f"""
     CASE WHEN o_orderkey % 97 = 50 THEN 'pat-8' ELSE 'pat-' END || printf('%06d', o_custkey) AS patient_id,
     'pract-' || printf('%06d', site) AS practitioner_id,
     CASE WHEN o_orderkey % 101 = 30 THEN NULL WHEN o_orderkey % 149 = 40 THEN 'Organization/org-999999'
-         ELSE 'Organization/org-' || printf('%06d', site) END AS organization_ref,
+         WHEN o_orderkey % 113 = 60 THEN 'org-' || printf('%06d', site) ELSE 'Organization/org-' || printf('%06d', site) END AS organization_ref,
     CASE WHEN o_orderkey % 101 = 30 THEN NULL WHEN o_orderkey % 149 = 40 THEN 'org-999999'
          ELSE 'org-' || printf('%06d', site) END AS organization_id,
     CASE WHEN o_orderkey % 71 = 15 THEN strftime(start0, {US}) ELSE strftime(start0, {ISO}) END AS period_start,
@@ -188,9 +190,9 @@ cte("silver_condition", ["cond_rows"], f"""
     CASE WHEN l_partkey % 83 = 7 THEN NULL
          WHEN l_partkey % 5 < 2 THEN list_extract({SNOMED_DISPLAY}, CAST((l_partkey // 5) % 5 AS INTEGER) + 1)
          END AS display,
-    'Patient/pat-' || printf('%06d', o_custkey) AS patient_ref,
+    CASE WHEN l_partkey % 149 = 21 THEN '' ELSE 'Patient/' END || 'pat-' || printf('%06d', o_custkey) AS patient_ref,
     'pat-' || printf('%06d', o_custkey) AS patient_id,
-    CASE WHEN l_partkey % 139 = 9 THEN 'Encounter/enc-missing-' ELSE 'Encounter/enc-' END || l_orderkey AS encounter_ref,
+    CASE WHEN l_partkey % 139 = 9 THEN 'Encounter/enc-missing-' WHEN l_partkey % 151 = 22 THEN 'enc-' ELSE 'Encounter/enc-' END || l_orderkey AS encounter_ref,
     CASE WHEN l_partkey % 139 = 9 THEN 'enc-missing-' ELSE 'enc-' END || l_orderkey AS encounter_id,
     strftime(l_shipdate, {ISO}) AS onset,
     'Condition.ndjson' AS _source_file, TIMESTAMP '2026-10-01 00:00:00' AS _ingested_at
@@ -201,7 +203,7 @@ cte("silver_observation", [], f"""
   SELECT 'obs-' || event_id AS observation_id, 'final' AS status,
     list_extract({LOINC_CODES}, ev + 1) AS code,
     list_extract({LOINC_DISPLAY}, ev + 1) AS display,
-    CASE WHEN event_id % 83 = 4 THEN NULL ELSE 'Patient/pat-' || printf('%06d', user_id) END AS patient_ref,
+    CASE WHEN event_id % 83 = 4 THEN NULL ELSE CASE WHEN event_id % 89 = 5 THEN 'pat-' ELSE 'Patient/pat-' END || printf('%06d', user_id) END AS patient_ref,
     CASE WHEN event_id % 83 = 4 THEN NULL ELSE 'pat-' || printf('%06d', user_id) END AS patient_id,
     CAST(NULL AS VARCHAR) AS encounter_id,
     strftime(ts, {ISO}) AS effective,
@@ -222,9 +224,9 @@ cte("silver_procedure", ["proc_rows"], f"""
     CASE WHEN l_partkey % 61 = 5 THEN 'Done' ELSE 'completed' END AS status,
     list_extract({CPT_CODES}, CAST(l_partkey % 5 AS INTEGER) + 1) AS code,
     list_extract({CPT_DISPLAY}, CAST(l_partkey % 5 AS INTEGER) + 1) AS display,
-    'Patient/pat-' || printf('%06d', o_custkey) AS patient_ref,
+    CASE WHEN l_partkey % 157 = 23 THEN '' ELSE 'Patient/' END || 'pat-' || printf('%06d', o_custkey) AS patient_ref,
     'pat-' || printf('%06d', o_custkey) AS patient_id,
-    'Encounter/enc-' || l_orderkey AS encounter_ref,
+    CASE WHEN l_partkey % 163 = 24 THEN '' ELSE 'Encounter/' END || 'enc-' || l_orderkey AS encounter_ref,
     'enc-' || l_orderkey AS encounter_id,
     strftime(l_shipdate, {ISO}) AS performed,
     'Procedure.ndjson' AS _source_file, TIMESTAMP '2026-10-01 00:00:00' AS _ingested_at

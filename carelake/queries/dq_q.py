@@ -79,7 +79,17 @@ PLANTED = {
     ("value_sets", "claim"): "l_partkey % 127 <> 5 AND l_partkey % 43 <> 0 AND (l_partkey % 47 = 2 OR l_returnflag IN ('R', 'N'))",
     ("value_sets", "condition"): "l_partkey % 83 = 7",
     ("malformed_references", "encounter", "subject"): "o_orderkey % 73 = 44 AND o_orderkey % 97 <> 50",
+    ("malformed_references", "encounter", "serviceProvider"): "o_orderkey % 113 = 60 AND o_orderkey % 101 <> 30 AND o_orderkey % 149 <> 40",
+    ("malformed_references", "condition", "subject"): "l_partkey % 149 = 21",
+    ("malformed_references", "condition", "encounter"): "l_partkey % 151 = 22 AND l_partkey % 139 <> 9",
+    ("malformed_references", "observation", "subject"): "event_id % 89 = 5 AND event_id % 83 <> 4",
+    ("malformed_references", "procedure", "subject"): "l_partkey % 157 = 23",
+    ("malformed_references", "procedure", "encounter"): "l_partkey % 163 = 24",
+    ("malformed_references", "claim", "patient"): "l_partkey % 167 = 25 AND l_partkey % 103 <> 6 AND l_partkey % 131 <> 12",
+    ("malformed_references", "claim", "provider"): "l_partkey % 173 = 26 AND l_partkey % 137 <> 13 AND l_suppkey % 9 <> 4",
+    ("malformed_references", "claim", "item.encounter"): "l_partkey % 179 = 27 AND l_partkey % 107 <> 8 AND l_partkey % 109 <> 14",
     ("periods", "encounter"): "o_orderkey % 47 = 9",
+    ("periods", "claim"): "l_partkey % 149 = 17 AND l_partkey % 89 <> 3",
     ("date_formats", "encounter"): "o_orderkey % 71 = 15",
     ("date_formats", "claim"): "l_partkey % 89 = 3 OR l_partkey % 71 = 15",
     ("future_birthdates", "patient"): "c_custkey % 53 = 5 AND c_custkey % 20 <> 7",
@@ -96,8 +106,7 @@ PLANTED = {
 def _rule_sql(r: dq.RowRule) -> str:
     rtype, _ = dq.RESOURCE_TYPES[r.resource]
     rows, row_id = ROWS[r.resource]
-    # a rule without a formula finds nothing in these rows
-    planted = PLANTED.get((r.family, r.resource, r.detail.split(" ")[0])) or PLANTED.get((r.family, r.resource), "1 = 0")
+    planted = PLANTED.get((r.family, r.resource, r.detail.split(" ")[0])) or PLANTED[r.family, r.resource]
     detail = r.detail.replace("'", "''")
     return f"SELECT '{rtype}' AS resource_type, {row_id} AS resource_id, '{r.anomaly_type}' AS anomaly_type, '{detail}' AS detail FROM {rows} WHERE {planted}"
 
@@ -189,19 +198,27 @@ def _manifest_sql() -> str:
             ("o_orderkey % 97 = 50", "dangling_reference"), ("o_orderkey % 101 = 30", "missing_required_field"),
             ("o_orderkey % 149 = 40 AND o_orderkey % 101 <> 30", "dangling_reference"),
             ("o_orderkey % 73 = 44 AND o_orderkey % 97 <> 50", "malformed_reference"),
+            ("o_orderkey % 113 = 60 AND o_orderkey % 101 <> 30 AND o_orderkey % 149 <> 40", "malformed_reference"),
             ("o_orderkey % 47 = 9", "period_end_before_start"), ("o_orderkey % 59 = 21", "invalid_status_code"),
             ("o_orderkey % 71 = 15", "invalid_date_format"), ("o_orderkey % 67 = 12", "missing_code_system"),
             ("o_orderkey % 31 = 17", "duplicate_resource")]),
         rows("lineitem", "Condition", "'cond-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey",
-             [(f"{k} % 83 = 7", "invalid_code"), (f"{k} % 139 = 9", "dangling_reference")]),
+             [(f"{k} % 83 = 7", "invalid_code"), (f"{k} % 139 = 9", "dangling_reference"),
+              (f"{k} % 149 = 21", "malformed_reference"), (f"{k} % 151 = 22 AND {k} % 139 <> 9", "malformed_reference")]),
         rows("events", "Observation", "'obs-' || event_id",
-             [("event_id % 97 = 10", "implausible_value"), ("event_id % 83 = 4", "missing_required_field")]),
-        rows("lineitem", "Procedure", "'proc-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey", [(f"{k} % 61 = 5", "invalid_status_code")]),
+             [("event_id % 97 = 10", "implausible_value"), ("event_id % 83 = 4", "missing_required_field"),
+              ("event_id % 89 = 5 AND event_id % 83 <> 4", "malformed_reference")]),
+        rows("lineitem", "Procedure", "'proc-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey", [
+            (f"{k} % 61 = 5", "invalid_status_code"), (f"{k} % 157 = 23", "malformed_reference"), (f"{k} % 163 = 24", "malformed_reference")]),
         rows("lineitem", "Claim", "'clm-' || l_orderkey || '-' || l_linenumber", [
             (f"{k} % 103 = 6 AND {k} % 131 <> 12", "dangling_reference"), (f"{k} % 107 = 8 AND {k} % 109 <> 14", "dangling_reference"),
             (f"{k} % 41 = 2 AND {k} % 37 <> 1", "implausible_value"), (f"{k} % 37 = 1", "missing_required_field"),
             (f"{k} % 47 = 2 AND {k} % 43 <> 0 AND {k} % 127 <> 5", "invalid_status_code"),
-            (f"{k} % 61 = 3 AND {k} % 37 <> 1", "missing_code_system"), (f"{k} % 113 = 9", "duplicate_resource")]),
+            (f"{k} % 61 = 3 AND {k} % 37 <> 1", "missing_code_system"), (f"{k} % 113 = 9", "duplicate_resource"),
+            (f"{k} % 167 = 25 AND {k} % 103 <> 6 AND {k} % 131 <> 12", "malformed_reference"),
+            (f"{k} % 173 = 26 AND {k} % 137 <> 13 AND l_suppkey % 9 <> 4", "malformed_reference"),
+            (f"{k} % 179 = 27 AND {k} % 107 <> 8 AND {k} % 109 <> 14", "malformed_reference"),
+            (f"{k} % 149 = 17 AND {k} % 89 <> 3", "period_end_before_start")]),
     ])
 
 

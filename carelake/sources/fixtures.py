@@ -16,14 +16,17 @@ Mapping (K is the row key named per resource):
   K%41=8; a second row ``pat-9``+key with the same MRN when K%20=13.
 * Encounter     orders; class from o_orderpriority; start = o_orderdate +
   K%24 h; dangling subject K%97=50; no serviceProvider K%101=30; dangling
-  serviceProvider K%149=40; bare subject K%73=44; end before start K%47=9;
+  serviceProvider K%149=40; bare subject K%73=44, bare serviceProvider K%113=60;
+  end before start K%47=9;
   status 'done' K%59=21; MM/dd/yyyy start K%71=15; no class.system K%67=12;
   line repeated K%31=17.
 * Condition     lineitem with its order's customer;
   K = l_partkey; 'UNKNOWN' code without system K%83=7; SNOMED when K%5<2;
-  dangling encounter K%139=9.
-* Observation   events; K = event_id; negative value K%97=10; no subject K%83=4.
-* Procedure     lineitem; status 'Done' K%61=5.
+  dangling encounter K%139=9; bare subject K%149=21; bare encounter K%151=22.
+* Observation   events; K = event_id; negative value K%97=10; no subject K%83=4;
+  bare subject K%89=5.
+* Procedure     lineitem; K = l_partkey; status 'Done' K%61=5; bare subject
+  K%157=23; bare encounter K%163=24.
 * Claim         lineitem with its order; K = l_partkey; see ``claim_bronze``.
 
 All joins here are equi-joins on the TPC-H keys and run as ordinary shuffles
@@ -92,6 +95,11 @@ def _repeat_when(df: DataFrame, cond: Column) -> DataFrame:
     )
 
 
+def reference(kind: str, key: Column, bare: Column) -> Column:
+    """``Kind/key``, or the key alone where ``bare`` holds."""
+    return F.when(bare, key).otherwise(F.concat(F.lit(f"{kind}/"), key))
+
+
 # --------------------------------------------------------------------- resources
 def organization_bronze(t: Tables) -> DataFrame:
     s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
@@ -209,13 +217,12 @@ def encounter_bronze(t: Tables) -> DataFrame:
     end = F.when(k % 47 == 9, plus_hours(start, -(2 + k % 46))).otherwise(plus_hours(start, los))
     subject = (
         F.when(k % 97 == 50, F.concat(F.lit("Patient/pat-8"), pad(cust)))
-        .when(k % 73 == 44, F.concat(F.lit("pat-"), pad(cust)))
-        .otherwise(F.concat(F.lit("Patient/pat-"), pad(cust)))
+        .otherwise(reference("Patient", F.concat(F.lit("pat-"), pad(cust)), k % 73 == 44))
     )
     provider = (
         F.when(k % 101 == 30, F.lit(None))
         .when(k % 149 == 40, F.struct(F.lit("Organization/org-999999").alias("reference")))
-        .otherwise(F.struct(F.concat(F.lit("Organization/org-"), pad(F.col("site"))).alias("reference")))
+        .otherwise(F.struct(reference("Organization", F.concat(F.lit("org-"), pad(F.col("site"))), k % 113 == 60).alias("reference")))
     )
     display = pick(F.when(cls == "AMB", 0).when(cls == "EMER", 1).otherwise(2), [d for _, d in codes.ENCOUNTER_CLASSES])
     doc = F.struct(
@@ -281,10 +288,10 @@ def condition_bronze(t: Tables) -> DataFrame:
         ),
         F.struct(F.array(F.struct(F.lit("active").alias("code"))).alias("coding")).alias("clinicalStatus"),
         F.struct(F.array(F.struct(system.alias("system"), code.alias("code"), display.alias("display"))).alias("coding")).alias("code"),
-        F.struct(F.concat(F.lit("Patient/pat-"), pad(F.col("o_custkey"))).alias("reference")).alias("subject"),
+        F.struct(reference("Patient", F.concat(F.lit("pat-"), pad(F.col("o_custkey"))), k % 149 == 21).alias("reference")).alias("subject"),
         F.struct(
             F.when(k % 139 == 9, F.concat(F.lit("Encounter/enc-missing-"), F.col("l_orderkey").cast("string")))
-            .otherwise(F.concat(F.lit("Encounter/enc-"), F.col("l_orderkey").cast("string")))
+            .otherwise(reference("Encounter", F.concat(F.lit("enc-"), F.col("l_orderkey").cast("string")), k % 151 == 22))
             .alias("reference")
         ).alias("encounter"),
         iso(F.col("l_shipdate")).alias("onsetDateTime"),
@@ -313,9 +320,9 @@ def observation_bronze(t: Tables) -> DataFrame:
                 )
             ).alias("coding")
         ).alias("code"),
-        F.when(k % 83 == 4, F.lit(None)).otherwise(F.struct(F.concat(F.lit("Patient/pat-"), pad(F.col("user_id"))).alias("reference"))).alias(
-            "subject"
-        ),
+        F.when(
+            k % 83 != 4, F.struct(reference("Patient", F.concat(F.lit("pat-"), pad(F.col("user_id"))), k % 89 == 5).alias("reference"))
+        ).alias("subject"),
         iso(F.col("ts")).alias("effectiveDateTime"),
         F.struct(
             F.when(k % 97 == 10, -F.abs(F.col("value"))).otherwise(F.col("value")).alias("value"),
@@ -342,8 +349,10 @@ def procedure_bronze(t: Tables) -> DataFrame:
                 )
             ).alias("coding")
         ).alias("code"),
-        F.struct(F.concat(F.lit("Patient/pat-"), pad(F.col("o_custkey"))).alias("reference")).alias("subject"),
-        F.struct(F.concat(F.lit("Encounter/enc-"), F.col("l_orderkey").cast("string")).alias("reference")).alias("encounter"),
+        F.struct(reference("Patient", F.concat(F.lit("pat-"), pad(F.col("o_custkey"))), k % 157 == 23).alias("reference")).alias("subject"),
+        F.struct(reference("Encounter", F.concat(F.lit("enc-"), F.col("l_orderkey").cast("string")), k % 163 == 24).alias("reference")).alias(
+            "encounter"
+        ),
         iso(F.col("l_shipdate")).alias("performedDateTime"),
     )
     return _bronze(rows, doc, "Procedure", plus_seconds(INGEST_BASE, F.lit(0)))
@@ -368,7 +377,8 @@ def claim_bronze(t: Tables) -> DataFrame:
     billable start MM/dd/yyyy when K%71=15, 'not-a-date' when K%89=3; no total
     K%37=1; negative total K%41=2; null currency K%61=3; dangling patient
     K%103=6; dangling encounter K%107=8; no patient K%131=12; no provider
-    K%137=13; no encounter link K%109=14; whole line repeated K%113=9;
+    K%137=13; no encounter link K%109=14; bare patient K%167=25, provider K%173=26,
+    encounter K%179=27; billable end before start K%149=17; whole line repeated K%113=9;
     _ingested_at = 2026-10-01 + K seconds.
     """
     rows = _repeat_when(_lineitem_with_customer(t), F.col("l_partkey") % 113 == 9)
@@ -383,12 +393,12 @@ def claim_bronze(t: Tables) -> DataFrame:
         F.struct(F.array(F.struct(F.lit("institutional").alias("code"))).alias("coding")).alias("type"),
         F.when(k % 131 != 12, F.struct(
             F.when(k % 103 == 6, F.concat(F.lit("Patient/pat-8"), pad(F.col("o_custkey"))))
-            .otherwise(F.concat(F.lit("Patient/pat-"), pad(F.col("o_custkey"))))
+            .otherwise(reference("Patient", F.concat(F.lit("pat-"), pad(F.col("o_custkey"))), k % 167 == 25))
             .alias("reference")
         )).alias("patient"),
         F.when(k % 137 != 13, F.struct(
             F.when(F.col("l_suppkey") % 9 == 4, F.lit("Organization/org-999999"))
-            .otherwise(F.concat(F.lit("Organization/org-"), pad(F.col("l_suppkey"))))
+            .otherwise(reference("Organization", F.concat(F.lit("org-"), pad(F.col("l_suppkey"))), k % 173 == 26))
             .alias("reference")
         )).alias("provider"),
         F.when(k % 109 != 14, F.array(
@@ -396,7 +406,7 @@ def claim_bronze(t: Tables) -> DataFrame:
                 F.array(
                     F.struct(
                         F.when(k % 107 == 8, F.concat(F.lit("Encounter/enc-missing-"), okey))
-                        .otherwise(F.concat(F.lit("Encounter/enc-"), okey))
+                        .otherwise(reference("Encounter", F.concat(F.lit("enc-"), okey), k % 179 == 27))
                         .alias("reference")
                     )
                 ).alias("encounter")
@@ -404,7 +414,7 @@ def claim_bronze(t: Tables) -> DataFrame:
         )).alias("item"),
         F.struct(
             F.when(k % 89 == 3, F.lit("not-a-date")).when(k % 71 == 15, us_text(ship)).otherwise(iso(ship)).alias("start"),
-            iso(ship + F.expr("INTERVAL 1 DAY")).alias("end"),
+            iso(plus_hours(ship, F.when(k % 149 == 17, -24).otherwise(24))).alias("end"),
         ).alias("billablePeriod"),
         F.when(k % 37 == 1, F.lit(None))
         .otherwise(F.struct(amount.alias("value"), F.when(k % 61 == 3, F.lit(None)).otherwise(F.lit("USD")).alias("currency")))
@@ -470,6 +480,7 @@ def manifest(t: Tables) -> DataFrame:
             (o % 101 == 30, "missing_required_field", "serviceProvider is absent"),
             ((o % 149 == 40) & (o % 101 != 30), "dangling_reference", "serviceProvider references a missing organization"),
             ((o % 73 == 44) & (o % 97 != 50), "malformed_reference", "bare subject id"),
+            ((o % 113 == 60) & (o % 101 != 30) & (o % 149 != 40), "malformed_reference", "bare serviceProvider id"),
             (o % 47 == 9, "period_end_before_start", "end before start"),
             (o % 59 == 21, "invalid_status_code", "status outside the value set"),
             (o % 71 == 15, "invalid_date_format", "MM/dd/yyyy start"),
@@ -480,14 +491,17 @@ def manifest(t: Tables) -> DataFrame:
                  F.concat_ws("-", F.lit("cond"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), k.cast("string")), [
             (k % 83 == 7, "invalid_code", "UNKNOWN code without system"),
             (k % 139 == 9, "dangling_reference", "encounter references a missing encounter"),
+            ((k % 149 == 21) | ((k % 151 == 22) & (k % 139 != 9)), "malformed_reference", "bare subject or encounter id"),
         ]),
         _entries(t.events, "Observation", F.concat(F.lit("obs-"), F.col("event_id").cast("string")), [
             (F.col("event_id") % 97 == 10, "implausible_value", "negative value"),
             (F.col("event_id") % 83 == 4, "missing_required_field", "subject is absent"),
+            ((F.col("event_id") % 89 == 5) & (F.col("event_id") % 83 != 4), "malformed_reference", "bare subject id"),
         ]),
         _entries(li, "Procedure",
                  F.concat_ws("-", F.lit("proc"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), k.cast("string")), [
             (k % 61 == 5, "invalid_status_code", "status outside the value set"),
+            ((k % 157 == 23) | (k % 163 == 24), "malformed_reference", "bare subject or encounter id"),
         ]),
         _entries(li, "Claim", F.concat_ws("-", F.lit("clm"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), [
             ((k % 103 == 6) & (k % 131 != 12), "dangling_reference", "patient references a missing patient"),
@@ -496,6 +510,10 @@ def manifest(t: Tables) -> DataFrame:
             (k % 37 == 1, "missing_required_field", "total is absent"),
             ((k % 47 == 2) & (k % 43 != 0) & (k % 127 != 5), "invalid_status_code", "status 'paid'"),
             ((k % 61 == 3) & (k % 37 != 1), "missing_code_system", "currency is null"),
+            ((k % 167 == 25) & (k % 103 != 6) & (k % 131 != 12), "malformed_reference", "bare patient id"),
+            ((k % 173 == 26) & (k % 137 != 13) & (F.col("l_suppkey") % 9 != 4), "malformed_reference", "bare provider id"),
+            ((k % 179 == 27) & (k % 107 != 8) & (k % 109 != 14), "malformed_reference", "bare encounter id"),
+            ((k % 149 == 17) & (k % 89 != 3), "period_end_before_start", "billable end before start"),
             (k % 113 == 9, "duplicate_resource", "line repeated"),
         ]),
     ]

@@ -259,3 +259,13 @@ def test_segmented_lag_with_null_partition_keys(spark):
     b = plain_lag(df, ["k"], order, ["v", "flag"])
     cols = ["k", "id", "prev_v", "prev_flag"]
     assert sorted(a.select(*cols).collect(), key=str) == sorted(b.select(*cols).collect(), key=str)
+
+
+def test_every_row_rule_fires_on_the_planted_defects(spark):
+    """A rule that never fires would pass any comparison; on sf0.01 each has rows, on sf0.001 some residues are beyond the keys."""
+    from carelake.operators import dq
+    from carelake.plans.model import Model
+
+    found = {tuple(r) for r in dq.row_rule_detections(Model(spark, "/root/testdata/sf0.01", stored=False)).select("resource_type", "anomaly_type", "detail").distinct().collect()}
+    expected = {(dq.RESOURCE_TYPES[r.resource][0], r.anomaly_type, r.detail) for r in dq.ROW_RULES}
+    assert found == expected
