@@ -466,6 +466,17 @@ def test_neighbours_recall(spark, monkeypatch):
     assert hit >= 0.9 * 20 * 150
 
 
+def test_neighbours_rounds_work_on_small_tables(spark, monkeypatch):
+    """With the sizes used in production: some hundred rows go through blocks and rounds, too."""
+    turns, proposals = [], neighbours._proposals
+    monkeypatch.setattr(neighbours, "_proposals", lambda *a: turns.append(a) or proposals(*a))
+    x = np.random.default_rng(11).normal(size=(600, 24)).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(spark, rows), plain_nearest(rows)
+    assert turns and set(got) == set(want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.97 * 20 * len(want)
+
+
 # -- the pipeline
 
 
