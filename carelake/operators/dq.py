@@ -192,38 +192,29 @@ def _union(frames: list[DataFrame]) -> DataFrame | None:
 
 
 def dangling_references(m: Model) -> DataFrame:
-    """Reference ids (after stripping 'Type/') that name no existing resource."""
-    refs = []
+    """Reference ids that name no existing resource.
+
+    Silver holds the ids with 'Type/' stripped. What is shuffled for a reference is its id, its resource's id and
+    the number of its field; the texts of a finding are put in when it is found."""
+    targets = sorted({target for fields in REFERENCES.values() for _, _, target in fields})
+    links, refs = [], []
     for resource, fields in REFERENCES.items():
         rtype, id_col = RESOURCE_TYPES[resource]
-        stacked = F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(field).alias("field"), F.lit(target).alias("target"), F.col(col).alias("ref"))
-                    for field, col, target in fields
-                ]
-            )
-        )
-        refs.append(
-            m.silver(resource)
-            .select(F.lit(rtype).alias("resource_type"), F.col(id_col).alias("resource_id"), stacked.alias("r"))
-            .select("resource_type", "resource_id", "r.field", "r.target", F.regexp_replace("r.ref", codes.REFERENCE_PREFIX_PATTERN, "").alias("target_id"))
-            .where(F.col("target_id").isNotNull())
-        )
-    ids = _union(
-        [
-            m.silver(t).select(F.lit(t).alias("target"), F.col(RESOURCE_TYPES[t][1]).alias("target_id"))
-            for t in ("patient", "organization", "encounter")
-        ]
-    )
+        cells = []
+        for field, col, target in fields:
+            cells.append(F.struct(F.lit(len(links)).alias("link"), F.lit(targets.index(target)).alias("target"), F.col(col.replace("_ref", "_id")).alias("target_id")))
+            links.append((rtype, f"{field} references a {target.capitalize()} id that does not exist"))
+        refs.append(m.silver(resource).select(F.col(id_col).alias("resource_id"), F.inline(F.array(*cells))).where(F.col("target_id").isNotNull()))
     stacked = _union(refs)
+    ids = _union([m.silver(t).select(F.lit(i).alias("target"), F.col(RESOURCE_TYPES[t][1]).alias("target_id")) for i, t in enumerate(targets)])
     # which ids are referenced and which exist, in one grouping: a hot id folds where it is read
     named = stacked.select("target", "target_id", F.lit(0).alias("exists")).unionByName(ids.select("target", "target_id", F.lit(1).alias("exists")))
     missing = named.groupBy("target", "target_id").agg(F.max("exists").alias("exists")).where("exists = 0")
     # the references to missing ids: one equi-join, which adaptive execution splits where an id is hot
-    return stacked.join(missing, ["target", "target_id"]).select(
-        "resource_type", "resource_id", F.lit("dangling_reference").alias("anomaly_type"),
-        F.concat(F.col("field"), F.lit(" references a "), F.initcap("target"), F.lit(" id that does not exist")).alias("detail"),
+    found = stacked.join(missing, ["target", "target_id"])
+    texts = F.array(*[F.struct(F.lit(rtype).alias("rtype"), F.lit(detail).alias("detail")) for rtype, detail in links])[F.col("link")]
+    return found.select(
+        texts["rtype"].alias("resource_type"), "resource_id", F.lit("dangling_reference").alias("anomaly_type"), texts["detail"].alias("detail"),
     )
 
 
