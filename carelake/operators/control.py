@@ -101,9 +101,9 @@ def spec_violations(
     return missing.select(*cols).unionByName(bad_target.select(*cols)).unionByName(no_target.select(*cols)).unionByName(unknown.select(*cols))
 
 
-def latest_per_request(log: DataFrame, key: str = "request_id", ts: str = "processed_at") -> DataFrame:
-    """The latest control row per request (set-wise, not orderBy().first())."""
-    return latest_per_key(log, [key], [ts])
+def latest_per_request(log: DataFrame, key: str = "request_id", ts: str = "processed_at", ties: Sequence[str] = ()) -> DataFrame:
+    """The latest control row per request (set-wise, not orderBy().first()); rows of equal time by ``ties``, latest first."""
+    return latest_per_key(log, [key], [ts, *ties])
 
 
 def append_control_row(spark: SparkSession, table: str, row: dict, schema: T.StructType) -> None:

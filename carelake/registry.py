@@ -15,6 +15,7 @@ MODULES = [
     "carelake.queries.operators_q",
     "carelake.queries.dq_q",
     "carelake.queries.checks_q",
+    "carelake.queries.tables_q",
 ]
 
 
