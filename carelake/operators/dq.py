@@ -43,9 +43,9 @@ def _in(values) -> str:
     return "(" + ", ".join("'" + v + "'" for v in values) + ")"
 
 
-def _spark_literal(pattern: str) -> str:
-    """Spark SQL string literals unescape backslashes; double them."""
-    return pattern.replace("\\", "\\\\")
+def _spark_literal(text: str) -> str:
+    """The inside of a Spark SQL string literal: backslashes are doubled, quotes escaped."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
 @dataclass(frozen=True)
@@ -165,17 +165,15 @@ def row_rule_detections(m: Model, families=None) -> DataFrame | None:
         rules = [r for r in chosen if r.resource == resource]
         if not rules:
             continue
-        # failed rules as one array (passed rules are nulls, compacted away):
-        # plain expressions, so the whole select stays in generated code
-        hits = F.array_compact(
-            F.array(
-                *[
-                    F.when(F.coalesce(F.expr(r.spark), F.lit(False)), F.struct(F.lit(r.anomaly_type).alias("a"), F.lit(r.detail).alias("d")))
-                    for r in rules
-                ]
-            )
-        )
-        df = _rule_input(m, resource).select(F.col(id_col).alias("resource_id"), F.explode(hits).alias("h"))
+        # one SQL text for a resource: a call for each part of each rule would take longer than many of the scans
+        failed = [f"coalesce({r.spark}, false)" for r in rules]
+        # rows without a finding leave by one generated filter; the array of failed rules, whose compaction is not
+        # generated code, is made for the few others only
+        suspect = _rule_input(m, resource).where(" OR ".join(failed))
+        hits = F.expr("array_compact(array(" + ", ".join(
+            f"CASE WHEN {bad} THEN named_struct('a', '{_spark_literal(r.anomaly_type)}', 'd', '{_spark_literal(r.detail)}') END" for bad, r in zip(failed, rules, strict=True)
+        ) + "))")
+        df = suspect.select(F.col(id_col).alias("resource_id"), F.explode(hits).alias("h"))
         frames.append(
             df.select(F.lit(rtype).alias("resource_type"), "resource_id", F.col("h.a").alias("anomaly_type"), F.col("h.d").alias("detail"))
         )
@@ -226,21 +224,16 @@ def write_findings(detections: DataFrame, name: str) -> None:
 def duplicate_lines(m: Model) -> DataFrame:
     """Identical bronze lines exported more than once (one row per line).
 
-    Lines are grouped by (id, SHA-256 of the text, length): the shuffle moves
-    a 32-byte digest per row instead of the whole JSON text, and the partial
-    aggregation folds repeated copies of a hot id before the exchange."""
-    frames = []
-    for resource, (rtype, _) in RESOURCE_TYPES.items():
-        b = m.bronze(resource)
-        frames.append(
-            b.groupBy("resource_id", F.sha2("raw_json", 256).alias("_digest"), F.length("raw_json").alias("_len"))
-            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-            .select(
-                F.lit(rtype).alias("resource_type"), "resource_id", F.lit("duplicate_resource").alias("anomaly_type"),
-                F.lit("identical resource exported more than once").alias("detail"),
-            )
-        )
-    return _union(frames)
+    Lines of all resources are grouped at once, by (resource, id, 64-bit hash of the text, length): the shuffle moves
+    numbers in place of the JSON text, and the partial aggregation folds repeated copies of a hot id before the
+    exchange. Two texts fall together only if they share the id and the length and their hashes are equal by chance."""
+    kinds = [rtype for rtype, _ in RESOURCE_TYPES.values()]
+    lines = _union([m.bronze(r).select(F.lit(i).alias("kind"), "resource_id", F.xxhash64("raw_json").alias("digest"), F.length("raw_json").alias("n_chars")) for i, r in enumerate(RESOURCE_TYPES)])
+    repeated = lines.groupBy("kind", "resource_id", "digest", "n_chars").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return repeated.select(
+        F.array(*[F.lit(k) for k in kinds])[F.col("kind")].alias("resource_type"), "resource_id", F.lit("duplicate_resource").alias("anomaly_type"),
+        F.lit("identical resource exported more than once").alias("detail"),
+    )
 
 
 def duplicate_mrn(m: Model) -> DataFrame:

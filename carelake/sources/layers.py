@@ -15,12 +15,14 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from carelake.session import checkpoint_dir
 
 ROW_GROUP = 8 << 20
 
-_written: dict[tuple[str, str, str], str] = {}
+#: Where a layer is, and its columns: a scan that is told them needs no job that reads them from the files.
+_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -29,9 +31,11 @@ def layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     if key not in _written:
         path = f"{checkpoint_dir(spark).rstrip('/')}/layers/{name}-{uuid.uuid4().hex}"
         # row groups of this size let a scan split a file, however few files the job wrote
-        build().write.option("parquet.block.size", ROW_GROUP).parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+        rows = build()
+        rows.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        _written[key] = path, rows.schema
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
