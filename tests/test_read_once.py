@@ -11,7 +11,8 @@ from carelake.operators import dq, profile
 from carelake.plans import silver
 from carelake.plans.model import Model
 from carelake.session import checkpoint_dir
-from carelake.sources import layers
+from carelake.sources import fixtures, layers
+from carelake.sources.tables import Tables
 
 
 def _rows(df):
@@ -83,3 +84,24 @@ def test_landed_lines_are_compressed(spark, small_dir):
     (landed,) = set(glob.glob(f"{folder}/load-*")) - before
     files = glob.glob(f"{landed}/landing/*/part-*")
     assert files and all(f.endswith(".gz") for f in files)
+
+
+def test_detectors_make_and_parse_the_lines_of_a_large_resource_once(spark, small_dir, monkeypatch):
+    layers.forget()
+    m = Model(spark, small_dir)
+    apart = [dq.row_rule_detections(m), dq.dangling_references(m), dq.duplicate_lines(m), dq.duplicate_mrn(m), dq.duplicate_entities(m)]
+    expected = sorted(sum((_rows(d) for d in apart), []))
+    layers.forget()
+    made, lines = [], fixtures.lines
+    monkeypatch.setattr(fixtures, "lines", lambda t, resource: made.append(resource) or lines(t, resource))
+    assert _rows(dq.all_detections(Model(spark, small_dir))) == expected
+    assert all(made.count(r) == 1 for r in silver.FIELDS)
+    large = {n for _, _, n in layers._written} - {f"silver-{r}" for r in ("organization", "practitioner", "patient")}
+    assert large == {f"dq-{r}" for r in silver.FIELDS}
+    layers.forget()
+
+
+def test_silver_passes_columns_by_name_only(spark, small_dir):
+    rows = fixtures.lines(Tables(spark, small_dir), "claim").withColumn("digest", F.xxhash64("raw_json"))
+    assert "digest" not in silver.silver(rows, "claim").columns
+    assert silver.silver(rows, "claim", ["claim_id", "digest"]).columns == ["claim_id", "digest"]
