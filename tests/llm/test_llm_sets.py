@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -528,3 +529,13 @@ def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "mixing", "packing"]
     assert language_id.UNDETERMINED == "und"
+
+
+def test_line_dedup_works_on_small_pieces():
+    texts = ["a b c " * 10_000] * 100 + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "n": pa.array(range(len(texts)))})
+    pieces = list(line_dedup._pieces([batch], "text"))
+    assert [n for part, _ in pieces for n in part["n"].to_pylist()] == list(range(len(texts)))
+    assert [t for _, given in pieces for t in given] == [(t or "").encode() for t in texts]
+    # a piece is a million bytes and one text more at most
+    assert max(sum(map(len, given)) for _, given in pieces) < 1_000_000 + 60_000
