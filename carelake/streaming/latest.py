@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,39 +23,46 @@ from carelake.session import ship
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: The watermark's column beside the rows, in which the event time is a number of microseconds.
+EVENT_TIME = "_event_time"
+
 
 class LatestRow(StatefulProcessor):
-    """Gives a key's latest row whenever it changes, and once more, as idle, when its timer ends."""
+    """Gives a key's latest row whenever it changes, and once more, as idle, when its timer ends.
+
+    A key's timer is known from its row, so that neither is searched for: a changed key costs one read and one write."""
 
     def __init__(self, schema: T.StructType, order: Sequence[str], idle_ms: int):
-        self.schema, self.order, self.idle_ms = schema, list(order), idle_ms
+        self.schema, self.idle_ms = schema, idle_ms
+        self.at = [schema.names.index(c) for c in order]
+        self.out = Row(*schema.names, "idle")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.latest = handle.getValueState("latest", self.schema)
 
-    def _frame(self, row: Sequence, idle: bool) -> pd.DataFrame:
-        return pd.DataFrame([[*row, idle]], columns=[*self.schema.names, "idle"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = [self.schema.names.index(c) for c in self.order]
-        held = self.latest.get() if self.latest.exists() else None
-        best = held
-        for pdf in rows:
-            top = pdf.sort_values(self.order).iloc[-1][self.schema.names].tolist()
-            if best is None or [top[i] for i in at] > [pd.Timestamp(best[i]) if isinstance(top[i], pd.Timestamp) else best[i] for i in at]:
-                best = top
-        if best is not held:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            best = [x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in best]
-            self.latest.update(tuple(best))
-            self.handle.registerTimer(int(pd.Timestamp(best[at[0]]).timestamp() * 1000) + self.idle_ms)
-            yield self._frame(best, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.latest.exists():
-            yield self._frame(self.latest.get(), True)
+    def _rank(self, row: Sequence) -> tuple:
+        return tuple((row[i] is not None, row[i]) for i in self.at)
+
+    def _timer(self, row: Sequence) -> int:
+        return row[self.at[0]] // 1000 + self.idle_ms
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        width = len(self.schema)
+        top = tuple(max(rows, key=self._rank))[:width]
+        held = self.latest.get()
+        if held is not None and self._rank(top) <= self._rank(held):
+            return
+        if held is not None:
+            self.handle.deleteTimer(self._timer(held))
+        self.latest.update(top)
+        self.handle.registerTimer(self._timer(top))
+        yield self.out(*top, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.latest.get()
+        if held is not None:
+            yield self.out(*held, True)
             self.latest.clear()
 
     def close(self) -> None:
@@ -77,11 +83,18 @@ def run_latest(spark: SparkSession, landing_dir: str, schema: T.StructType, key:
     session = spark.newSession()  # its own settings: the caller's stay as they are
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = session.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files_per_trigger)).parquet(landing_dir).withWatermark(order[0], delay)
-    found = rows.groupBy(key).transformWithStateInPandas(LatestRow(schema, order, idle_ms), output_schema(schema), "Update", "EventTime")
+    time = order[0]
+    rows = session.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files_per_trigger)).parquet(landing_dir).withWatermark(time, delay)
+    held = T.StructType([T.StructField(f.name, T.LongType()) if f.name == time else f for f in schema.fields])
+    numbered = rows.select(*[F.unix_micros(time).alias(time) if c == time else c for c in schema.names], F.col(time).alias(EVENT_TIME))
+    found = numbered.groupBy(key).transformWithState(LatestRow(held, order, idle_ms), output_schema(held), "Update", "EventTime")
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = KeyedStore(batch.sparkSession, store.path, store.schema, store.keys, store.buckets)
-        merge_changes(held, batch.withColumn("_op", F.lit("upsert")), order[0], batch=number)
+        # written once: each further read of the batch itself would run the state's changes again
+        path = f"{store.path}/changes/batch={number}"
+        batch.withColumn(time, F.timestamp_micros(time)).write.mode("overwrite").parquet(path)
+        changes = batch.sparkSession.read.schema(store.schema).parquet(path)
+        table = KeyedStore(batch.sparkSession, store.path, store.schema, store.keys, store.buckets)
+        merge_changes(table, changes.withColumn("_op", F.lit("upsert")), time, batch=number)
 
     found.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start().awaitTermination()

@@ -139,3 +139,22 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     third = run([event(5, 40, 11)])
     assert third == {1: (7, True), 2: (4, True), 3: (5, True), 4: (10, True), 5: (11, False)}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_stream_of_null_keys_makes_each_batch_once(spark, tmp_path, monkeypatch):
+    start = dt.datetime(2024, 1, 1)
+    given = [(user, start + dt.timedelta(minutes=7 * n, microseconds=n), n, None if n % 5 == 0 else "x") for n, user in enumerate([None, 1, 2, None, 3, 1, 4, None, 2, 5, 6, 1, None, 7])]
+    store = KeyedStore.create(spark, str(tmp_path / "latest"), latest.output_schema(EVENT), ["user"], buckets=4)
+    files, merge = [], latest.merge_changes
+
+    def seen(table, changes, *args, **kwargs):
+        files.append(len(changes.inputFiles()))
+        return merge(table, changes, *args, **kwargs)
+
+    monkeypatch.setattr(latest, "merge_changes", seen)
+    spark.createDataFrame(given, EVENT).coalesce(1).write.parquet(str(tmp_path / "landing"))
+    latest.run_latest(spark, str(tmp_path / "landing"), EVENT, "user", ["ts", "id"], store, str(tmp_path / "checkpoint"), "1 hour", 10 * 3_600_000)
+    got = {(r["user"], r["ts"], r["id"], r["kind"], r["idle"]) for r in store.read().collect()}
+    assert got == {(*row, False) for row in {row[0]: row for row in given}.values()} and store.read().count() == 8
+    # a merge reads its changes twice: they come from files, not from the state
+    assert files and all(files)
