@@ -20,3 +20,24 @@ def test_distinct_lines_are_shuffled_as_digests(spark):
     # the digest covers the id, which does not travel beside it, and is bytes in place of digits
     assert dealt and not any("resource_id" in keys for keys in dealt)
     assert "unhex" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loaded_tables_are_compressed_by_zstd(spark, tmp_path):
+    import glob
+    import uuid
+
+    import pyarrow.parquet as pq
+
+    from carelake.sources import bronze
+
+    (tmp_path / "landing").mkdir()
+    for r in bronze.RESOURCES:
+        (tmp_path / "landing" / f"{r}.ndjson").write_text(f'{{"id": "{r}-1", "resourceType": "{r}"}}\n')
+    schema = f"z_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{tmp_path}/tables'")
+    try:
+        assert set(bronze.load_resources(spark, str(tmp_path / "landing"), schema).values()) == {1}
+        files = glob.glob(f"{tmp_path}/tables/claim/part-*")
+        assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
+    finally:
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
