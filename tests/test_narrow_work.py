@@ -41,3 +41,19 @@ def test_loaded_tables_are_compressed_by_zstd(spark, tmp_path):
         assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
     finally:
         spark.sql(f"DROP SCHEMA {schema} CASCADE")
+
+
+def _large_layers(spark, small_dir, name):
+    import __spark_entry__ as entry
+    from carelake.sources import layers
+
+    layers.forget()
+    entry.queries()[name](spark, small_dir).collect()
+    written = {n for _, _, n in layers._written} - {f"silver-{r}" for r in ("organization", "practitioner", "patient")}
+    layers.forget()
+    return written
+
+
+def test_dangling_references_store_ids_only(spark, small_dir):
+    large = _large_layers(spark, small_dir, "dq_references")
+    assert sorted(n.rsplit("-", 1)[0] for n in large) == [f"silver-{r}" for r in ("claim", "condition", "encounter", "observation", "procedure")]
