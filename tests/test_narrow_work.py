@@ -57,3 +57,7 @@ def _large_layers(spark, small_dir, name):
 def test_dangling_references_store_ids_only(spark, small_dir):
     large = _large_layers(spark, small_dir, "dq_references")
     assert sorted(n.rsplit("-", 1)[0] for n in large) == [f"silver-{r}" for r in ("claim", "condition", "encounter", "observation", "procedure")]
+
+
+def test_text_dates_write_no_large_layer(spark, small_dir):
+    assert not _large_layers(spark, small_dir, "profile_text_dates")
